@@ -1,4 +1,4 @@
 """Query groups; importing this package registers them all."""
 
-from splicelake.plans import scalar_plans, usage_plans  # noqa: F401
+from splicelake.plans import join_plans, metric_plans, scalar_plans, usage_plans  # noqa: F401
 from splicelake.plans.registry import ORACLES, QUERIES  # noqa: F401
