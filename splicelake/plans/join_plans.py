@@ -269,10 +269,10 @@ def pip_lookup(spark, sf):
     return J.pip_or_zero(v.select("var_key", "gene_id"), v.filter("status = 'F'"), ["gene_id"]).select("var_key", F.round("pip", 6).alias("pip"))
 
 
-@query(cte("v_usage", "v_pred") + FRAC + " SELECT u.sample, u.region, u.site, round(avg(p.head_b), 9) AS pred, round(max(u.ssu), 6) AS ssu FROM us u JOIN v_pred p ON p.sample = u.sample AND p.region = u.region AND p.strand = u.strand AND p.pos = u.site WHERE u.ssu IS NOT NULL GROUP BY ALL")
+@query(cte("v_usage", "v_pred") + FRAC + " SELECT u.sample, u.region, u.site, round(avg(p.head_b), 11) AS pred, round(max(u.ssu), 6) AS ssu FROM us u JOIN v_pred p ON p.sample = u.sample AND p.region = u.region AND p.strand = u.strand AND p.pos = u.site WHERE u.ssu IS NOT NULL GROUP BY ALL")
 def site_predictions(spark, sf):
     """Ensemble mean of predictions joined to measured usage by sample and position."""
     p = view(spark, sf, "v_pred").groupBy("sample", "region", "strand", F.col("pos").alias("site")).agg(F.sum("head_b").alias("s"), F.count("*").alias("c"))
     u = _usage(spark, sf).filter("ssu IS NOT NULL")
     j = u.join(p, ["sample", "region", "strand", "site"])
-    return j.groupBy("sample", "region", "site").agg(F.round(F.sum("s") / F.sum("c"), 9).alias("pred"), F.round(F.max("ssu"), 6).alias("ssu"))
+    return j.groupBy("sample", "region", "site").agg(F.round(F.sum("s") / F.sum("c"), 11).alias("pred"), F.round(F.max("ssu"), 6).alias("ssu"))

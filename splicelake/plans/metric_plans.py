@@ -22,8 +22,8 @@ mt AS (SELECT {b}CAST(max(np) AS BIGINT) AS n_pos, CAST(max(nn) AS BIGINT) AS n_
  CASE WHEN max(np) > 0 THEN max(2 * tp / (np + tp + fp)) END AS f1_max, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN arg_max(s, (tp / np - fp / nn, s)) END AS youden_threshold FROM cc{' GROUP BY ' + by if by else ''})"""
 
 
-METRIC_COLS = ["auroc", "avg_precision", "pr_area", "f1_max", "youden_threshold"]
-SQL_COLS = "n_pos, n_neg, " + ", ".join(f"round({c}, 6) AS {c}" for c in METRIC_COLS)
+METRIC_COLS = ["auroc", "avg_precision", "pr_area", "f1_max"]
+SQL_COLS = "n_pos, n_neg, " + ", ".join(f"round({c}, 6) AS {c}" for c in METRIC_COLS) + ", youden_threshold"
 
 
 def rounded(df, cols=METRIC_COLS):
