@@ -103,11 +103,12 @@ def on_grid(c: DataFrame, by: Sequence[str], grid: int, kind: str) -> DataFrame:
     return d.select(*by, "i", y.alias("y"))
 
 
-def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, chunks: int | None = None) -> DataFrame:
-    """Spearman correlation with average ranks; repeated (a, b) pairs are counted first."""
+def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, chunks: int | None = None, weight: str | None = None) -> DataFrame:
+    """Spearman correlation with average ranks; repeated (a, b) pairs are counted (or their weights added) first."""
     by = list(by)
     ok = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double"))
-    g = df.filter(ok).groupBy(*by, a, b).agg(F.count("*").alias("_n"))
+    n_of = F.sum(weight) if weight else F.count("*")
+    g = df.filter(ok).groupBy(*by, a, b).agg(n_of.cast("long").alias("_n"))
     ra = average_ranks(g, by, a, "_ra", count="_n", chunks=chunks).drop("_ra_ties")
     rb = average_ranks(g, by, b, "_rb", count="_n", chunks=chunks).drop("_rb_ties")
     j = lookup(lookup(g, ra, [*by, a]), rb, [*by, b])

@@ -55,6 +55,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN l_tax = 0 THEN 777.0 ELSE l_quantity / 50 END AS y_ssu",
         "l_discount AS head_a", "l_extendedprice / 100000 AS head_b",
     ]),
+    "v_reporter": ("lineitem", [
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "concat('E', CAST(l_suppkey AS STRING)) AS exon", _LSTRAND,
+        "CAST(l_partkey % 120 - 20 AS INT) AS pos", "CAST(0 AS INT) AS estart", "CAST(60 + l_suppkey % 40 AS INT) AS eend",
+        "(l_quantity - 25) / 50 AS y", "l_discount * 10 - 0.5 AS a", "l_extendedprice / 100000 - 0.5 AS b", "l_tax * 12 - 0.5 AS c",
+        "CASE WHEN l_returnflag = 'R' THEN 'train' ELSE 'test' END AS split",
+    ]),
     "v_tissue_site": ("events", [
         "event_type AS tissue", "CAST(user_id AS INT) AS pos", "event_id % 10 AS sample", "value / (value + 50) AS ssu", "event_id",
     ]),
