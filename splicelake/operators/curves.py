@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splicelake.functions.stats import correlation
 from splicelake.operators.ordered import average_ranks, lookup, running
 
 
@@ -129,9 +130,8 @@ def regression_metrics(df: DataFrame, by: Sequence[str], truth: str, pred: str)
     ok = t.isNotNull() & p.isNotNull() & ~F.isnan(t) & ~F.isnan(p)
     d = df.filter(ok).withColumns({"_t": t, "_p": p})
     err = F.col("_t") - F.col("_p")
-    sd = (F.stddev_pop("_t") > 0) & (F.stddev_pop("_p") > 0)
     return d.groupBy(*by).agg(
-        F.count("*").alias("n"), F.when(sd, F.corr("_t", "_p")).alias("pearson"),
+        F.count("*").alias("n"), correlation("_t", "_p").alias("pearson"),
         F.when(F.var_pop("_t") > 0, 1 - F.sum(err * err) / (F.var_pop("_t") * F.count("*"))).alias("r2"),
         F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
     )

@@ -50,7 +50,7 @@ def top_k_accuracy(spark, sf):
     return t.withColumn("accuracy", F.round("accuracy", 6))
 
 
-REG = "count(*) AS n, round(corr({t}, {p}), 6) AS pearson, round(1 - sum(({t} - {p}) * ({t} - {p})) / (var_pop({t}) * count(*)), 6) AS r2, round(avg(({t} - {p}) * ({t} - {p})), 6) AS mse, round(avg(abs({t} - {p})), 6) AS mae"
+REG = "count(*) AS n, round(CASE WHEN stddev_pop({t}) > 0 AND stddev_pop({p}) > 0 THEN covar_pop({t}, {p}) / (stddev_pop({t}) * stddev_pop({p})) END, 6) AS pearson, round(CASE WHEN var_pop({t}) > 0 THEN 1 - sum(({t} - {p}) * ({t} - {p})) / (var_pop({t}) * count(*)) END, 6) AS r2, round(avg(({t} - {p}) * ({t} - {p})), 6) AS mse, round(avg(abs({t} - {p})), 6) AS mae"
 REG_COLS = ["pearson", "r2", "mse", "mae"]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from splicelake.functions.stats import correlation
 from splicelake.functions import scalar as S
 from splicelake.operators import curves as C
 from splicelake.operators import reporter as R
@@ -13,11 +14,15 @@ from splicelake.plans.registry import query
 from splicelake.plans.views import cte, table, view
 
 HEADS = ["a", "b", "c"]
-KEY = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 SQLKEY = "concat_ws(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING))"
 RP = ", rp AS (SELECT *, CASE WHEN abs(y) > (SELECT stddev_pop(y) FROM v_reporter) THEN 1 ELSE 0 END AS label FROM v_reporter)"
 
 
+def _key():
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ROW_KEY])
+
+
 def long(src, keep):
     return "(" + " UNION ALL ".join(f"SELECT {keep}, '{h}' AS head, {h} AS score FROM {src}" for h in HEADS) + ")"
 
@@ -139,24 +144,24 @@ def win_matrix(spark, sf):
 def exon_difficulty(spark, sf):
     m = rounded(_exon(spark, sf), HM).groupBy("exon").agg(F.avg("mae").alias("m"))
     p = view(spark, sf, "v_reporter").groupBy("exon").agg(F.max("eend").alias("elen"), F.count("*").alias("nv"))
-    return lookup(m, p, ["exon"]).agg(F.round(F.corr("m", "elen"), 6).alias("r_length"), F.round(F.corr("m", "nv"), 6).alias("r_count"), F.count("*").alias("n"))
+    return lookup(m, p, ["exon"]).agg(F.round(correlation("m", "elen"), 6).alias("r_length"), F.round(correlation("m", "nv"), 6).alias("r_count"), F.count("*").alias("n"))
 
 
 @query(cte("v_reporter") + "SELECT exon, round(corr(a, b), 6) AS ab, round(corr(a, c), 6) AS ac, round(corr(b, c), 6) AS bc, count(*) AS n FROM v_reporter GROUP BY exon")
 def exon_concordance(spark, sf):
-    g = view(spark, sf, "v_reporter").groupBy("exon").agg(F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac"), F.corr("b", "c").alias("bc"), F.count("*").alias("n"))
+    g = view(spark, sf, "v_reporter").groupBy("exon").agg(correlation("a", "b").alias("ab"), correlation("a", "c").alias("ac"), correlation("b", "c").alias("bc"), F.count("*").alias("n"))
     return rounded(g, ["ab", "ac", "bc"])
 
 
 @query(cte("v_reporter") + f"SELECT {SQLKEY} AS k, round(CASE WHEN stddev_samp(y) OVER w > 0 THEN (y - avg(y) OVER w) / stddev_samp(y) OVER w ELSE 0 END, 6) AS z FROM v_reporter WINDOW w AS (PARTITION BY exon)")
 def exon_z_scores(spark, sf):
-    return R.group_z(view(spark, sf, "v_reporter"), ["exon"], "y").select(KEY.alias("k"), F.round("z", 6).alias("z"))
+    return R.group_z(view(spark, sf, "v_reporter"), ["exon"], "y").select(_key().alias("k"), F.round("z", 6).alias("z"))
 
 
 @query(cte("v_reporter") + RP + f" SELECT {SQLKEY} AS k, label, round(abs(a), 6) AS abs_a, round(abs(b), 7) AS abs_b, CASE WHEN abs(a) >= abs(b) THEN 'a' ELSE 'b' END AS stronger FROM rp WHERE pos BETWEEN -8 AND 8")
 def two_head_table(spark, sf):
     d = _r(spark, sf).filter("pos BETWEEN -8 AND 8")
-    return d.select(KEY.alias("k"), "label", F.round(F.abs("a"), 6).alias("abs_a"), F.round(F.abs("b"), 7).alias("abs_b"), F.when(F.abs("a") >= F.abs("b"), "a").otherwise("b").alias("stronger"))
+    return d.select(_key().alias("k"), "label", F.round(F.abs("a"), 6).alias("abs_a"), F.round(F.abs("b"), 7).alias("abs_b"), F.when(F.abs("a") >= F.abs("b"), "a").otherwise("b").alias("stronger"))
 
 
 @query(cte("v_reporter") + RP + ", ag AS (SELECT label, a, b, c, (a + b + c) / 3 AS agg FROM rp), l4 AS (SELECT label, head, abs(score) AS ascore FROM (SELECT label, 'a' AS head, a AS score FROM ag UNION ALL SELECT label, 'b', b FROM ag UNION ALL SELECT label, 'c', c FROM ag UNION ALL SELECT label, 'aggregate', agg FROM ag) z)" + sql_metrics("l4", "head", "ascore") + " SELECT head, round(avg_precision, 6) AS avg_precision, CAST(row_number() OVER (ORDER BY avg_precision DESC, head) AS INT) AS rank, avg_precision > (SELECT avg_precision FROM mt WHERE head = 'aggregate') AS beats_aggregate FROM mt")
@@ -171,7 +176,7 @@ def head_ranks_against_aggregate(spark, sf):
 @query(cte("v_reporter") + ", t AS (SELECT head, split, strand, y, score FROM " + long("v_reporter", "split, strand, y") + " z) SELECT head, split, strand, round(corr(y, score), 6) AS r, count(*) AS n FROM t GROUP BY head, split, strand")
 def correlation_table(spark, sf):
     d = view(spark, sf, "v_reporter").unpivot(["split", "strand", "y"], HEADS, "head", "score")
-    return d.groupBy("head", "split", "strand").agg(F.round(F.corr("y", "score"), 6).alias("r"), F.count("*").alias("n"))
+    return d.groupBy("head", "split", "strand").agg(F.round(correlation("y", "score"), 6).alias("r"), F.count("*").alias("n"))
 
 
 # --- resampling ---------------------------------------------------------------------------------------------------
@@ -198,7 +203,7 @@ def _boot(spark, sf, key, n):
 
 @query(cte("v_reporter") + RP + boot_sql(SQLKEY, 10) + PAIRS + " SELECT * FROM bt")
 def paired_bootstrap(spark, sf):
-    return _boot(spark, sf, KEY, 10)
+    return _boot(spark, sf, _key(), 10)
 
 
 @query(cte("v_reporter") + RP + boot_sql("exon", 10) + PAIRS + " SELECT * FROM bt")

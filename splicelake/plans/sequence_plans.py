@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from splicelake.functions.stats import correlation
 from splicelake.functions import sequence as Q
 from splicelake.functions import tracks as K
 from splicelake.operators import windows as W
@@ -263,5 +264,5 @@ def observed_attribution(spark, sf):
 @query(cte("v_attr") + AT + ", t AS (SELECT class, seq_id % 37 / 37 AS pred, list_sum(list_transform(attr, lambda x: x::DOUBLE)) AS st, s, list_sum(list_transform(attr, lambda x: x::DOUBLE)) / s AS nt FROM a) SELECT class, round(corr(pred, st), 6) AS r_signed, round(corr(pred, s), 6) AS r_absolute, round(corr(pred, nt), 6) AS r_normalised, count(*) AS n FROM t GROUP BY class")
 def attribution_completeness(spark, sf):
     v = view(spark, sf, "v_attr").select("class", (F.col("seq_id") % 37 / 37).alias("p"), K.total(F.col("attr")).alias("st"), K.absolute_total(F.col("attr")).alias("s"))
-    c = v.groupBy("class").agg(F.corr("p", "st").alias("r_signed"), F.corr("p", "s").alias("r_absolute"), F.corr("p", F.col("st") / F.col("s")).alias("r_normalised"), F.count("*").alias("n"))
+    c = v.groupBy("class").agg(correlation("p", "st").alias("r_signed"), correlation("p", "s").alias("r_absolute"), correlation("p", F.col("st") / F.col("s")).alias("r_normalised"), F.count("*").alias("n"))
     return rounded(c, ["r_signed", "r_absolute", "r_normalised"])
