@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splicelake.operators.ordered import lookup, running
+from splicelake.operators.ordered import CHUNK, lookup, running, with_chunks
 from splicelake.session import SINGLE_CHUNK_BYTES, estimated_bytes
 
 # Tier numbers of the candidate classes, and the number used for optimal matching.
@@ -55,10 +55,14 @@ def reachable(pos: DataFrame, neg: DataFrame, by: Sequence[str], group: Sequence
     cls = [*by, *extra]
     u = pos.select(*cls, "splice_dist", F.lit(1).alias("p"), F.lit(0).alias("n")).unionByName(neg.select(*cls, "splice_dist", F.lit(0).alias("p"), F.lit(1).alias("n")))
     g = u.groupBy(*cls, "splice_dist").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # cut points are found once and kept as a column for all four passes
+    g, single = with_chunks(g, "splice_dist")
+    g = g.withColumnRenamed(CHUNK, "_part")
+    how = {"chunks": 1} if single else {"chunk_expr": F.col("_part")}
     for name, desc in (("r", False), ("l", True)):
-        g = running(g, cls, "splice_dist", {f"_c{name}": F.col("n")}, descending=desc)
+        g = running(g, cls, "splice_dist", {f"_c{name}": F.col("n")}, descending=desc, **how)
         start = F.col(f"_c{name}") - F.col("n")
-        g = running(g, cls, "splice_dist", {f"_m{name}": F.when(F.col("p") > 0, start)}, descending=desc, agg=F.max)
+        g = running(g, cls, "splice_dist", {f"_m{name}": F.when(F.col("p") > 0, start)}, descending=desc, agg=F.max, **how)
         g = g.withColumn(f"_gap{name}", start - F.col(f"_m{name}"))
     g = g.select(*cls, "splice_dist", F.least("_gapr", "_gapl").alias("_gap")).filter("_gap IS NOT NULL")
     g = lookup(g, size, group).filter("_gap < _P").withColumn("_room", F.col("_P") - F.col("_gap")).drop("_gap", "_P")
