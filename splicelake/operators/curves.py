@@ -39,7 +39,7 @@ def summarise(c: DataFrame, by: Sequence[str]) -> DataFrame:
     precision = tp / (tp + fp)
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
     f1 = 2 * tp / (F.col("n_pos") + tp + fp)
-    youden = tp / F.col("n_pos") - fp / F.col("n_neg")
+    youden = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), tp / F.col("n_pos") - fp / F.col("n_neg"))
     return c.groupBy(*by).agg(
         p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"),
         F.when((p > 0) & (n > 0), F.sum(neg * (tp0 + tp) / 2) / (p * n)).alias("auroc"),

@@ -37,21 +37,23 @@ def classification_rows(df: DataFrame, heads: Sequence[str], targets: dict[str,
     ``targets`` maps target name to its 0/1 column. ``own`` maps a head to the only target it is scored on.
     """
     own = own or {}
-    ssu = F.col("ssu")
-    sh = F.col(shared) if shared else None
-    every = ["all", "ssu_valid", "ssu_valid_nonzero"] + (["ssu_shared", "ssu_shared_nonzero"] if shared else [])
-    any_target = sum((F.col(c) for c in targets.values()), F.lit(0)) > 0
-    members = F.when(any_target, subset_names(ssu, sh)).otherwise(F.array(*[F.lit(s) for s in every]))
-    rows = []
-    for t, c in targets.items():
-        for h in heads:
-            if own.get(h, t) == t:
-                use = (F.col(c) == 1) | ~any_target
-                rows.append(F.when(use, F.struct(F.lit(t).alias("target"), F.lit(h).alias("head"), F.col(c).alias("label"), F.col(h).cast("double").alias("score"))))
-    x = df.select(members.alias("subsets"), F.filter(F.array(*rows), lambda r: r.isNotNull()).alias("rows"))
-    # rows repeat over a fixed number of subsets only after equal scores were counted
-    g = x.select("subsets", F.inline("rows")).groupBy("subsets", "target", "head", "label", "score").agg(F.count("*").alias("w"))
-    return g.select(F.explode("subsets").alias("subset"), "target", "head", "label", "score", "w")
+    valid = F.col("ssu").isNotNull()
+    nonzero = F.coalesce(F.col("ssu") > 0, F.lit(False))
+    member = {"all": F.lit(True), "ssu_valid": valid, "ssu_valid_nonzero": nonzero}
+    if shared:
+        member |= {"ssu_shared": F.col(shared), "ssu_shared_nonzero": F.col(shared) & nonzero}
+    neither = sum((F.col(c) for c in targets.values()), F.lit(0)) == 0
+    mask = sum((F.when(neither | m, 1 << i).otherwise(0) for i, m in enumerate(member.values())), F.lit(0))
+    rows = [
+        F.struct(((F.col(c) == 1) | neither).alias("use"), F.lit(t).alias("target"), F.lit(h).alias("head"), F.col(c).alias("label"), F.col(h).cast("double").alias("score"))
+        for t, c in targets.items() for h in heads if own.get(h, t) == t
+    ]
+    x = df.select(mask.alias("mask"), F.inline(F.array(*rows))).filter("use")
+    # equal scores are counted first; rows repeat over the fixed subsets only after that
+    g = x.groupBy("mask", "target", "head", "label", "score").agg(F.count("*").alias("w"))
+    names = F.array(*[F.struct(F.lit(n).alias("subset"), F.lit(1 << i).alias("bit")) for i, n in enumerate(member)])
+    g = g.select("mask", "target", "head", "label", "score", "w", F.inline(names)).filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+    return g.groupBy("subset", "target", "head", "label", "score").agg(F.sum("w").alias("w"))
 
 
 def classification_metrics(df: DataFrame, heads: Sequence[str], targets: dict[str, str], own: dict[str, str] | None = None, shared: str | None = None) -> DataFrame:

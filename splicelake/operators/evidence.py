@@ -54,27 +54,25 @@ def classify(
     """
     by = list(by)
     r = reads.withColumn("walk", cigar_walk(F.col("pos"), F.col("cigar")))
-    r = r.withColumn("stop", F.array_max(F.transform("walk", lambda s: s["hi"])) - 2)
-    r = r.select(*by, "pos", "flag", "n_reads", "stop", aligned_blocks(F.col("walk")).alias("blocks"), gaps(F.col("walk")).alias("gaps"))
+    r = r.select(*by, "flag", "n_reads", aligned_blocks(F.col("walk")).alias("blocks"), gaps(F.col("walk")).alias("gaps"))
     r = r.withColumn("ends", F.flatten(F.transform("gaps", lambda g: F.array(g["left"], g["right"]))))
-    j = points_in_intervals(sites, r, "site", "pos", "stop", by, bin_width, distinct=False)
+    # a site meets exactly one stretch of an alignment: a block that also holds the next base, or a gap
+    block = F.transform("blocks", lambda b: F.struct(F.lit(False).alias("is_gap"), b["lo"].alias("lo"), (b["hi"] - 2).alias("hi")))
+    gap = F.transform("gaps", lambda g: F.struct(F.lit(True).alias("is_gap"), g["left"].alias("lo"), g["right"].alias("hi")))
+    r = r.select(*by, "flag", "n_reads", "gaps", "ends", F.inline(F.concat(block, gap)))
+    j = points_in_intervals(sites, r, "site", "lo", "hi", by, bin_width, distinct=False)
     t, p, c = F.col("site"), F.col("partners"), F.col("competitors")
     agrees = F.lit(True) if library is None else S.read_strand(F.col("flag"), library) == F.col("strand")
     has = F.array_contains
-    # gaps of one alignment are disjoint and ordered: at most one spans the site, at most one ends at it
     touching = lambda g: (g["left"] == t) | (g["right"] == t)
     competing = lambda g: (has(p, g["left"]) & has(c, g["right"])) | (has(p, g["right"]) & has(c, g["left"]))
-    j = j.withColumns({
-        "over": F.exists("gaps", lambda g: (g["left"] < t) & (t < g["right"])),
-        "alpha": has("ends", t),
-        "near": F.arrays_overlap("partners", "ends"),
-    })
-    over, near = F.col("over"), F.col("near")
+    inner = (F.col("lo") < t) & (t < F.col("hi"))
+    over, alpha, beta1 = F.col("is_gap") & inner, F.col("is_gap") & ~inner, ~F.col("is_gap") & agrees
+    near = F.arrays_overlap("partners", "ends")
     comp = near & F.exists("gaps", competing)
     comp_before = near & F.exists("gaps", lambda g: (g["left"] < t) & competing(g))
-    beta1 = ~over & agrees & F.exists("blocks", lambda b: (b["lo"] <= t) & (b["hi"] > t + 1))
     cls = (
-        F.when(F.col("alpha") & comp, "alpha_comp").when(over & comp_before, "flank").when(over & agrees, "mutex")
+        F.when(alpha & comp, "alpha_comp").when(over & comp_before, "flank").when(over & agrees, "mutex")
         .when(beta1, F.when(comp, "beta1_comp").otherwise("beta1"))
     )
     j = j.withColumn("cls", cls).filter("cls IS NOT NULL")

@@ -22,7 +22,7 @@ def tpm(counts: DataFrame) -> DataFrame:
     rpk = F.when(F.col("length") > 0, F.col("n") / (F.col("length") / 1000.0))
     d = counts.withColumn("_rpk", rpk)
     total = d.groupBy("sample").agg(F.sum("_rpk").alias("_t"))
-    return lookup(d, total, ["sample"]).withColumn("tpm", F.coalesce(F.col("_rpk") / (F.col("_t") / 1e6), F.lit(0.0))).drop("_rpk", "_t")
+    return lookup(d, total, ["sample"]).withColumn("tpm", F.coalesce(F.when(F.col("_t") > 0, F.col("_rpk") / (F.col("_t") / 1e6)), F.lit(0.0))).drop("_rpk", "_t")
 
 
 def size_factors(counts: DataFrame, chunks: int | None = None) -> DataFrame:

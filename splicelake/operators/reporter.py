@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import scalar as S
 from splicelake.operators.curves import ranking_metrics, regression_metrics, spearman
 from splicelake.operators.evaluation import medians, quantile_edges_bins
-from splicelake.operators.ordered import average_ranks, exact_percentiles, hash_key, lookup
+from splicelake.operators.ordered import average_ranks, lookup, running
 
 # Smallest groups for regions, exons and profile bins.
 MIN_ROWS = 5
@@ -83,17 +83,26 @@ def threshold_labels(df: DataFrame, value: str, thresholds: Sequence[float]) ->
 
 
 def sweep_metrics(df: DataFrame, by: Sequence[str], value: str, score: str, thresholds: Sequence[float]) -> DataFrame:
-    """Average precision and class counts for every effect threshold.
+    """Average precision and class counts for every effect threshold in one ordered pass.
 
-    Rows are reduced to (by, score, number of thresholds reached) before the repeat.
+    A row per distinct score carries the positives of all thresholds side by side, so rows are never repeated.
     """
-    by = list(by)
-    cuts = F.array(*[F.lit(float(x)) for x in thresholds])
-    reach = F.size(F.filter(cuts, lambda t: t <= F.abs(F.col(value))))
-    g = df.groupBy(*by, F.abs(score).alias("_s"), reach.alias("_r")).agg(F.count("*").alias("_w"))
-    x = g.select(*by, "_s", "_r", "_w", F.posexplode(cuts).alias("_i", "threshold")).withColumn("_y", (F.col("_i") < F.col("_r")).cast("int"))
-    m = ranking_metrics(x, [*by, "threshold"], "_s", "_y", "_w")
-    return m.select(*by, "threshold", "n_pos", "n_neg", "avg_precision")
+    by, k = list(by), len(thresholds)
+    size = F.abs(F.col(value))
+    hits = [F.count_if(size >= F.lit(float(t))).alias(f"_p{i}") for i, t in enumerate(thresholds)]
+    g = df.filter(F.col(score).isNotNull()).groupBy(*by, F.abs(score).alias("_s")).agg(F.count("*").alias("_n"), *hits)
+    sums = {f"_t{i}": F.col(f"_p{i}") for i in range(k)} | {"_c": F.col("_n")}
+    c = running(g, by, "_s", sums, descending=True, totals=True)
+    gain = [F.sum(F.col(f"_p{i}") * F.col(f"_t{i}") / F.col("_c")).alias(f"_g{i}") for i in range(k)]
+    m = c.groupBy(*by).agg(*gain, *[F.max(f"_t{i}_total").alias(f"_n{i}") for i in range(k)], F.max("_c_total").alias("_all"))
+    rows = [
+        F.struct(
+            F.lit(float(t)).alias("threshold"), F.col(f"_n{i}").cast("long").alias("n_pos"), (F.col("_all") - F.col(f"_n{i}")).cast("long").alias("n_neg"),
+            F.when(F.col(f"_n{i}") > 0, F.col(f"_g{i}") / F.col(f"_n{i}")).alias("avg_precision"),
+        )
+        for i, t in enumerate(thresholds)
+    ]
+    return m.select(*by, F.inline(F.array(*rows)))
 
 
 def position_profile(df: DataFrame, by: Sequence[str], pos: str, value: str, min_rows: int = MIN_ROWS, chunks: int | None = None) -> DataFrame:
@@ -150,38 +159,69 @@ def win_matrix(metrics: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
 # --- bootstrap ---------------------------------------------------------------------------------------------------
 
 
-def poisson_weight(seed: int, replicate: Column, key: Column) -> Column:
-    """Poisson(1) count from a seeded hash: the resampling weight of a row (or cluster) in one replicate."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), key))
-    u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
+def poisson_weight(seed: int, replicate: int, key: Column) -> Column:
+    """Poisson(1) count from a seeded hash: the resampling weight of a row (or cluster) in one replicate.
+
+    One hash serves four replicates, eight hex digits each.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(replicate // 4)), key))
+    u = F.conv(F.substring(h, replicate % 4 * 8 + 1, 8), 16, 10).cast("double") / float(1 << 32)
     out = F.lit(0)
     for p in POISSON_ONE:
         out = out + (u >= p).cast("int")
     return out
 
 
-def bootstrap_metrics(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, replicates: tuple[int, int], seed: int = 42) -> DataFrame:
+def bootstrap_metrics(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, replicates: tuple[int, int], seed: int = 42, block: int = 10) -> DataFrame:
     """Pearson, Spearman, R² and average precision of |score| per replicate and head.
 
-    ``key`` is the row key, or the cluster for a cluster bootstrap. Replicates run in blocks [first, last); moments
-    are summed on the map side, ordered metrics shuffle one row per distinct value with its summed weight.
+    ``key`` is the row key, or the cluster for a cluster bootstrap. Replicates of one block sit side by side as weight
+    columns, so rows are ordered once per block and head however many replicates it has, and are never repeated.
     """
     lo, hi = replicates
-    d = df.withColumn("_key", key).withColumn("replicate", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
-    d = d.withColumn("_w", poisson_weight(seed, F.col("replicate"), F.col("_key"))).filter("_w > 0")
-    long = d.unpivot(["replicate", "_w", truth, label], list(heads), "head", "score")
-    by = ["replicate", "head"]
-    w, t, p = F.col("_w"), F.col(truth), F.col("score")
-    s = long.groupBy(*by).agg(
-        F.sum(w).alias("n"), F.sum(w * t).alias("t"), F.sum(w * p).alias("p"), F.sum(w * t * t).alias("tt"), F.sum(w * p * p).alias("pp"), F.sum(w * t * p).alias("tp"),
-    )
-    n = F.col("n")
-    vt, vp, cov = F.col("tt") - F.col("t") ** 2 / n, F.col("pp") - F.col("p") ** 2 / n, F.col("tp") - F.col("t") * F.col("p") / n
-    sse = F.col("tt") - 2 * F.col("tp") + F.col("pp")
-    m = s.select(*by, F.when((vt > 0) & (vp > 0), cov / F.sqrt(vt * vp)).alias("pearson"), F.when(vt > 0, 1 - sse / vt).alias("r2"))
-    m = lookup(m, spearman(long, by, truth, "score", weight="_w"), by, "left")
-    ap = ranking_metrics(long.withColumn("_abs", F.abs("score")), by, "_abs", label, "_w").select(*by, "avg_precision")
-    return lookup(m, ap, by, "left")
+    out = None
+    for first in range(lo, hi, block):
+        m = _bootstrap_block(df, truth, label, heads, key, list(range(first, min(first + block, hi))), seed)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _bootstrap_block(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, reps: list[int], seed: int) -> DataFrame:
+    w = [f"_w{r}" for r in reps]
+    d = df.select(truth, (F.col(label) > 0).cast("int").alias("_y"), *heads, *[poisson_weight(seed, r, key).alias(c) for r, c in zip(reps, w)])
+    long = d.unpivot([truth, "_y", *w], list(heads), "head", "score")
+    pick = lambda c: [F.sum(c).alias(c) for c in w]
+    # average ranks of truth (shared by all heads) and of each head's score, one column per replicate
+    cum = lambda g, by, v: running(g, by, v, {f"_c{c}": F.col(c) for c in w})
+    rank = lambda g, by, v, tag: g.select(*by, v, *[(F.col(f"_c{c}") - (F.col(c) - 1) / 2).alias(f"{tag}{c}") for c in w])
+    gt = cum(d.groupBy(truth).agg(*pick(w)), [], truth)
+    gs = cum(long.groupBy("head", "score").agg(*pick(w)), ["head"], "score")
+    j = lookup(lookup(long, rank(gt, [], truth, "_a"), [truth]), rank(gs, ["head"], "score", "_b"), ["head", "score"])
+    t, p = F.col(truth), F.col("score")
+    sums = []
+    for c in w:
+        x, a, b = F.col(c), F.col(f"_a{c}"), F.col(f"_b{c}")
+        parts = {"n": x, "t": x * t, "p": x * p, "tt": x * t * t, "pp": x * p * p, "tp": x * t * p, "aa": x * a * a, "bb": x * b * b, "ab": x * a * b}
+        sums += [F.sum(e).alias(f"{k}{c}") for k, e in parts.items()]
+    s = j.groupBy("head").agg(*sums)
+    rows = []
+    for r, c in zip(reps, w):
+        v = {k: F.col(f"{k}{c}") for k in ("n", "t", "p", "tt", "pp", "tp", "aa", "bb", "ab")}
+        n, mid = v["n"], (v["n"] + 1) / 2
+        vt, vp, cov = v["tt"] - v["t"] * v["t"] / n, v["pp"] - v["p"] * v["p"] / n, v["tp"] - v["t"] * v["p"] / n
+        va, vb, cab = v["aa"] - n * mid * mid, v["bb"] - n * mid * mid, v["ab"] - n * mid * mid
+        rows.append(F.struct(
+            F.lit(r).alias("replicate"), F.when((vt > 0) & (vp > 0), cov / F.sqrt(vt * vp)).alias("pearson"), F.when(vt > 0, 1 - (v["tt"] - 2 * v["tp"] + v["pp"]) / vt).alias("r2"),
+            F.when((va > 0) & (vb > 0), cab / F.sqrt(va * vb)).alias("spearman"), n.alias("n"),
+        ))
+    m = s.select("head", F.inline(F.array(*rows))).filter("n > 0").drop("n")
+    # average precision: positives and rows per distinct |score|, accumulated from the top for all replicates at once
+    g = long.groupBy("head", F.abs("score").alias("_s")).agg(*pick(w), *[F.sum(F.col(c) * F.col("_y")).alias(f"_p{c}") for c in w])
+    k = running(g, ["head"], "_s", {f"_n{c}": F.col(c) for c in w} | {f"_t{c}": F.col(f"_p{c}") for c in w}, descending=True)
+    gain = [F.sum(F.when(F.col(f"_p{c}") > 0, F.col(f"_p{c}") * F.col(f"_t{c}") / F.col(f"_n{c}")).otherwise(0.0)).alias(f"_g{c}") for c in w]
+    q = k.groupBy("head").agg(*gain, *[F.sum(f"_p{c}").alias(f"_q{c}") for c in w])
+    ap = q.select("head", F.inline(F.array(*[F.struct(F.lit(r).alias("replicate"), F.when(F.col(f"_q{c}") > 0, F.col(f"_g{c}") / F.col(f"_q{c}")).alias("avg_precision")) for r, c in zip(reps, w)])))
+    return lookup(m, ap, ["head", "replicate"], "left")
 
 
 def bootstrap_compare(metrics: DataFrame, heads: Sequence[str], names: Sequence[str] = ("pearson", "spearman", "r2", "avg_precision")) -> DataFrame:
@@ -250,8 +290,8 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, n_groups: int, chunks:
     s = rank_sums(df, group, value, chunks)
     n = F.first("total")
     h = 12 / (n * (n + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")) - 3 * (n + 1)
-    corr = 1 - F.first("ties") / (n * n * n - n)
-    return s.agg((h / corr).alias("h")).withColumn("p", chi_square_tail(F.col("h"), n_groups - 1))
+    ties = F.first("ties")
+    return s.agg(F.when((n > 1) & (ties < n * n * n - n), h / (1 - ties / (n * n * n - n))).alias("h")).withColumn("p", chi_square_tail(F.col("h"), n_groups - 1))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str, chunks: int | None = None) -> DataFrame:
@@ -261,6 +301,6 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str,
     a = s.agg(pick("rank_sum", first).alias("r1"), pick("n", first).alias("n1"), pick("n", second).alias("n2"), F.first("ties").alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
+    mixed = F.col("ties") < n * n * n - n  # at least two different values
+    z = F.when(mixed, (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))))
     return a.select(u.alias("u"), z.alias("z"), F.least(erfc(F.greatest(z, F.lit(0.0)) / math.sqrt(2.0)), F.lit(1.0)).alias("p"))

@@ -138,7 +138,7 @@ def threshold_sweep(df: DataFrame, by: Sequence[str], n: int = 50, score: str =
     tot = d.groupBy(*by).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("n_pos"))
     g = g.filter("t >= 0 AND i > 0").groupBy(*by, "t").agg(F.sum("p").alias("tp"), F.sum("c").alias("called"))
     g = lookup(lookup(g, tot, by), e, by)
-    return g.select(*by, "t", (F.col("lo") + F.col("t") * step).alias("threshold"), (F.col("tp") / F.col("called")).alias("precision"), (F.col("tp") / F.col("n_pos")).alias("recall"))
+    return g.select(*by, "t", (F.col("lo") + F.col("t") * step).alias("threshold"), (F.col("tp") / F.col("called")).alias("precision"), F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).alias("recall"))
 
 
 def best_heads(long_metrics: DataFrame, by: Sequence[str], family: str = "family", value: str = "value", higher: bool = True) -> DataFrame:

@@ -185,7 +185,7 @@ CDF = "[" + ", ".join(repr(p) for p in R.POISSON_ONE) + "]"
 
 
 def boot_sql(key: str, n: int) -> str:
-    return f""", bw AS (SELECT * FROM (SELECT r AS replicate, y, label, a, b, c, len(list_filter({CDF}, lambda p: p <= CAST(('0x' || substring(md5(concat_ws(':', '42', CAST(r AS STRING), {key})), 1, 12)) AS BIGINT) / 281474976710656)) AS w FROM rp CROSS JOIN (SELECT unnest(range({n})) AS r) x) q WHERE w > 0),
+    return f""", bw AS (SELECT * FROM (SELECT r AS replicate, y, label, a, b, c, len(list_filter({CDF}, lambda p: p <= CAST(('0x' || substring(md5(concat_ws(':', '42', CAST(r // 4 AS STRING), {key})), r % 4 * 8 + 1, 8)) AS BIGINT) / 4294967296)) AS w FROM rp CROSS JOIN (SELECT unnest(range({n})) AS r) x) q WHERE w > 0),
 bl AS (SELECT *, abs(score) AS ascore FROM {long('bw', 'replicate, w, y, label')} z),
 br AS (SELECT replicate, head, y, score, w, sum(w) OVER (PARTITION BY replicate, head ORDER BY y RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, head, y) - 1) / 2 AS ra, sum(w) OVER (PARTITION BY replicate, head ORDER BY score RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, head, score) - 1) / 2 AS rb FROM bl),
 bs AS (SELECT replicate, head, sum(w) AS n, (sum(w * y * score) - sum(w * y) * sum(w * score) / sum(w)) / sqrt((sum(w * y * y) - sum(w * y) ** 2 / sum(w)) * (sum(w * score * score) - sum(w * score) ** 2 / sum(w))) AS pearson, 1 - sum(w * (y - score) ** 2) / (sum(w * y * y) - sum(w * y) ** 2 / sum(w)) AS r2,

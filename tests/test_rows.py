@@ -154,7 +154,7 @@ def test_splits_have_exact_sizes(spark):
 
 
 def test_poisson_weights_and_tests(spark):
-    w = spark.range(20000).select(R.poisson_weight(1, F.lit(0), F.col("id").cast("string")).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).collect()[0]
+    w = spark.range(20000).select(R.poisson_weight(1, 2, F.col("id").cast("string")).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).collect()[0]
     assert w.m == pytest.approx(1, abs=0.03) and w.v == pytest.approx(1, abs=0.06)
     r = one(spark, e=R.erfc(F.lit(1.0)), c2=R.chi_square_tail(F.lit(3.0), 2), c3=R.chi_square_tail(F.lit(3.0), 3), c4=R.chi_square_tail(F.lit(3.0), 4))
     assert r.e == pytest.approx(0.157299, abs=1e-6) and r.c2 == pytest.approx(0.223130, abs=1e-6)
