@@ -12,6 +12,7 @@ from splicelake.functions import scalar as S
 from splicelake.operators.curves import ranking_metrics, regression_metrics, spearman
 from splicelake.operators.evaluation import medians, quantile_edges_bins
 from splicelake.operators.ordered import average_ranks, lookup, running
+from splicelake.session import spread
 
 # Smallest groups for regions, exons and profile bins.
 MIN_ROWS = 5
@@ -188,7 +189,9 @@ def bootstrap_metrics(df: DataFrame, truth: str, label: str, heads: Sequence[str
 
 def _bootstrap_block(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, reps: list[int], seed: int) -> DataFrame:
     w = [f"_w{r}" for r in reps]
-    d = df.select(truth, (F.col(label) > 0).cast("int").alias("_y"), *heads, *[poisson_weight(seed, r, key).alias(c) for r, c in zip(reps, w)])
+    d = spread(df.select(truth, (F.col(label) > 0).cast("int").alias("_y"), *heads, key.alias("_key")))
+    key = F.col("_key")
+    d = d.select(truth, "_y", *heads, *[poisson_weight(seed, r, key).alias(c) for r, c in zip(reps, w)])
     long = d.unpivot([truth, "_y", *w], list(heads), "head", "score")
     pick = lambda c: [F.sum(c).alias(c) for c in w]
     # average ranks of truth (shared by all heads) and of each head's score, one column per replicate

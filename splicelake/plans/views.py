@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from splicelake.session import spread
+
 _SAMPLE = "concat('S', CAST(l_suppkey % 10 AS STRING)) AS sample"
 _LREGION = "concat('chr', CAST(l_partkey % 5 + 1 AS STRING)) AS region"
 _LSTRAND = "CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand"
@@ -91,6 +93,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         a = e.filter("vec_id % 2 = 0").selectExpr("vec_id AS var_id", "embedding AS ref", "label AS class")
         return a.join(b, "var_id").select("var_id", "ref", "alt", "class")
     src, exprs = VIEWS[name]
+    if name == "v_seq":
+        return spread(table(spark, sf_dir, src).select("doc_id", "text")).selectExpr(*exprs)
     return table(spark, sf_dir, src).selectExpr(*exprs)
 
 

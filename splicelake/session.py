@@ -51,3 +51,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan one task per core before heavy expressions (one small file is one task); large scans pass."""
+    if estimated_bytes(df) >= SINGLE_CHUNK_BYTES:
+        return df
+    return df.repartition(shuffle_width(df.sparkSession))
