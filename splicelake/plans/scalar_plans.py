@@ -10,10 +10,6 @@ from splicelake.plans.registry import query
 from splicelake.plans.views import cte, view
 
 
-def _round(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
-
-
 GOOD = "(flag & 2) <> 0 AND (flag & 256) = 0 AND mapq = 255"
 VW = "(vw IS NULL OR vw = '1')"
 
