@@ -101,10 +101,10 @@ def position_profile(spark, sf):
     return rounded(R.position_profile(d, [], "pos", "ay"), ["mean", "median"])
 
 
-@query(cte("v_reporter") + RP + ", e AS (SELECT head, pos, abs(score - y) AS err, label FROM " + long("rp", "pos, y, label") + " z) SELECT head, pos, count(*) AS n, round(avg(err), 9) AS mae, round(avg(label), 6) AS share_positive FROM e GROUP BY head, pos HAVING count(*) >= 5")
+@query(cte("v_reporter") + RP + ", e AS (SELECT head, pos, abs(score - y) AS err, label FROM " + long("rp", "pos, y, label") + " z) SELECT head, pos, count(*) AS n, round(sum(err), 7) AS abs_error, round(avg(label), 6) AS share_positive FROM e GROUP BY head, pos HAVING count(*) >= 5")
 def error_profile(spark, sf):
     d = _r(spark, sf).unpivot(["pos", "y", "label"], HEADS, "head", "score")
-    return d.groupBy("head", "pos").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("score") - F.col("y"))), 9).alias("mae"), F.round(F.avg("label"), 6).alias("share_positive")).filter("n >= 5")
+    return d.groupBy("head", "pos").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("score") - F.col("y"))), 7).alias("abs_error"), F.round(F.avg("label"), 6).alias("share_positive")).filter("n >= 5")
 
 
 @query(cte("v_reporter") + "SELECT pos, round(avg(sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2) / 3)), 6) AS disagreement FROM v_reporter GROUP BY pos")

@@ -76,8 +76,9 @@ def direction_shares(spark, sf):
 def single_origin_shares(spark, sf):
     """Sites seen in one sample only: where they come from."""
     d = view(spark, sf, "v_usage").filter("alpha >= 7").groupBy("site", "sample").agg(F.count("*").alias("n"))
-    one = d.groupBy("site").agg(F.count("*").alias("k"), F.min("sample").alias("sample")).filter("k = 1").withColumn("all", F.lit(1))
-    return rounded(T5.share_table(one, "all", "sample"), ["share"]).drop("all")
+    one = d.groupBy("site").agg(F.count("*").alias("k"), F.min("sample").alias("sample")).filter("k = 1")
+    g = one.groupBy("sample").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / g.agg(F.sum("n")).scalar(), 6))
 
 
 @query(cte("v_tissue_site") + TS + ", w AS (SELECT pos, tissue, avg(ssu) AS m, var_samp(ssu) AS v FROM ts GROUP BY pos, tissue) SELECT pos, round(avg(m), 6) AS mean, round(var_samp(m), 6) AS var, round(stddev_samp(m), 6) AS sd, round(max(m) - min(m), 6) AS range, round(avg(v), 6) AS within_var FROM w GROUP BY pos HAVING count(*) = 5")
