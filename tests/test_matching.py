@@ -6,6 +6,7 @@ from hashlib import md5
 import pytest
 
 from splicelake.operators import matching as M
+from splicelake.session import written
 
 COLS = "tissue string, var_key string, gene_id string, ref string, alt string, splice_dist long, bin int"
 
@@ -19,6 +20,11 @@ def _world(seed, n_pos=14, n_neg=40, span=30):
     return pos, neg
 
 
+def _stored(spark, rows, schema):
+    # a stored table has a known small size, so the plans stay short
+    return written(spark.createDataFrame(rows, schema), "match")
+
+
 def _h(k):
     return md5(k.encode()).hexdigest()
 
@@ -40,7 +46,7 @@ def _greedy(pos, neg, cap):
 @pytest.mark.parametrize("seed,cap,cut", [(1, None, False), (2, 4, False), (5, 2, True)])
 def test_tiered_equals_sequential_greedy(spark, seed, cap, cut):
     pos, neg = _world(seed)
-    p, n = spark.createDataFrame(pos, COLS + ", pip double"), spark.createDataFrame(neg, COLS)
+    p, n = _stored(spark, pos, COLS + ", pip double"), _stored(spark, neg, COLS)
     got = M.tiered_matches(p, n, cap, force_cut=cut).collect()
     assert {(r.tissue, r.pos_var_key): (r.neg_var_key, r.tier) for r in got if r.neg_var_key} == _greedy(pos, neg, cap)
     partners = [(r.tissue, r.neg_var_key) for r in got if r.neg_var_key]
@@ -73,7 +79,7 @@ def test_line_assignment_is_optimal(cap):
 @pytest.mark.parametrize("cut", [False, True])
 def test_optimal_matches_are_one_to_one(spark, cut):
     pos, neg = _world(11, 20, 60)
-    p, n = spark.createDataFrame(pos, COLS + ", pip double"), spark.createDataFrame(neg, COLS)
+    p, n = _stored(spark, pos, COLS + ", pip double"), _stored(spark, neg, COLS)
     got = M.optimal_matches(p, n, None, force_cut=cut).collect()
     assert len({(r.tissue, r.neg_var_key) for r in got}) == len(got) == len({(r.tissue, r.pos_var_key) for r in got})
     total = sum(abs(math.log10(r.pos_dist + 1) - math.log10(r.neg_dist + 1)) for r in got)
@@ -85,7 +91,7 @@ def test_optimal_matches_are_one_to_one(spark, cut):
 def test_cut_drops_rows_but_keeps_reach(spark):
     pos = [("t", "p1", "g1", "A", "G", 500, 1, 0.9)]
     neg = [("t", f"n{i}", "g1", "A", "G", i, 1) for i in range(1000)]
-    p, n = (M.with_group(d) for d in (spark.createDataFrame(pos, COLS + ", pip double"), spark.createDataFrame(neg, COLS)))
-    kept = {r.splice_dist for r in M.cut_candidates(p, n, list(M.TIERS.values()), True).collect()}
+    p, n = (M.with_group(d) for d in (_stored(spark, pos, COLS + ", pip double"), _stored(spark, neg, COLS)))
+    kept = {r.splice_dist for r in M.cut_candidates(p, n, [("grp",), ("gene_id",)], True).collect()}
     # one positive: its own distance is a nearest candidate on both sides, nothing else can be reached
     assert kept == {500}
