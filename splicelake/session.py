@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Below this estimated size one window task per group is cheaper than a split window.
 SINGLE_CHUNK_BYTES = 64 * 1024 * 1024
 
+_local_scratch: str | None = None
+
 
 def build_session(app: str = "splicelake", master: str | None = None, partitions: int | None = None, progress: bool = False) -> SparkSession:
     b = (
@@ -28,11 +30,16 @@ def build_session(app: str = "splicelake", master: str | None = None, partitions
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors must share.
+
+    Where it is unset, only a local session gets a folder of its own; a cluster is asked for one.
+    """
+    global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
