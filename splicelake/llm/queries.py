@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import decontaminate
+from splicelake.llm import archives, decontaminate, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,19 @@ def op1_decontamination(spark, sf_dir):
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+@query(
+    """with p as (select page_id, html, encode(coalesce(html, '')) as body from pages),
+    g as (select body, max(page_id) as kept, count(*) as n from p where octet_length(body) >= 1000 group by body),
+    j as (select p.page_id, p.body, case when g.n > 1 and g.kept is distinct from p.page_id then g.kept end as refers_to from p left join g on p.body = g.body)
+    select page_id, cast(octet_length(body) as bigint) as payload_bytes, sha1(body) as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from j"""
+)
+def op2_warc(spark, sf_dir):
+    return archives.round_trip(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_sharding(spark, sf_dir):
+    out = shards.sharded(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
