@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, shards
+from splicelake.llm import archives, decontaminate, quality, rules, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,13 @@ def op2_warc(spark, sf_dir):
 def op8_sharding(spark, sf_dir):
     out = shards.sharded(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query()
+def op4_quality_rules(spark, sf_dir):
+    return rules.judged(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op7_quality_classifier(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
