@@ -1,6 +1,6 @@
 """WARC records in ZIP packages: written by tasks, read back by byte ranges.
 
-A package is a ZIP file with two stored members: ``archive/data.warc`` and ``indexes/index.cdxj``, a line per record with offset and
+A package is a ZIP file with two stored members: ``archive/data.warc.gz``, a gzip member for each record, and ``indexes/index.cdxj``, a line per record with offset and
 length inside the archive. ``write_packages`` lets each task write packages of about ``PACKAGE_BYTES`` below a shared folder and
 returns a manifest; a task that is repeated writes new files, and only those of the attempt that counts are listed.
 
@@ -14,6 +14,7 @@ Null payloads are empty; null ids and urls are kept as null. Rows with equal ids
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import posixpath
@@ -33,7 +34,7 @@ from splicelake.session import scratch_dir
 
 PACKAGE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records with smaller payloads are never turned into references.
 MIN_REVISIT = 1000
 #: Fixed values of the formats.
@@ -122,7 +123,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str, url_col: str, pay
         for batch in pieces(batches, "payload"):
             for row in batch.to_pylist():
                 package = package or _Package(folder)
-                package.add(row["id"], date, record(row["id"], row["url"], row["payload"] or b"", row["refers_to"], date))
+                package.add(row["id"], date, gzip.compress(record(row["id"], row["url"], row["payload"] or b"", row["refers_to"], date), compresslevel=4, mtime=0))
                 if package.at >= package_bytes:
                     done.append(package.close())
                     package = None
@@ -221,7 +222,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
                 read, _ = _opened(row["path"])
                 data, at, rows = read(row["at"], sum(row["lengths"])), 0, []
                 for n in row["lengths"]:
-                    rows.append(parsed(data[at : at + n]))
+                    rows.append(parsed(gzip.decompress(data[at : at + n])))
                     at += n
                 yield pa.record_batch({c: pa.array([x[c] for x in rows], kinds[k]) for c, k in fields})
 
