@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, nearcopies, quality, rules, shards
+from splicelake.llm import archives, decontaminate, nearcopies, quality, rules, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,7 +64,7 @@ def op7_quality_classifier(spark, sf_dir):
 
 @query(
     """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
-    s as (select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))) end) as shingle from w),
+    s as (select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) end) as shingle from w),
     n as (select doc_id, count(*) as n from s group by doc_id),
     p as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
     l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
@@ -74,3 +74,9 @@ def op7_quality_classifier(spark, sf_dir):
 )
 def op10_minhash(spark, sf_dir):
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), k=4).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    out = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.transform("evidence", lambda x: x.id.cast("string")).alias("evidence"))
