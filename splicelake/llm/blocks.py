@@ -92,6 +92,13 @@ class Block:
         return total[self.off[1:]] - total[self.off[:-1]]
 
 
+def coded(joined: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Strings that stand one after the other: a number for each, equal for equal strings, and the strings by number."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    found = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 class Words:
     """Words of a block: byte ranges, text of each, and numbers that are equal for equal words."""
 
@@ -106,10 +113,7 @@ class Words:
         self.first = np.searchsorted(starts, block.off)  # of each text, and the number of all
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(block.n), self.counts)
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[mask])]).dictionary_encode()
-        self.ids = coded.indices.to_numpy().astype(np.int64)
-        self.dictionary = coded.dictionary
+        self.ids, self.dictionary = coded(buf[mask], ends - starts)
 
     def hashes(self) -> np.ndarray:
         """64 bits of each word."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, nearcopies, quality, rules, shards, toxicity
+from splicelake.llm import archives, decontaminate, nearcopies, packing, quality, rules, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op10_minhash(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     out = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.transform("evidence", lambda x: x.id.cast("string")).alias("evidence"))
+
+
+@query()
+def op6_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents")).drop("tokens").withColumnRenamed("id", "doc_id")
