@@ -1,15 +1,16 @@
 """Near copies: universal hash minima with banding, verified links, and components by alternating large-star and small-star.
 
-1. Every text gets its set of word shingles (64-bit hashes), the minimum of each of ``BANDS * ROWS`` multiply-add hashes over the set,
+1. Every text gets its set of word shingles (64-bit hashes), the minima of ``BANDS * ROWS`` multiply-add hashes over the set,
    and a key of the whole set. Texts with equal sets form one class; only classes go on, so exact copies never meet in pairs.
 2. Classes that agree in all minima of a band share a bucket. First each class is paired with one class only, the smallest that it
-   shares a bucket with; verified pairs are joined to components. Then only pairs of one bucket that lie in different components are
-   left; all of them are taken, unless their signatures already show that they are far apart. So a bucket of thousands of near
-   copies costs one pair for each, and no link between components is lost.
+   shares a bucket with; verified pairs are joined to components. In a few further waves each member of a bucket with several
+   components is paired with one member of another component, drawn by a hash. At last all pairs of one bucket that still lie in
+   different components are compared by a longer signature inside their task, and only those that may be links leave it. So a bucket of thousands of near
+   copies costs a few pairs for each, and no link between components is lost.
 3. A pair is a link if its full sets say so: 100 * |A and B| >= similarity * |A or B|.
 
-A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million; the signature test
-(60 % of minima equal) misses less than that. Null or empty texts and rows without an id are linked with nothing. Texts with fewer
+A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 3 in a million; so is the chance
+that the longer signature drops it. Null or empty texts and rows without an id are linked with nothing. Texts with fewer
 words than a shingle have one shingle, all their words. Repeated rows are exact copies of one another.
 """
 
@@ -26,10 +27,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from splicelake.llm.blocks import NO_SPACE, Block, Words, mixed, pieces, prepared, row_keys, runs, stored
 
 BANDS, ROWS = 32, 5
-NEAR = 0.6
+#: Minima of the second, longer signature, and the share that must agree: 4.5 standard deviations below 0.8.
+SKETCH, NEAR = 512, 0.72
+#: Members of a bucket that meet in one task.
+GROUP = 2048
+#: Waves of one pair for each member of a bucket, before all pairs that are left; they only save work.
+WAVES = 3
 _RANDOM = np.random.default_rng(20240229)
-FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+FACTORS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 #: Shingles hashed at once: they stay in the processor's cache.
 SLICE = 1 << 14
 
@@ -59,18 +65,18 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return code, np.searchsorted(text, np.arange(block.n + 1))
 
 
-def signatures(code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of 32-bit minima for each text with shingles."""
+def minima(code: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """A row of 32-bit minima of the first n hashes for each text with shingles."""
     starts = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(starts), len(FACTORS)), np.uint32)
+    out = np.empty((len(starts), n), np.uint32)
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + SLICE)))
         end = starts[hi] if hi < len(starts) else len(code)
         part, at, product = code[starts[lo] : end], starts[lo:hi] - starts[lo], np.empty(end - starts[lo], np.uint64)
-        for i, (a, b) in enumerate(zip(FACTORS, SHIFTS)):
-            np.multiply(part, a, out=product)
-            np.add(product, b, out=product)
+        for i in range(n):
+            np.multiply(part, FACTORS[i], out=product)
+            np.add(product, SHIFTS[i], out=product)
             out[lo:hi, i] = np.minimum.reduceat(product, at) >> np.uint64(32)
         lo = hi
     return out
@@ -87,7 +93,7 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str, with_sets: bool
             block = Block(batch.column("text"))
             code, first = shingle_sets(block, k)
             size = np.diff(first)
-            full = iter(signatures(code, first))
+            full = iter(minima(code, first, BANDS * ROWS))
             sets = [code[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             columns = [
                 pa.array([next(keys) for _ in sets], pa.int64()), batch.column("id").cast(to_arrow_type(id_type)), pa.array(size, pa.int64()),
@@ -150,17 +156,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in NEAR of their minima at least."""
+def _sketched(sets: DataFrame) -> DataFrame:
+    """node, sketch: SKETCH minima of 16 bits for each set."""
+
+    def sketch(batches):
+        for batch in pieces(batches, "shingles"):
+            found = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            rows = minima(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]), SKETCH).astype(np.uint16)
+            yield pa.record_batch({"node": batch.column("node"), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+    return prepared(sets).mapInArrow(sketch, "node long, sketch binary")
+
+
+def _near_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: pairs of one bucket and different components whose sketches don't rule out a link.
+
+    Members of a bucket are compared inside a task. A bucket of more than GROUP members is cut into parts, and each two parts meet in
+    a task of their own, so no task holds more than twice that many.
+    """
+    parts = left.groupBy("code").agg(F.expr(f"(count(*) + {GROUP - 1}) div {GROUP}").cast("int").alias("parts"))
+    dealt = left.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("code", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "component").join(sketches, "node")
+    n = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["code", "lo", "hi"]
 
     def compare(batches):
+        held: pa.Table | None = None
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("left", "right"))
-                yield batch.filter(pa.array((x == y).mean(axis=1) >= NEAR)).select(["a", "b"])
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            key = np.stack([held.column(c).to_numpy() for c in keys])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(cut):
+                yield from groups(held.slice(0, cut[-1]), cut)
+                held = held.slice(cut[-1])
+        if held is not None and held.num_rows:
+            yield from groups(held, np.array([held.num_rows]))
+
+    def groups(table, cuts):
+        node, component, part, lo, hi = (table.column(c).to_numpy() for c in ("node", "component", "part", "lo", "hi"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(node), SKETCH)
+        found = []
+        start = 0
+        for end in cuts.tolist():
+            for i in range(start, end - 1):
+                rest = np.flatnonzero(component[i + 1 : end] != component[i]) + i + 1
+                if lo[i] != hi[i]:
+                    rest = rest[part[rest] != part[i]]
+                if len(rest):
+                    rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= NEAR]
+                    found.append(np.stack([np.maximum(node[i], node[rest]), np.minimum(node[i], node[rest])]))
+            start = end
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found and sum(x.shape[1] for x in found) else np.zeros((2, 0), np.int64)
+        yield pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    left, right = (nodes.select(F.col("node").alias(c), F.col("signature").alias(s)) for c, s in (("a", "left"), ("b", "right")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return prepared(dealt).repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "part", "node", "component", "sketch").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _stars(joined: DataFrame) -> DataFrame:
+    return joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _undecided(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """code, node, component of the buckets that hold nodes of several components."""
+    placed = members.join(joined, "node", "left").select("code", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code")
+    return stored(placed.join(several, "code", "left_semi"), "undecided")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
@@ -180,17 +241,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(sets, "sets")
 
     first = members.groupBy("node").agg(F.min("center").alias("center")).where("center < node").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    first = stored(first, "pairs")
-    links = stored(_verified(first, sets, similarity), "links")
-    joined = components(links)
-    placed = members.join(joined, "node", "left").select("code", "node", F.coalesce("component", "node").alias("component"))
-    mixed_codes = placed.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code")
-    left = stored(placed.join(mixed_codes, "code", "left_semi"), "mixed")
-    other = left.select("code", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    rest = left.join(other, "code").where("node > other and component <> other_component").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = _verified(stored(_close(rest, nodes), "close"), sets, similarity)
-    all_links = stored(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links")
+    joined = components(stored(_verified(first, sets, similarity), "links"))
+    members = members.select("code", "node")
+    for wave in range(WAVES):
+        left = _undecided(members, joined)
+        centers = left.groupBy("code").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(wave))).alias("c"))
+        pairs = left.join(centers, "code").where("component <> c.component").select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
+        more = stored(_verified(pairs, sets, similarity), "links")
+        if more.isEmpty():
+            break
+        joined = components(_stars(joined).union(more))
+    left = _undecided(members, joined)
+    sketches = stored(_sketched(sets.join(left.select("node").distinct(), "node", "left_semi")), "sketches")
+    more = _verified(stored(_near_pairs(left, sketches), "close"), sets, similarity)
+    all_links = _stars(joined).union(stored(more, "links"))
     placed = nodes.select("node", "set_key", "rep").join(components(all_links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = placed.join(ids, "component").select("set_key", "component_id")
