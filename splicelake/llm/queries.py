@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, nearcopies, packing, quality, rules, shards, toxicity
+from splicelake.llm import archives, decontaminate, nearcopies, packing, pii, quality, rules, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,13 @@ def op9_toxicity(spark, sf_dir):
 @query()
 def op6_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents")).drop("tokens").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op3_pii(spark, sf_dir):
+    out = pii.all_spans(table(spark, sf_dir, "documents"))
+    base = F.array_join(F.transform("base", lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    terms = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms))
+    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
