@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, nearcopies, packing, pii, quality, rules, shards, toxicity
+from splicelake.llm import archives, decontaminate, nearcopies, packing, pii, quality, repeats, rules, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op3_pii(spark, sf_dir):
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     spans = F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms))
     return out.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query()
+def op5_suffix_dedup(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
