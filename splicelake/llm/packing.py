@@ -13,7 +13,9 @@ Null and empty texts have the end id only. Equal texts lie next to one another;
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from splicelake.llm.curve import hilbert_index, positions
 LENGTH = 4096
 END = 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 TOKENIZER = "word_bpe_49k.json"
 
 _ALL = np.arange(256)
@@ -42,10 +44,13 @@ class Chunks:
     """Token ids of chunks of text; number 0 is the end of a document."""
 
     def __init__(self, path: str, end: int = END):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError("ids are stored with 16 bits")
         code = mixed(np.arange(size, dtype=np.uint64))
         plane = np.random.default_rng(7).normal(size=(BUCKETS, DIMENSIONS)).astype(np.float32)
         self.projection = plane[(code % BUCKETS).astype(np.int64)] * np.where(code >> np.uint64(63), 1, -1)[:, None].astype(np.float32)
@@ -53,24 +58,22 @@ class Chunks:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.first, self.n = [np.array([self.end], np.uint32)], [0], [1]
-        self.used = 1
+        self.flat, self.n = np.array([self.end], np.uint16), np.ones(1, np.int64)
+        self.first = np.zeros(1, np.int64)
 
     def numbers(self, chunks: list[bytes]) -> np.ndarray:
         if len(self.number) + len(chunks) > REMEMBERED:
             self.forget()
-        new = [c for c in chunks if c not in self.number]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                ids = e.ids
-                self.number[c] = len(self.n)
-                self.first.append(self.used)
-                self.n.append(len(ids))
-                self.flat.append(np.array(ids, np.uint32))
-                self.used += len(ids)
-        self.flat = [np.concatenate(self.flat)]
-        return np.fromiter((self.number[c] for c in chunks), np.int64, len(chunks))
+        known = self.number
+        new = [c for c in chunks if c not in known]
+        if new:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(b"\0".join(new).decode().split("\0") if not any(b"\0" in c for c in new) else [c.decode() for c in new], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            known.update(zip(new, range(len(self.n), len(self.n) + len(new))))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum()))])
+            self.n = np.concatenate([self.n, n])
+            self.first = np.cumsum(self.n) - self.n
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each begins (with the end of all)."""
@@ -80,16 +83,20 @@ class Chunks:
         start = solid.copy()
         start[1:] &= ~solid[:-1]
         if not special:
-            letter, mark = _LETTER[buf], _PUNCTUATION[buf]
-            start[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+            begins, mark = _LETTER[buf], _PUNCTUATION[buf]
+            ends = begins.copy()
+            wide = (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)  # two-byte Latin letters, without the signs among them
+            begins[:-1] |= wide
+            ends[1:] |= wide
+            start[1:] |= (ends[:-1] & mark[1:]) | (mark[:-1] & begins[1:])
         at = np.flatnonzero(start)
         length = np.add.reduceat(solid, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
         code, chunks = coded(buf[solid], length)
         known = self.numbers(chunks.to_pylist())
         order = np.insert(known[code], np.searchsorted(at, block.off[1:]), 0)  # the end follows each document's last chunk
-        first, n = np.array(self.first), np.array(self.n)
-        ids = self.flat[0][ranges(first[order], n[order])]
-        ends = np.cumsum(n[order])[order == 0]
+        n = self.n[order]
+        ids = self.flat[ranges(self.first[order], n)]
+        ends = np.cumsum(n)[order == 0]
         return ids, np.concatenate([[0], ends])
 
 
@@ -101,7 +108,7 @@ def chunks_of(path: str, end: int) -> Chunks:
 
 
 def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, n_tokens, curve, tie, tokens (little-endian, 32 bits)."""
+    """row, id, n_tokens, curve, tie, tokens (little-endian, 16 bits)."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("curve", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
@@ -112,7 +119,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id"
             n = np.diff(first)
             mean = np.add.reduceat(own.projection[ids], first[:-1]) / n[:, None]
             cells = ((0.5 + np.arctan(3 * mean) / np.pi) * (1 << BITS)).astype(np.int64).clip(0, (1 << BITS) - 1)
-            tokens = [ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            tokens = [ids[a:b].astype("<u2").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.record_batch([
                 pa.array([next(keys) for _ in tokens], pa.int64()), batch.column("id").cast(to_arrow_type(id_type)), pa.array(n, pa.int64()), pa.array(hilbert_index(cells, BITS), pa.int64()),
                 pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array(tokens, pa.binary()),
@@ -135,6 +142,7 @@ def packed(docs: DataFrame, path: str | None = None, end: int = END, length: int
         for batch in batches:
             who, rows, parts = [], [], []
             for i, (before, tokens) in enumerate(zip(batch.column("before").to_pylist(), batch.column("tokens").to_pylist())):
+                tokens = np.frombuffer(tokens, "<u2").astype("<u4").tobytes()
                 n, at = len(tokens) // 4, 0
                 while at < n:
                     take = min(n - at, length - (before + at) % length)
