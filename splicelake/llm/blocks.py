@@ -160,3 +160,9 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
 def text_key(text: str = "text"):
     """Equal for equal texts (null counts as empty): 128 bits of SHA-256."""
     return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32)
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text are in ``rejected`` (id, text_key). Null ids are compared like values."""
+    bad = rejected.select(F.col("id").alias("rejected_id"), F.col("text_key").alias("rejected_key"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["rejected_id"]) & (text_key(text_col) == bad["rejected_key"]), "left_anti")

@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Examples are at most ``SAMPLE`` labelled rows, half of them of either class where there are enough (chosen by a hash of the id).
+Examples are at most ``SAMPLE`` labelled rows, half of them of either class where there are enough (chosen by a hash of the id);
+copies among them count once.
 The vector space has the words and word beginnings whose counts differ between the classes beyond chance (G-test, Bonferroni bound over all words of the
 examples); their document frequencies are counted over all documents, and every document gets its exact cosine to its nearest
 examples. The index keeps examples in blocks with the largest weight of each word in a block. A query takes blocks in the order of
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from splicelake.llm.blocks import ALNUM, Block, Words, broadcast_bounded, pieces, prepared, stored
+from splicelake.llm.blocks import ALNUM, Block, Words, broadcast_bounded, pieces, prepared, stored, text_key
 from splicelake.llm.labels import bounded_sample, held_out
 
 #: Most labelled examples, words of the space, and examples that a word must stand in.
@@ -190,19 +191,28 @@ def train(rows: list[tuple], idf: np.ndarray, class_sizes: tuple[int, int]) -> M
     return Model(index, idf, at, to, alone)
 
 
+def _frequencies(batches):
+    """Documents by term, one row per term and batch."""
+    for batch in batches:
+        term, n = np.unique(batch.column("terms").flatten().to_numpy(), return_counts=True)
+        yield pa.record_batch({"term": pa.array(term, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """id, held_out, score, predicted, evidence (nearest examples with their cosines). Texts are read once for all documents."""
+    """id, text_key, held_out, score, predicted, evidence (nearest examples with their cosines). Texts are read once for all documents."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [tuple(r) for y in (0, 1) for r in bounded_sample(known.where(F.col("y") == y), F.col("id"), sample // 2).orderBy("id").collect()]
     examples = spark.createDataFrame(chosen, T.StructType([T.StructField("id", id_type), T.StructField("y", T.IntegerType())]))
-    words = space(rows.join(F.broadcast(examples), "id"))  # ``sample`` rows at most
+    known_texts = rows.join(F.broadcast(examples), "id").dropDuplicates(["text_key", "y"])  # ``sample`` rows at most
+    known_texts = stored(known_texts, "examples")
+    words = space(known_texts)
 
-    vector = T.StructType([T.StructField("id", id_type), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    vector = T.StructType([T.StructField("id", id_type), T.StructField("text_key", T.StringType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
     shared_words = broadcast_bounded(spark, words)
 
     def vectors(batches):
@@ -214,16 +224,16 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             term = own[term] if len(terms) else term
             text, term, count = _pairs(text[term >= 0], term[term >= 0])
             cut = pa.array(np.searchsorted(text, np.arange(block.n + 1)), pa.int32())
-            yield pa.record_batch([batch.column("id").cast(to_arrow_type(id_type)), pa.ListArray.from_arrays(cut, pa.array(term, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(count, pa.int32()))], ["id", "terms", "counts"])
+            yield pa.record_batch([batch.column("id").cast(to_arrow_type(id_type)), batch.column("text_key").cast(pa.string()), pa.ListArray.from_arrays(cut, pa.array(term, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(count, pa.int32()))], vector.names)
 
     space_rows = stored(prepared(rows).mapInArrow(vectors, vector), "vectors")
     n_docs = space_rows.count()
     df = np.zeros(max(1, len(words)))
-    for term, n in space_rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a number for each word of the space
+    for term, n in space_rows.select("terms").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # a number for each word of the space
         df[term] = n
     idf = np.log((n_docs + 1) / (df + 1)) + 1
     picked = {}
-    for r in space_rows.join(F.broadcast(examples), "id").select("id", "y", "terms", "counts").orderBy("id", "terms", "counts").collect():
+    for r in space_rows.join(F.broadcast(known_texts.select("id", "y")), "id").select("id", "y", "terms", "counts").orderBy("id", "terms", "counts").collect():
         picked.setdefault(r.id, (r.id, r.y, r.terms, r.counts))  # of rows with one id, one counts
     model = broadcast_bounded(spark, train(list(picked.values()), idf, (sizes.get(0, 0), sizes.get(1, 0))))
 
@@ -232,7 +242,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def score(batches):
         for batch in batches:
             out = [model.value.score(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
-            yield pa.record_batch([batch.column("id"), pa.array([s for s, _ in out], pa.float64()), pa.array([[{"id": i, "cosine": c} for i, c in e] for _, e in out], to_arrow_type(evidence))], ["id", "score", "evidence"])
+            yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array([s for s, _ in out], pa.float64()), pa.array([[{"id": i, "cosine": c} for i, c in e] for _, e in out], to_arrow_type(evidence))], ["id", "text_key", "score", "evidence"])
 
-    out = space_rows.mapInArrow(score, T.StructType([T.StructField("id", id_type), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
-    return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    out = space_rows.mapInArrow(score, T.StructType([T.StructField("id", id_type), T.StructField("text_key", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
+    return out.select("id", "text_key", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
