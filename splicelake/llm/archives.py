@@ -63,7 +63,8 @@ def record(record_id: str | None, url: str | None, payload: bytes, refers_to: st
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}", f"Content-Length: {len(body)}",
     ]
-    head += [f"WARC-Record-ID: {name(record_id)}"] * (record_id is not None) + [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%')}"] * (url is not None)
+    head += [f"WARC-Record-ID: {name(record_id)}"] if record_id is not None else []
+    head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%')}"] if url is not None else []
     head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {name(refers_to)}"] if refers_to is not None else []
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 

@@ -104,16 +104,21 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str, with_sets: bool
     return prepared(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def _band_codes(batches):
-    """node, code: one row per band; the band's number is part of the code."""
+def band_codes(rows: np.ndarray) -> np.ndarray:
+    """A number for each band of each row of minima; the band's own number is part of it."""
+    rows = rows[:, : BANDS * ROWS].reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+    code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
+    for i in range(ROWS):
+        code = mixed(code + rows[:, :, i])
+    return code.view(np.int64)
+
+
+def _bands(batches):
+    """node, code: one row per band."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
-        code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
-        for i in range(ROWS):
-            code = mixed(code + rows[:, :, i])
-        yield pa.record_batch({"node": pa.array(np.repeat(batch.column("node").to_numpy(), BANDS), pa.int64()), "code": pa.array(code.ravel().view(np.int64), pa.int64())})
+        if batch.num_rows:
+            code = band_codes(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+            yield pa.record_batch({"node": pa.array(np.repeat(batch.column("node").to_numpy(), BANDS), pa.int64()), "code": pa.array(code.ravel(), pa.int64())})
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -157,22 +162,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _sketched(sets: DataFrame) -> DataFrame:
-    """node, sketch: SKETCH minima of 16 bits for each set."""
+    """node, sketch, bands: SKETCH minima of 16 bits and the band codes of each set."""
 
     def sketch(batches):
         for batch in pieces(batches, "shingles"):
             found = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-            rows = minima(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]), SKETCH).astype(np.uint16)
-            yield pa.record_batch({"node": batch.column("node"), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())})
+            rows = minima(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]), SKETCH)
+            short = [r.tobytes() for r in rows.astype(np.uint16)]
+            yield pa.record_batch({"node": batch.column("node"), "sketch": pa.array(short, pa.binary()), "bands": pa.array([r.tobytes() for r in band_codes(rows)], pa.binary())})
 
-    return prepared(sets).mapInArrow(sketch, "node long, sketch binary")
+    return prepared(sets).mapInArrow(sketch, "node long, sketch binary, bands binary")
 
 
 def _near_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b: pairs of one bucket and different components whose sketches don't rule out a link.
 
     Members of a bucket are compared inside a task. A bucket of more than GROUP members is cut into parts, and each two parts meet in
-    a task of their own, so no task holds more than twice that many.
+    a task of their own, so no task holds more than twice that many. A pair that shares several buckets is taken in the first.
     """
     parts = left.groupBy("code").agg(F.expr(f"(count(*) + {GROUP - 1}) div {GROUP}").cast("int").alias("parts"))
     dealt = left.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -196,6 +202,7 @@ def _near_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
     def groups(table, cuts):
         node, component, part, lo, hi = (table.column(c).to_numpy() for c in ("node", "component", "part", "lo", "hi"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(node), SKETCH)
+        bands, code = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(len(node), BANDS), table.column("code").to_numpy()
         found = []
         start = 0
         for end in cuts.tolist():
@@ -205,12 +212,13 @@ def _near_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
                     rest = rest[part[rest] != part[i]]
                 if len(rest):
                     rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= NEAR]
+                    rest = rest[bands[i][(bands[rest] == bands[i]).argmax(axis=1)] == code[i]]
                     found.append(np.stack([np.maximum(node[i], node[rest]), np.minimum(node[i], node[rest])]))
             start = end
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found and sum(x.shape[1] for x in found) else np.zeros((2, 0), np.int64)
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
         yield pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    return prepared(dealt).repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "part", "node", "component", "sketch").mapInArrow(compare, "a long, b long").distinct()
+    return prepared(dealt).repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "part", "node", "component", "sketch", "bands").mapInArrow(compare, "a long, b long")
 
 
 def _stars(joined: DataFrame) -> DataFrame:
@@ -232,7 +240,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = texts.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.min_by("id", "row").alias("own"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "classes")
 
-    codes = prepared(nodes.select("node", "signature")).mapInArrow(_band_codes, "node long, code long")
+    codes = prepared(nodes.select("node", "signature")).mapInArrow(_bands, "node long, code long")
     buckets = codes.groupBy("code").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").select("code", "center")
     members = stored(codes.join(buckets, "code"), "buckets")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("own").alias("id"), "set_key")
