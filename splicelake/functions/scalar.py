@@ -249,34 +249,30 @@ def site_motif(seq: Column, label: Column, centre: Column) -> Column:
     )
 
 
-def location_flags(pos: Column, start: Column, end: Column) -> dict[str, Column]:
-    """Boolean column per variant location relative to an exon (windows: −8/+2 broad, 2 intronic bases canonical)."""
-    acc_broad, don_broad = pos.between(start - 8, start + 2), pos.between(end - 2, end + 8)
-    acc, don = pos.between(start - 2, start - 1), pos.between(end + 1, end + 2)
-    broad, inside = acc_broad | don_broad, pos.between(start, end)
-    exon = inside & ~broad
-    nearer_acc = F.abs(pos - start) <= F.abs(pos - end)
-    return {
-        "all": F.lit(True),
-        "exon": exon,
-        "intron": ~inside & ~broad,
-        "splice_site": acc | don,
-        "splice_region": broad & ~(acc | don),
-        "splice_site_acc": acc,
-        "splice_site_don": don,
-        "splice_region_acc": acc_broad & ~acc,
-        "splice_region_don": don_broad & ~don,
-        "exon_acc": exon & nearer_acc,
-        "exon_don": exon & ~nearer_acc,
-        "intron_acc": ~inside & ~broad & (pos < start),
-        "intron_don": ~inside & ~broad & (pos > end),
-    }
+#: Bases outward from an exon boundary (negative: inside the exon) that form a splice site and a splice region.
+SITE_REACH, REGION_REACH = (1, 2), (-2, 8)
+
+
+def _boundary_class(outward: Column) -> Column:
+    """Class of an offset from one boundary, null beyond the region."""
+    return F.when(outward.between(*SITE_REACH), "splice_site").when(outward.between(*REGION_REACH), "splice_region")
 
 
 def locations(pos: Column, start: Column, end: Column) -> Column:
-    """Array of the location names that hold."""
-    flags = location_flags(pos, start, end)
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]), lambda x: x.isNotNull())
+    """Names of the location classes of a variant: ``all``, its class, and the class with the side it belongs to.
+
+    Each boundary classifies its offset on its own; the class nearer to a splice site counts. What neither boundary claims is exon or
+    intron and belongs to the boundary on its side. In short exons both boundaries may name a side.
+    """
+    acceptor, donor = _boundary_class(start - pos), _boundary_class(pos - end)
+    body = F.when(pos.between(start, end), "exon").otherwise("intron")
+    best = F.when((acceptor == "splice_site") | (donor == "splice_site"), "splice_site").otherwise(F.coalesce(acceptor, donor))
+    left_half = F.when(body == "exon", F.abs(pos - start) <= F.abs(pos - end)).otherwise(pos < start)
+    side = F.when(left_half, "_acc").otherwise("_don")
+    named = F.array(F.concat(acceptor, F.lit("_acc")), F.concat(donor, F.lit("_don")), F.when(best.isNull(), F.concat(body, side)))
+    # sites stand before regions
+    named = F.array_sort(F.filter(named, lambda x: x.isNotNull()), lambda x, y: F.when(x.contains("site") & ~y.contains("site"), -1).when(y.contains("site") & ~x.contains("site"), 1).otherwise(0))
+    return F.concat(F.array(F.lit("all"), F.coalesce(best, body)), named)
 
 
 def boundary_distance(pos: Column, start: Column, end: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions.stats import correlation
-from splicelake.operators.ordered import average_ranks, lookup, running
+from splicelake.operators.ordered import average_ranks, hash_rank, lookup, running
 
 
 def curve(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None, chunks: int | None = None) -> DataFrame:
@@ -54,10 +54,15 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], score: str = "score", labe
     return summarise(curve(df, by, score, label, weight, chunks), by)
 
 
+#: Seed of the hash that orders ties.
+TIE_SEED = 0
+
+
 def top_k(df: DataFrame, by: Sequence[str], keys: Sequence[str], factors: Sequence[float] = (1.0,), score: str = "score", label: str = "label", chunks: int | None = None) -> DataFrame:
     """Hits among the k best rows over min(k, positives), k = floor(factor × positives), and the threshold score.
 
-    Scores above the threshold come from the curve; only the rows tied at the threshold are ranked, by key.
+    Scores above the threshold come from the curve; only the rows tied at the threshold are ranked, by a hash of the whole key, so
+    the choice depends neither on partitions nor on the form of the keys, and ties spread over all tasks.
     """
     by = list(by)
     c = curve(df, by, score, label, chunks=chunks)
@@ -69,8 +74,7 @@ def top_k(df: DataFrame, by: Sequence[str], keys: Sequence[str], factors: Sequen
     )
     wide = edge.select(*by, "factor", F.col("threshold").alias("_s"), "need")
     tied = lookup(df.withColumn("_s", F.col(score).cast("double")), wide.select(*by, "_s").distinct().withColumn("_e", F.lit(1)), [*by, "_s"])
-    hashed = tied.withColumn("_k", F.concat_ws("|", *[F.lpad(F.col(x).cast("string"), 20, "0") for x in keys]))
-    ranked = running(hashed, [*by, "_s"], "_k", {"_rn": F.lit(1).cast("long")}, chunk_expr=F.substring("_k", 1, 16))
+    ranked = hash_rank(tied, [*by, "_s"], keys, TIE_SEED, "_rn")
     ranked = ranked.select(*by, "_s", "_rn", F.col(label).alias("_y"))
     hits = wide.join(ranked, [*by, "_s"]).filter("_rn <= need").groupBy(*by, "factor").agg(F.sum(F.when(F.col("_y") > 0, 1).otherwise(0)).alias("_h"))
     out = lookup(edge, hits, [*by, "factor"], "left")

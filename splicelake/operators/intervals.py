@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,10 +133,9 @@ def resolve_overlaps(intervals: DataFrame, by: Sequence[str], start: str = "gsta
     schema = d.select(*cols).schema
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [list(r) for r in pdf.sort_values([start, end, ident])[[start, end, ident]].itertuples(index=False)]
-        moved = True
-        while moved:
-            rows, moved = _one_pass(rows)
+        before, rows = None, list(pdf.sort_values([start, end, ident])[[start, end, ident]].itertuples(index=False, name=None))
+        while rows != before:
+            before, rows = rows, reduce(_add_interval, sorted(rows, key=itemgetter(0)), [])
         out = pd.DataFrame(rows, columns=[start, end, ident])
         for c in by:
             out[c] = pdf[c].iloc[0]
@@ -144,24 +145,20 @@ def resolve_overlaps(intervals: DataFrame, by: Sequence[str], start: str = "gsta
     return alone.unionByName(crowded)
 
 
-def _one_pass(rows: list[list]) -> tuple[list[list], bool]:
-    """One left-to-right sweep over intervals in start order: the relatively smaller overlap share decides who is cut."""
-    kept: list[list] = []
-    moved = False
-    for lo, hi, ident in sorted(rows, key=lambda r: r[0]):
-        if kept and lo < kept[-1][1]:
-            moved = True
-            plo, phi, _ = kept[-1]
-            if hi <= phi and lo >= plo:
-                continue
-            if hi - lo <= phi - plo:  # equal overlap, so the longer previous one loses a smaller share
-                if lo > plo:
-                    kept[-1][1] = lo
-                else:
-                    kept.pop()
-            else:
-                if phi >= hi:
-                    continue
-                lo = phi
-        kept.append([lo, hi, ident])
-    return kept, moved
+def _add_interval(done: list[tuple], new: tuple) -> list[tuple]:
+    """``done`` with one interval more, after an overlap with the last one is settled.
+
+    The interval for which the overlap is the smaller share, so the longer one, gives it up; the last one does so when both are
+    equally long. What lies inside another interval, or has nothing left, goes.
+    """
+    pair = [new]
+    if done and new[0] < done[-1][1]:
+        start, end, ident = done.pop()
+        if start <= new[0] and new[1] <= end:
+            pair = [(start, end, ident)]
+        elif end - start >= new[1] - new[0]:
+            pair = [(start, new[0], ident), new]
+        else:
+            pair = [(start, end, ident), (end, new[1], new[2])]
+    done += [x for x in pair if x[0] < x[1]]
+    return done

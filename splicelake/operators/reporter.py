@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,29 +78,30 @@ def by_region(df: DataFrame, pos: str = "pos", start: str = "estart", end: str =
     return df.withColumn("location", F.explode(S.locations(F.col(pos), F.col(start), F.col(end))))
 
 
-def threshold_labels(df: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:
-    """Rows repeated per threshold with label |value| >= threshold; count equal (label, score) rows before shuffling."""
-    t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    return df.select("*", t).withColumn("label", (F.abs(value) >= F.col("threshold")).cast("int"))
+def sweep_metrics(df: DataFrame, by: Sequence[str], value: str, score: str, thresholds: Sequence[float], both_classes: bool = False, side_by_side: int = 25) -> DataFrame:
+    """Average precision and class counts for every effect threshold; a row is positive above the threshold.
 
+    A row per distinct score carries the positives of ``side_by_side`` thresholds, so rows are never repeated and the expressions
+    stay small enough to be compiled. ``both_classes`` leaves the precision null where one class is missing.
+    """
+    parts = [_sweep_part(df, list(by), value, score, list(thresholds)[i : i + side_by_side], both_classes) for i in range(0, len(thresholds), side_by_side)]
+    return reduce(DataFrame.unionByName, parts)
 
-def sweep_metrics(df: DataFrame, by: Sequence[str], value: str, score: str, thresholds: Sequence[float]) -> DataFrame:
-    """Average precision and class counts for every effect threshold in one ordered pass.
 
-    A row per distinct score carries the positives of all thresholds side by side, so rows are never repeated.
-    """
-    by, k = list(by), len(thresholds)
+def _sweep_part(df: DataFrame, by: list[str], value: str, score: str, thresholds: Sequence[float], both_classes: bool) -> DataFrame:
+    k = len(thresholds)
     size = F.abs(F.col(value))
-    hits = [F.count_if(size >= F.lit(float(t))).alias(f"_p{i}") for i, t in enumerate(thresholds)]
+    hits = [F.count_if(size > F.lit(float(t))).alias(f"_p{i}") for i, t in enumerate(thresholds)]
     g = df.filter(F.col(score).isNotNull()).groupBy(*by, F.abs(score).alias("_s")).agg(F.count("*").alias("_n"), *hits)
     sums = {f"_t{i}": F.col(f"_p{i}") for i in range(k)} | {"_c": F.col("_n")}
     c = running(g, by, "_s", sums, descending=True, totals=True)
     gain = [F.sum(F.col(f"_p{i}") * F.col(f"_t{i}") / F.col("_c")).alias(f"_g{i}") for i in range(k)]
     m = c.groupBy(*by).agg(*gain, *[F.max(f"_t{i}_total").alias(f"_n{i}") for i in range(k)], F.max("_c_total").alias("_all"))
+    enough = lambda i: (F.col(f"_n{i}") > 0) & ((F.col("_all") > F.col(f"_n{i}")) | F.lit(not both_classes))
     rows = [
         F.struct(
             F.lit(float(t)).alias("threshold"), F.col(f"_n{i}").cast("long").alias("n_pos"), (F.col("_all") - F.col(f"_n{i}")).cast("long").alias("n_neg"),
-            F.when(F.col(f"_n{i}") > 0, F.col(f"_g{i}") / F.col(f"_n{i}")).alias("avg_precision"),
+            F.when(enough(i), F.col(f"_g{i}") / F.col(f"_n{i}")).alias("avg_precision"),
         )
         for i, t in enumerate(thresholds)
     ]
@@ -138,9 +140,9 @@ def group_z(df: DataFrame, by: Sequence[str], value: str, out: str = "z") -> Dat
     return lookup(df, m, list(by)).withColumn(out, F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mu")) / F.col("_sd")).otherwise(0.0)).drop("_mu", "_sd")
 
 
-def ranked_heads(metrics: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
+def ranked_heads(metrics: DataFrame, by: Sequence[str], metric: str, smaller_is_better: bool = False) -> DataFrame:
     """Ordinal rank of the heads inside each group, best first (as many rows per group as heads)."""
-    w = Window.partitionBy(*by).orderBy(F.desc(metric), "head")
+    w = Window.partitionBy(*by).orderBy(F.asc(metric) if smaller_is_better else F.desc(metric), "head")
     return metrics.filter(F.col(metric).isNotNull()).withColumn("rank", F.row_number().over(w))
 
 
@@ -149,12 +151,13 @@ def rank_shares(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("head").agg(n.alias("n"), F.avg("rank").alias("mean_rank"), (F.count_if(F.col("rank") == 1) / n).alias("share_first"), (F.count_if(F.col("rank") == 2) / n).alias("share_second"))
 
 
-def win_matrix(metrics: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
-    """How often one head beats another on the same group; groups hold one row per head."""
+def win_matrix(metrics: DataFrame, by: Sequence[str], metric: str, smaller_is_better: bool = False) -> DataFrame:
+    """How often one head beats another on the same group; groups hold one row per head. Of errors the smaller one wins."""
+    sign = -1 if smaller_is_better else 1
     l = metrics.select(*by, F.col("head").alias("head_a"), F.col(metric).alias("_a"))
     r = metrics.select(*by, F.col("head").alias("head_b"), F.col(metric).alias("_b"))
     j = l.join(r, list(by)).filter("head_a <> head_b")
-    return j.groupBy("head_a", "head_b").agg(F.count_if(F.col("_a") > F.col("_b")).alias("wins"), F.count_if(F.col("_a") < F.col("_b")).alias("losses"), F.count("*").alias("n"))
+    return j.groupBy("head_a", "head_b").agg(F.count_if(sign * F.col("_a") > sign * F.col("_b")).alias("wins"), F.count_if(sign * F.col("_a") < sign * F.col("_b")).alias("losses"), F.count("*").alias("n"))
 
 
 # --- bootstrap ---------------------------------------------------------------------------------------------------

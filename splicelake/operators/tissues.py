@@ -62,7 +62,7 @@ def outlier_tissue(stats: DataFrame, site: Sequence[str], n_tissues: int) -> Dat
     top, low = at(k - 1), at(F.lit(0))
     up, down = top - F.col("_m"), F.col("_m") - low
     inc = up >= down
-    ratio = lambda a, b: F.when(b > 0, a / b)
+    ratio = lambda a, b: F.when(b > 0, a / b).when(a > 0, F.lit(float("inf")))  # 0 by 0 stays null
     return g.select(
         *site, "max_tissue", "min_tissue", F.when(inc, "inclusion").otherwise("exclusion").alias("direction"),
         F.when(inc, F.col("max_tissue")).otherwise(F.col("min_tissue")).alias("outlier"), ratio(top, at(k - 2)).alias("specificity_ratio"), ratio(at(F.lit(1)), low).alias("depletion_ratio"),

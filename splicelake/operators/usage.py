@@ -172,9 +172,16 @@ def usage_table(fraction_table: DataFrame, min_coverage: int = S.MIN_COVERAGE) -
     return fraction_table.withColumn("ssu", S.masked_usage(F.col("num"), F.col("den"), min_coverage))
 
 
+EXACT_UNITS = 1_000_000_000
+
+
 def usage_matrix(usage: DataFrame, key: Sequence[str] = (*PLACE, "site", "site_type")) -> DataFrame:
-    """Long processed matrix: mean over unmasked samples; sites masked everywhere are dropped."""
-    g = usage.groupBy(*key).agg(F.avg("ssu").alias("pop_mean"), F.count("ssu").alias("n_valid"), F.count("*").alias("n_samples"))
+    """Long processed matrix: mean over unmasked samples; sites masked everywhere are dropped.
+
+    The mean is of whole billionths, so it is the same in whatever order the samples are added.
+    """
+    exact = F.sum(F.floor(F.col("ssu") * EXACT_UNITS)) / (F.count("ssu") * EXACT_UNITS)
+    g = usage.groupBy(*key).agg(exact.alias("pop_mean"), F.count("ssu").alias("n_valid"), F.count("*").alias("n_samples"))
     return g.filter("n_valid > 0")
 
 

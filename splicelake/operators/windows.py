@@ -241,12 +241,11 @@ def reason_counts(windows: DataFrame, column: str = "reason") -> DataFrame:
 
 
 def even_parts(df: DataFrame, order: str, n_parts: int, chunks: int | None = None) -> DataFrame:
-    """Number rows by ``order`` and cut them into ``n_parts`` even index ranges (part, first, last per row)."""
+    """Number rows by ``order`` and cut them into ``n_parts`` index ranges of n // n_parts rows; the last part has the rest too."""
     d = running(df, [], order, {"_i": F.lit(1).cast("long")}, chunks=chunks, totals=True)
     i, n = F.col("_i") - 1, F.col("_i_total")
-    base, extra = F.floor(n / n_parts), n % n_parts
-    edge = extra * (base + 1)
-    part = F.when(i < edge, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - edge) / F.greatest(base, F.lit(1))))
+    base = F.floor(n / n_parts)
+    part = F.when(base > 0, F.least(F.floor(i / base), F.lit(n_parts - 1))).otherwise(n_parts - 1)
     return d.withColumns({"row_index": i, "part": part.cast("int")}).drop("_i", "_i_total")
 
 

@@ -93,15 +93,15 @@ def credible_set_companions(spark, sf):
     return M.companions(v, v.filter("pip >= 0.9 AND status = 'F'")).select("tissue", "cs_id", "var_key", "positive_key", "is_positive")
 
 
-@query(cte("v_variant") + ", d AS (SELECT DISTINCT cs_id, tissue, gene_id FROM v_variant WHERE pip > 0.8), s AS (SELECT cs_id, tissue, list_sort(list(gene_id)) AS m FROM d GROUP BY ALL), n AS (SELECT cs_id, count(DISTINCT gene_id) AS n_members FROM d GROUP BY cs_id) SELECT s.cs_id, count(*) AS n_tissues, n_members, count(DISTINCT m) = 1 AS same FROM s JOIN n USING (cs_id) GROUP BY s.cs_id, n_members")
+@query(cte("v_variant") + ", d AS (SELECT DISTINCT cs_id, tissue, gene_id FROM v_variant), s AS (SELECT cs_id, tissue, list_sort(list(gene_id)) AS m FROM d GROUP BY ALL), n AS (SELECT cs_id, count(DISTINCT gene_id) AS n_members FROM d GROUP BY cs_id) SELECT s.cs_id, count(*) AS n_tissues, n_members, count(DISTINCT m) = 1 AS same FROM s JOIN n USING (cs_id) GROUP BY s.cs_id, n_members")
 def same_credible_sets(spark, sf):
-    v = _v(spark, sf).filter("pip > 0.8").select("cs_id", "tissue", F.col("gene_id").alias("var_key"))
+    v = _v(spark, sf).select("cs_id", "tissue", F.col("gene_id").alias("var_key"))
     return M.same_members(v)
 
 
-@query(cte("v_variant") + ", k AS (SELECT gene_id, tissue, bit_or(CASE WHEN status = 'F' THEN 1 WHEN status = 'O' THEN 2 ELSE 4 END) AS code FROM v_variant WHERE pip > 0.7 GROUP BY gene_id, tissue) SELECT tissue, code, count(*) AS n FROM k GROUP BY tissue, code")
+@query(cte("v_variant") + ", k AS (SELECT gene_id, tissue, bit_or(CASE WHEN status = 'F' THEN 1 WHEN status = 'O' THEN 2 ELSE 4 END) AS code FROM v_variant GROUP BY gene_id, tissue) SELECT tissue, code, count(*) AS n FROM k GROUP BY tissue, code")
 def dataset_overlap(spark, sf):
-    v = _v(spark, sf).filter("pip > 0.7")
+    v = _v(spark, sf)
     sets = {s: v.filter(F.col("status") == s) for s in ("F", "O", "P")}
     return M.membership_codes(sets, ["gene_id", "tissue"]).groupBy("tissue", "code").agg(F.count("*").alias("n"))
 

@@ -146,9 +146,9 @@ def site_gene(spark, sf):
     return I.first_containing(s, view(spark, sf, "v_gene"), "site", "gstart", "gend", ["region", "strand"], "gene_id", BIN)
 
 
-@query(cte("v_gene", "v_variant") + ", m AS (SELECT DISTINCT region, b FROM (SELECT region, gstart AS b FROM v_gene WHERE gstart % 7 = 0 UNION ALL SELECT region, gend FROM v_gene WHERE gstart % 7 = 0) x), p AS (SELECT DISTINCT region, pos FROM v_variant), d AS (SELECT p.region, p.pos, min(abs(p.pos - m.b)) AS d FROM p JOIN m ON p.region = m.region GROUP BY ALL) SELECT v.var_key, CASE WHEN d.d <= 10 THEN d.d END AS splice_dist FROM v_variant v LEFT JOIN d ON d.region = v.region AND d.pos = v.pos")
+@query(cte("v_gene", "v_variant") + ", m AS (SELECT DISTINCT region, b FROM (SELECT region, gstart AS b FROM v_gene UNION ALL SELECT region, gend FROM v_gene) x), p AS (SELECT DISTINCT region, pos FROM v_variant), d AS (SELECT p.region, p.pos, min(abs(p.pos - m.b)) AS d FROM p JOIN m ON p.region = m.region GROUP BY ALL) SELECT v.var_key, CASE WHEN d.d <= 10 THEN d.d END AS splice_dist FROM v_variant v LEFT JOIN d ON d.region = v.region AND d.pos = v.pos")
 def nearest_boundary(spark, sf):
-    m = I.boundary_positions(view(spark, sf, "v_gene").filter("gstart % 7 = 0"), ["region"])
+    m = I.boundary_positions(view(spark, sf, "v_gene"), ["region"])
     v = view(spark, sf, "v_variant").select("var_key", "region", "pos")
     return I.nearest_distance(v, m, "pos", "pos", ["region"], max_dist=10).select("var_key", "splice_dist")
 
@@ -160,14 +160,14 @@ def nearest_boundary_in_gene(spark, sf):
     return I.nearest_distance(v, m, "pos", "pos", ["gene_id"]).select("var_key", "gene_id", "splice_dist")
 
 
-EXONS = ", t AS (SELECT gene_id, region, strand, gstart + 5 AS es, gend + 5 AS ee FROM v_gene), x AS (SELECT t.gene_id, t.es, t.ee, max(CASE WHEN g.gend < t.es THEN g.gend END) AS u, min(CASE WHEN g.gstart > t.ee THEN g.gstart END) AS d FROM t LEFT JOIN v_gene g ON g.region = t.region AND g.strand = t.strand AND g.gstart % 3 = 0 GROUP BY ALL)"
+EXONS = ", t AS (SELECT gene_id, region, strand, gstart + 5 AS es, gend + 5 AS ee FROM v_gene), x AS (SELECT t.gene_id, t.es, t.ee, max(CASE WHEN g.gend < t.es THEN g.gend END) AS u, min(CASE WHEN g.gstart > t.ee THEN g.gstart END) AS d FROM t LEFT JOIN v_gene g ON g.region = t.region AND g.strand = t.strand GROUP BY ALL)"
 
 
 @query(cte("v_gene") + EXONS + " SELECT gene_id, es - u AS up_intron, d - ee AS down_intron, CASE WHEN u IS NULL THEN d - ee WHEN d IS NULL THEN es - u ELSE least(es - u, d - ee) END AS min_intron, CASE WHEN u IS NULL THEN d - ee WHEN d IS NULL THEN es - u ELSE greatest(es - u, d - ee) END AS max_intron, ((es - u) + (d - ee)) / 2 AS mean_intron FROM x")
 def flanking_introns(spark, sf):
     g = view(spark, sf, "v_gene")
     t = g.selectExpr("gene_id", "region", "strand", "gstart + 5 AS estart", "gend + 5 AS eend")
-    ex = g.filter("gstart % 3 = 0").selectExpr("region", "strand", "gstart AS estart", "gend AS eend")
+    ex = g.selectExpr("region", "strand", "gstart AS estart", "gend AS eend")
     out = I.flanking_introns(t, ex, ["region", "strand"])
     return out.select("gene_id", "up_intron", "down_intron", "min_intron", "max_intron", "mean_intron")
 

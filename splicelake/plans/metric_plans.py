@@ -42,7 +42,7 @@ def ranking_metrics_by_head(spark, sf):
     return rounded(C.ranking_metrics(d, ["sample", "head"]))
 
 
-@query(cte("v_pred") + """, g AS (SELECT sample, y_acceptor AS y, head_a AS s, row_number() OVER (PARTITION BY sample ORDER BY head_a DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn, sum(y_acceptor) OVER (PARTITION BY sample) AS np, count(*) OVER (PARTITION BY sample) AS n FROM v_pred),
+@query(cte("v_pred") + """, g AS (SELECT sample, y_acceptor AS y, head_a AS s, row_number() OVER (PARTITION BY sample ORDER BY head_a DESC, md5(concat_ws(':', '0', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)))) AS rn, sum(y_acceptor) OVER (PARTITION BY sample) AS np, count(*) OVER (PARTITION BY sample) AS n FROM v_pred),
 k AS (SELECT sample, f AS factor, CAST(least(floor(f * max(np)), max(n)) AS BIGINT) AS k, max(np) AS np FROM g CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0, 4.0]) AS f) GROUP BY sample, f)
 SELECT k.sample, CAST(factor AS DOUBLE) AS factor, k, CAST(sum(y) AS BIGINT) AS hits, round(sum(y) / least(k, max(k.np)), 6) AS accuracy, min(s) AS threshold FROM k JOIN g ON g.sample = k.sample AND g.rn <= k.k GROUP BY k.sample, factor, k""")
 def top_k_accuracy(spark, sf):
@@ -209,10 +209,10 @@ def density_grid(spark, sf):
     return V.histogram_2d(view(spark, sf, "v_pred"), "head_b", "y_ssu", 25)
 
 
-@query(cte("v_label_score") + sql_metrics("v_label_score", "stratum") + """, gp AS (SELECT unnest(range(50)) AS i), sg AS (SELECT stratum, (fp - n) / nn AS x0, fp / nn AS x1, (tp - p) / np AS y0, tp / np AS y1 FROM cc WHERE np > 0 AND nn > 0),
-v AS (SELECT stratum, i, y0 + (y1 - y0) * (i / 49 - x0) / (x1 - x0) AS y FROM sg JOIN gp ON x1 > x0 AND i <= floor(x1 * 49) AND i >= CASE WHEN x0 = 0 THEN 0 ELSE floor(x0 * 49) + 1 END) SELECT i, round(median(y), 6) AS tpr FROM v GROUP BY i""")
+@query(cte("v_label_score") + sql_metrics("v_label_score", "stratum") + """, gp AS (SELECT unnest(range(200)) AS i), sg AS (SELECT stratum, (fp - n) / nn AS x0, fp / nn AS x1, (tp - p) / np AS y0, tp / np AS y1 FROM cc WHERE np > 0 AND nn > 0),
+v AS (SELECT stratum, i, y0 + (y1 - y0) * (i / 199 - x0) / (x1 - x0) AS y FROM sg JOIN gp ON x1 > x0 AND i <= floor(x1 * 199) AND i >= CASE WHEN x0 = 0 THEN 0 ELSE floor(x0 * 199) + 1 END) SELECT i, round(median(y), 6) AS tpr FROM v GROUP BY i""")
 def median_roc_curve(spark, sf):
-    g = C.on_grid(C.curve(view(spark, sf, "v_label_score"), ["stratum"]), ["stratum"], 50, "roc")
+    g = C.on_grid(C.curve(view(spark, sf, "v_label_score"), ["stratum"]), ["stratum"], 200, "roc")
     return g.groupBy("i").agg(F.round(F.percentile("y", F.lit(0.5)), 6).alias("tpr"))
 
 

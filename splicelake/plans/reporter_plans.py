@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions.stats import correlation
@@ -79,20 +82,20 @@ def metrics_by_location(spark, sf):
     return rounded(R.head_metrics(R.by_region(_r(spark, sf)), ["location"], "y", "label", HEADS), HM)
 
 
-SWEEP = [i / 20 for i in range(1, 20)]
+SWEEP = [i / 100 for i in range(1, 101)]
 SWEEP_SQL = "(SELECT unnest([" + ", ".join(str(x) for x in SWEEP) + "]::DOUBLE[]) AS threshold)"
 
 
-@query(cte("v_reporter") + ", rp AS (SELECT * FROM v_reporter), sw AS (SELECT head, threshold, abs(score) AS ascore, CASE WHEN abs(y) >= threshold THEN 1 ELSE 0 END AS label FROM " + long("rp", "y") + f" z CROSS JOIN {SWEEP_SQL} t)" + sql_metrics("sw", "head, threshold", "ascore") + " SELECT head, threshold, n_pos, n_neg, round(avg_precision, 6) AS avg_precision FROM mt")
+@query(cte("v_reporter") + ", rp AS (SELECT * FROM v_reporter), sw AS (SELECT head, threshold, abs(score) AS ascore, CASE WHEN abs(y) > threshold THEN 1 ELSE 0 END AS label FROM " + long("rp", "y") + f" z CROSS JOIN {SWEEP_SQL} t)" + sql_metrics("sw", "head, threshold", "ascore") + " SELECT head, threshold, n_pos, n_neg, round(avg_precision, 6) AS avg_precision FROM mt")
 def effect_threshold_sweep(spark, sf):
     d = view(spark, sf, "v_reporter").unpivot(["y"], HEADS, "head", "score")
     return rounded(R.sweep_metrics(d, ["head"], "y", "score", SWEEP), ["avg_precision"])
 
 
-@query(cte("v_reporter") + RP + LOC + ", sw AS (SELECT location, head, threshold, abs(score) AS ascore, CASE WHEN abs(y) >= threshold THEN 1 ELSE 0 END AS label FROM " + long("lx", "location, y") + f" z CROSS JOIN {SWEEP_SQL} t)" + sql_metrics("sw", "location, head, threshold", "ascore") + " SELECT location, head, threshold, n_pos, n_neg, round(avg_precision, 6) AS avg_precision FROM mt")
+@query(cte("v_reporter") + RP + LOC + ", sw AS (SELECT location, head, threshold, abs(score) AS ascore, CASE WHEN abs(y) > threshold THEN 1 ELSE 0 END AS label FROM " + long("lx", "location, y") + f" z CROSS JOIN {SWEEP_SQL} t)" + sql_metrics("sw", "location, head, threshold", "ascore") + " SELECT location, head, threshold, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round(avg_precision, 6) END AS avg_precision FROM mt")
 def location_threshold_sweep(spark, sf):
     d = R.by_region(view(spark, sf, "v_reporter")).unpivot(["location", "y"], HEADS, "head", "score")
-    return rounded(R.sweep_metrics(d, ["location", "head"], "y", "score", SWEEP), ["avg_precision"])
+    return rounded(R.sweep_metrics(d, ["location", "head"], "y", "score", SWEEP, both_classes=True), ["avg_precision"])
 
 
 @query(cte("v_reporter") + "SELECT pos, count(*) AS n, round(avg(abs(y)), 6) AS mean, round(median(abs(y)), 6) AS median FROM v_reporter GROUP BY pos HAVING count(*) >= 5")
@@ -135,9 +138,16 @@ def rank_shares(spark, sf):
     return rounded(R.rank_shares(R.ranked_heads(rounded(_exon(spark, sf), HM), ["exon"], "pearson")), ["mean_rank", "share_first", "share_second"])
 
 
-@query(EXON + " SELECT x.head AS head_a, z.head AS head_b, count(*) FILTER (WHERE x.mae > z.mae) AS wins, count(*) FILTER (WHERE x.mae < z.mae) AS losses, count(*) AS n FROM hm x JOIN hm z ON x.exon = z.exon AND x.head <> z.head GROUP BY 1, 2")
+@query(EXON + """ , w AS (SELECT exon, head, 'pearson' AS metric, pearson AS v, pearson AS good FROM hm UNION ALL SELECT exon, head, 'spearman', spearman, spearman FROM hm UNION ALL SELECT exon, head, 'mae', mae, -mae FROM hm)
+SELECT x.metric, x.head AS head_a, z.head AS head_b, count(*) FILTER (WHERE x.good > z.good) AS wins, count(*) FILTER (WHERE x.good < z.good) AS losses, count(*) AS n FROM w x JOIN w z ON x.exon = z.exon AND x.metric = z.metric AND x.head <> z.head GROUP BY 1, 2, 3""")
 def win_matrix(spark, sf):
-    return R.win_matrix(rounded(_exon(spark, sf), HM), ["exon"], "mae")
+    m = rounded(_exon(spark, sf), HM)
+    return reduce(DataFrame.unionByName, [R.win_matrix(m, ["exon"], c, c == "mae").select(F.lit(c).alias("metric"), "*") for c in ("pearson", "spearman", "mae")])
+
+
+@query(EXON + " SELECT exon, head, mae, CAST(row_number() OVER (PARTITION BY exon ORDER BY mae, head) AS INT) AS rank FROM hm WHERE mae IS NOT NULL")
+def exon_error_ranks(spark, sf):
+    return R.ranked_heads(rounded(_exon(spark, sf), HM), ["exon"], "mae", smaller_is_better=True).select("exon", "head", "mae", "rank")
 
 
 @query(EXON + ", pr AS (SELECT exon, max(eend) AS elen, count(*) AS nv FROM rp GROUP BY exon), me AS (SELECT exon, avg(mae) AS m FROM hm GROUP BY exon) SELECT round(corr(m, elen), 6) AS r_length, round(corr(m, nv), 6) AS r_count, count(*) AS n FROM me JOIN pr USING (exon)")
@@ -158,10 +168,10 @@ def exon_z_scores(spark, sf):
     return R.group_z(view(spark, sf, "v_reporter"), ["exon"], "y").select(_key().alias("k"), F.round("z", 6).alias("z"))
 
 
-@query(cte("v_reporter") + RP + f" SELECT {SQLKEY} AS k, label, round(abs(a), 6) AS abs_a, round(abs(b), 7) AS abs_b, CASE WHEN abs(a) >= abs(b) THEN 'a' ELSE 'b' END AS stronger FROM rp WHERE pos BETWEEN -8 AND 8")
+@query(cte("v_reporter") + RP + LOC + f" SELECT {SQLKEY} AS k, location, label, round(abs(a), 6) AS abs_a, round(abs(b), 7) AS abs_b, CASE WHEN abs(a) >= abs(b) THEN 'a' ELSE 'b' END AS stronger FROM lx WHERE location IN ('exon', 'intron', 'splice_site', 'splice_region')")
 def two_head_table(spark, sf):
-    d = _r(spark, sf).filter("pos BETWEEN -8 AND 8")
-    return d.select(_key().alias("k"), "label", F.round(F.abs("a"), 6).alias("abs_a"), F.round(F.abs("b"), 7).alias("abs_b"), F.when(F.abs("a") >= F.abs("b"), "a").otherwise("b").alias("stronger"))
+    d = R.by_region(_r(spark, sf)).filter(F.col("location").isin("exon", "intron", "splice_site", "splice_region"))
+    return d.select(_key().alias("k"), "location", "label", F.round(F.abs("a"), 6).alias("abs_a"), F.round(F.abs("b"), 7).alias("abs_b"), F.when(F.abs("a") >= F.abs("b"), "a").otherwise("b").alias("stronger"))
 
 
 @query(cte("v_reporter") + RP + ", ag AS (SELECT label, a, b, c, (a + b + c) / 3 AS agg FROM rp), l4 AS (SELECT label, head, abs(score) AS ascore FROM (SELECT label, 'a' AS head, a AS score FROM ag UNION ALL SELECT label, 'b', b FROM ag UNION ALL SELECT label, 'c', c FROM ag UNION ALL SELECT label, 'aggregate', agg FROM ag) z)" + sql_metrics("l4", "head", "ascore") + " SELECT head, round(avg_precision, 6) AS avg_precision, CAST(row_number() OVER (ORDER BY avg_precision DESC, head) AS INT) AS rank, avg_precision > (SELECT avg_precision FROM mt WHERE head = 'aggregate') AS beats_aggregate FROM mt")

@@ -167,7 +167,7 @@ def skip_reasons(spark, sf):
     return W.reason_counts(site_windows(spark, sf))
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END AS part FROM r) SELECT CAST(part AS INT) AS part, min(i) AS first_index, max(i) AS last_index, count(*) AS n FROM p GROUP BY part")
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, least(i // (n // 7), 6) AS part FROM r) SELECT CAST(part AS INT) AS part, min(i) AS first_index, max(i) AS last_index, count(*) AS n FROM p GROUP BY part")
 def even_split(spark, sf):
     return W.part_ranges(W.even_parts(table(spark, sf, "documents").select("doc_id"), "doc_id", 7))
 

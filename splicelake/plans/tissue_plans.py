@@ -48,7 +48,7 @@ def specificity_group_metrics(spark, sf):
     return rounded(C.regression_metrics(lookup(_ts(spark, sf), t, ["pos"]), ["tissue", "grp"], "ssu", "pred"), REG_COLS)
 
 
-OUT = ", ou AS (SELECT pos, arg_max(tissue, (mean, tissue)) AS max_tissue, arg_min(tissue, (mean, tissue)) AS min_tissue, max(mean) - avg(mean) AS up, avg(mean) - min(mean) AS dn, list_sort(list(mean)) AS v FROM sx GROUP BY pos HAVING count(*) = 5), od AS (SELECT pos, max_tissue, min_tissue, CASE WHEN up >= dn THEN 'inclusion' ELSE 'exclusion' END AS direction, CASE WHEN up >= dn THEN max_tissue ELSE min_tissue END AS outlier, CASE WHEN v[4] > 0 THEN v[5] / v[4] END AS specificity_ratio, CASE WHEN v[1] > 0 THEN v[2] / v[1] END AS depletion_ratio FROM ou)"
+OUT = ", ou AS (SELECT pos, arg_max(tissue, (mean, tissue)) AS max_tissue, arg_min(tissue, (mean, tissue)) AS min_tissue, max(mean) - avg(mean) AS up, avg(mean) - min(mean) AS dn, list_sort(list(mean)) AS v FROM sx GROUP BY pos HAVING count(*) = 5), od AS (SELECT pos, max_tissue, min_tissue, CASE WHEN up >= dn THEN 'inclusion' ELSE 'exclusion' END AS direction, CASE WHEN up >= dn THEN max_tissue ELSE min_tissue END AS outlier, CASE WHEN v[4] > 0 THEN v[5] / v[4] WHEN v[5] > 0 THEN 'Infinity'::DOUBLE END AS specificity_ratio, CASE WHEN v[1] > 0 THEN v[2] / v[1] WHEN v[2] > 0 THEN 'Infinity'::DOUBLE END AS depletion_ratio FROM ou)"
 
 
 def _outlier(spark, sf):

@@ -66,19 +66,11 @@ pc AS (SELECT sample, region, strand, site, CASE WHEN bool_or(d) AND bool_or(u)
 ct AS (SELECT region, strand, site, CASE WHEN bool_or(cls <> 'unknown') THEN concat_ws(',', CASE WHEN bool_or(cls = 'exon_end') THEN 'exon_end' END, CASE WHEN bool_or(cls = 'exon_start') THEN 'exon_start' END, CASE WHEN bool_or(cls = 'both') THEN 'both' END) ELSE 'unknown' END AS site_type FROM pc GROUP BY region, strand, site)"""
 
 
-def _thin_edges(spark, sf):
-    # half of the strands keep their junctions, so that all classes occur
-    return U.edges(view(spark, sf, "v_junction").filter("n > 40"))
-
-
-THIN = EDGES.replace("FROM v_junction GROUP", "FROM v_junction WHERE n > 40 GROUP")
-
-
 def _catalogue(spark, sf):
-    return U.site_catalogue(view(spark, sf, "v_usage").select("sample", "region", "strand", "site"), _thin_edges(spark, sf))
+    return U.site_catalogue(view(spark, sf, "v_usage").select("sample", "region", "strand", "site"), U.edges(view(spark, sf, "v_junction")))
 
 
-@query(cte("v_usage", "v_junction") + THIN + CATALOG + " SELECT region, strand, site, site_type FROM ct")
+@query(cte("v_usage", "v_junction") + EDGES + CATALOG + " SELECT region, strand, site, site_type FROM ct")
 def site_catalogue(spark, sf):
     return _catalogue(spark, sf)
 
@@ -93,18 +85,18 @@ def _annotated(spark, sf):
     return U.annotate(u, _catalogue(spark, sf))
 
 
-@query(cte("v_usage", "v_junction") + THIN + CATALOG + ANNOT + " SELECT sample, region, strand, site, alpha, site_type FROM an")
+@query(cte("v_usage", "v_junction") + EDGES + CATALOG + ANNOT + " SELECT sample, region, strand, site, alpha, site_type FROM an")
 def site_annotation(spark, sf):
     return _annotated(spark, sf)
 
 
-@query(cte("v_usage", "v_junction") + THIN + CATALOG + ANNOT + ", d AS (SELECT *, count(*) OVER (PARTITION BY sample, region, strand, site) AS c FROM sh WHERE site_type IS NOT NULL) SELECT sample, region, strand, site, alpha, site_type FROM d WHERE c = 1")
+@query(cte("v_usage", "v_junction") + EDGES + CATALOG + ANNOT + ", d AS (SELECT *, count(*) OVER (PARTITION BY sample, region, strand, site) AS c FROM sh WHERE site_type IS NOT NULL) SELECT sample, region, strand, site, alpha, site_type FROM d WHERE c = 1")
 def shifted_unique_sites(spark, sf):
     d = U.shift_starts(_annotated(spark, sf).filter("site_type IS NOT NULL"))
     return U.unique_sites(d, ["sample", "region", "strand", "site"])
 
 
-@query(cte("v_usage", "v_junction") + THIN + CATALOG + ANNOT + """, g AS (SELECT sample, strand, count(*) AS na, count(site_type) AS nt, max(site_type) AS t FROM sh GROUP BY sample, region, strand, site)
+@query(cte("v_usage", "v_junction") + EDGES + CATALOG + ANNOT + """, g AS (SELECT sample, strand, count(*) AS na, count(site_type) AS nt, max(site_type) AS t FROM sh GROUP BY sample, region, strand, site)
 SELECT sample, CAST(sum(na) AS BIGINT) AS n_initial, CAST(sum(na - nt) AS BIGINT) AS n_ambiguous, CAST(sum(CASE WHEN nt > 1 THEN nt ELSE 0 END) AS BIGINT) AS n_duplicate, count(*) FILTER (WHERE nt = 1) AS n_final,
 count(*) FILTER (WHERE nt = 1 AND t = 'exon_start' AND strand = '+') AS start_plus, count(*) FILTER (WHERE nt = 1 AND t = 'exon_start' AND strand = '-') AS start_minus,
 count(*) FILTER (WHERE nt = 1 AND t = 'exon_end' AND strand = '+') AS end_plus, count(*) FILTER (WHERE nt = 1 AND t = 'exon_end' AND strand = '-') AS end_minus FROM g GROUP BY sample""")
@@ -112,7 +104,7 @@ def annotation_summary(spark, sf):
     return U.annotation_summary(_annotated(spark, sf), ["sample"])
 
 
-@query(cte("v_usage", "v_junction") + THIN + CATALOG + ANNOT + " SELECT DISTINCT region, strand, site FROM an WHERE site_type IS NULL ORDER BY region, strand, site LIMIT 100")
+@query(cte("v_usage", "v_junction") + EDGES + CATALOG + ANNOT + " SELECT DISTINCT region, strand, site FROM an WHERE site_type IS NULL ORDER BY region, strand, site LIMIT 100")
 def dropped_sites_log(spark, sf):
     return U.dropped_sites(_annotated(spark, sf), 100)
 
@@ -122,10 +114,9 @@ def usage_fractions(spark, sf):
     return U.fractions(view(spark, sf, "v_usage")).select("sample", *KEY, "fraction")
 
 
-@query(cte("v_usage") + FRAC + " SELECT region, strand, site, site_type, round(avg(ssu), 6) AS pop_mean, count(ssu) AS n_valid, count(*) AS n_samples FROM us GROUP BY ALL HAVING count(ssu) > 0 ORDER BY region, strand, site")
+@query(cte("v_usage") + FRAC + " SELECT region, strand, site, site_type, sum(CAST(floor(ssu * 1000000000) AS BIGINT)) / (count(ssu) * 1000000000) AS pop_mean, count(ssu) AS n_valid, count(*) AS n_samples FROM us GROUP BY ALL HAVING count(ssu) > 0 ORDER BY region, strand, site")
 def usage_matrix(spark, sf):
-    m = U.usage_matrix(_usage(spark, sf))
-    return m.withColumn("pop_mean", F.round("pop_mean", 6)).orderBy("region", "strand", "site", "site_type")
+    return U.usage_matrix(_usage(spark, sf)).orderBy("region", "strand", "site", "site_type")
 
 
 @query(cte("v_usage") + FRAC + " SELECT region, strand, site, site_type, " + ", ".join(f"max(CASE WHEN sample = '{s}' THEN coalesce(round(ssu, 6), 777.0) END) AS {s}" for s in SAMPLES) + " FROM us GROUP BY region, strand, site, site_type")

@@ -48,39 +48,37 @@ def test_nearest(world, width):
         assert r.mark_after == min((a for a in s if a >= r.pos), default=None)
 
 
-def _resolve(rows):
-    rows = sorted(rows)
-    while True:
-        acc, changed = [], False
-        for a, b, g in sorted(rows, key=lambda r: r[0]):
-            if acc and a < acc[-1][1]:
-                pa, pb, _ = acc[-1]
-                changed = True
-                if a >= pa and b <= pb:
-                    continue
-                ov = pb - a
-                if ov / (pb - pa) <= ov / (b - a):
-                    if a > pa:
-                        acc[-1] = (pa, a, acc[-1][2])
-                    else:
-                        acc.pop()
-                elif pb < b:
-                    a = pb
-                else:
-                    continue
-            acc.append((a, b, g))
-        rows = acc
-        if not changed:
-            return rows
+CASES = [
+    # the longer one gives up the overlap
+    ([(0, 100, "a"), (90, 120, "b")], [(0, 90, "a"), (90, 120, "b")]),
+    ([(0, 30, "a"), (20, 120, "b")], [(0, 30, "a"), (30, 120, "b")]),
+    # equally long: the first one does
+    ([(0, 50, "a"), (40, 90, "b")], [(0, 40, "a"), (40, 90, "b")]),
+    # inside another, or equal to it
+    ([(0, 100, "a"), (10, 20, "b"), (0, 100, "c")], [(0, 100, "a")]),
+    # touching is no overlap
+    ([(0, 10, "a"), (10, 20, "b")], [(0, 10, "a"), (10, 20, "b")]),
+    # a chain, where each cut decides the next
+    ([(0, 100, "a"), (80, 110, "b"), (105, 300, "c")], [(0, 80, "a"), (80, 110, "b"), (110, 300, "c")]),
+]
+
+
+@pytest.mark.parametrize("given, want", CASES)
+def test_overlap_resolution_by_hand(spark, given, want):
+    d = spark.createDataFrame([("c1", "+", *r) for r in given], "region string, strand string, gstart int, gend int, gene_id string")
+    assert sorted((x.gstart, x.gend, x.gene_id) for x in I.resolve_overlaps(d, ["region", "strand"]).collect()) == want
 
 
 def test_overlap_resolution(spark):
     r = random.Random(9)
     ivs = [("c1", "+", a, a + r.randrange(5, 90), f"g{i:03d}") for i, a in enumerate(r.sample(range(2500), 90))]
     d = spark.createDataFrame(ivs, "region string, strand string, gstart int, gend int, gene_id string")
+    given = {g: (a, b) for _, _, a, b, g in ivs}
     got = sorted((x.gstart, x.gend, x.gene_id) for x in I.resolve_overlaps(d, ["region", "strand"]).collect())
-    assert got == sorted(_resolve([(a, b, g) for _, _, a, b, g in ivs]))
     assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+    assert all(given[g][0] <= a < b <= given[g][1] for a, b, g in got)
+    alone = {g for g, (a, b) in given.items() if not any(h != g and c < b and a < e for h, (c, e) in given.items())}
+    assert all((a, b) == given[g] for a, b, g in got if g in alone) and alone <= {g for _, _, g in got}
 
 
 def test_touching_intervals_are_separate_islands(spark):
