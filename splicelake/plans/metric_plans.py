@@ -170,15 +170,15 @@ def ratio_grouped_classification(spark, sf):
     return rounded(C.ranking_metrics(rows, ["stratum"], "head_b"))
 
 
-KEPT = f""", k0 AS (SELECT *, (y_acceptor = 1 AND l_linenumber <= 1) AS site, pos % 7 = 0 AS strat FROM v_pred), qt AS (SELECT sample, count(*) FILTER (WHERE site) * 3 AS quota FROM k0 GROUP BY sample),
+KEPT = f""", k0 AS (SELECT *, y_acceptor = 1 AS site, pos % 7 = 0 AS strat FROM v_pred), qt AS (SELECT sample, count(*) FILTER (WHERE site) * 20 AS quota FROM k0 GROUP BY sample),
 nr AS (SELECT k0.*, row_number() OVER (PARTITION BY sample ORDER BY {HASH.format(seed=5)}) AS rn FROM k0 WHERE NOT (site OR strat)), kp AS (SELECT sample, site, l_orderkey FROM k0 WHERE site OR strat UNION ALL SELECT nr.sample, site, l_orderkey FROM nr JOIN qt USING (sample) WHERE rn <= quota)"""
 
 
 @query(cte("v_pred") + KEPT + " SELECT sample, count(*) AS n, count(*) FILTER (WHERE site) AS n_site, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM kp GROUP BY sample")
 def pooled_keep_mask(spark, sf):
     v = view(spark, sf, "v_pred")
-    site = (F.col("y_acceptor") == 1) & (F.col("l_linenumber") <= 1)
-    k = V.kept_rows(v, ["sample"], KEYS, site, F.col("pos") % 7 == 0, 3, 5)
+    site = F.col("y_acceptor") == 1
+    k = V.kept_rows(v, ["sample"], KEYS, site, F.col("pos") % 7 == 0, V.NEGATIVES_PER_POSITIVE, 5)
     return k.groupBy("sample").agg(F.count("*").alias("n"), F.count_if(site).alias("n_site"), F.sum("l_orderkey").alias("key_sum"))
 
 
@@ -186,8 +186,8 @@ def pooled_keep_mask(spark, sf):
 def pooled_metrics(spark, sf):
     """All individuals pooled after each was filtered on its own."""
     v = view(spark, sf, "v_pred")
-    site = (F.col("y_acceptor") == 1) & (F.col("l_linenumber") <= 1)
-    k = V.kept_rows(v, ["sample"], KEYS, site, F.col("pos") % 7 == 0, 3, 5)
+    site = F.col("y_acceptor") == 1
+    k = V.kept_rows(v, ["sample"], KEYS, site, F.col("pos") % 7 == 0, V.NEGATIVES_PER_POSITIVE, 5)
     return rounded(C.ranking_metrics(k.select(site.cast("int").alias("label"), "head_b"), [], "head_b"))
 
 

@@ -178,6 +178,6 @@ def arriving_junctions(spark, sf):
     """Site counts folded over a stream of per-sample junction files."""
     path = scratch_dir(spark, "junctions")
     _bed(spark, sf).repartition("sample").write.partitionBy("sample").text(path)
-    q = arrivals.keep_counts(arrivals.site_counts(arrivals.junction_stream(spark, path)), f"arrivals_{path[-12:]}".replace("-", "_"))
+    q, updates = arrivals.keep_counts(arrivals.site_counts(arrivals.junction_stream(spark, path)), "arrivals")
     q.awaitTermination()
-    return spark.table(q.name)
+    return arrivals.latest_counts(spark, updates)

@@ -119,9 +119,9 @@ def metrics_by_specificity(spark, sf):
     return rounded(C.regression_metrics(d, ["tau_bin", "n_tissues"], "ssu", "pred"), REG_COLS)
 
 
-@query(cte("v_pred") + ", g AS (SELECT sample, region, pos, count(head_b) AS n, max(head_b) - min(head_b) AS d FROM v_pred GROUP BY ALL HAVING count(head_b) = 2) SELECT sample, count(*) AS n_pairs, round(avg(CASE WHEN d > 0.01 THEN 1 ELSE 0 END), 6) AS share_001, round(avg(CASE WHEN d > 0.05 THEN 1 ELSE 0 END), 6) AS share_005, round(avg(CASE WHEN d > 0.1 THEN 1 ELSE 0 END), 6) AS share_010, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta FROM g GROUP BY sample")
+@query(cte("v_pred") + ", g AS (SELECT sample, region, pos, count(head_b) AS n, max(head_b) - min(head_b) AS d FROM v_pred WHERE y_ssu <> 777 GROUP BY ALL HAVING count(head_b) = 2) SELECT sample, count(*) AS n_pairs, round(avg(CASE WHEN d > 0.01 THEN 1 ELSE 0 END), 6) AS share_001, round(avg(CASE WHEN d > 0.05 THEN 1 ELSE 0 END), 6) AS share_005, round(avg(CASE WHEN d > 0.1 THEN 1 ELSE 0 END), 6) AS share_010, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta FROM g GROUP BY sample")
 def allele_differences(spark, sf):
-    d = T5.allele_differences(view(spark, sf, "v_pred"), ["sample"], ["region", "pos"], "head_b")
+    d = T5.allele_differences(view(spark, sf, "v_pred").filter("y_ssu <> 777"), ["sample"], ["region", "pos"], "head_b")
     return rounded(d, ["share_001", "share_005", "share_010", "mean_delta", "median_delta"])
 
 

@@ -5,6 +5,8 @@ Junction files are folded into running site counts; a file already seen is never
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -25,7 +27,21 @@ def site_counts(junctions: DataFrame) -> DataFrame:
     return junctions.select("region", "strand", ends.alias("site"), "n").groupBy("region", "strand", "site").agg(F.sum("n").alias("alpha"))
 
 
-def keep_counts(counts: DataFrame, name: str) -> StreamingQuery:
-    """Process everything available, keep the table in memory under ``name``, state below the checkpoint folder."""
+def keep_counts(counts: DataFrame, name: str) -> tuple[StreamingQuery, str]:
+    """Process everything available. Each batch writes the counts that it changed to a folder of its own; state lies beside them.
+
+    A batch that is repeated overwrites its folder, so the output survives lost executors and drivers.
+    """
     path = scratch_dir(counts.sparkSession, name)
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
+
+    stream = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    return stream.start(), f"{path}/updates"
+
+
+def latest_counts(spark: SparkSession, folder: str, keys: Sequence[str] = ("region", "strand", "site"), value: str = "alpha") -> DataFrame:
+    """The last written count of each key."""
+    updates = spark.read.parquet(folder)
+    return updates.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
