@@ -344,3 +344,10 @@ def matching_scheme_comparison(spark, sf):
     _, scores = _pairs_scores(spark, sf)
     med = lambda m: T.tissue_medians(T.per_tissue(labelled_pairs(G.matched_only(m).select("tissue", "pos_var_key", "neg_var_key"), scores)))
     return T.scheme_comparison(med(G.tiered_matches(pos, neg)), med(G.optimal_matches(pos, neg)))
+
+
+@query(cte("v_variant") + "SELECT gene_id, var_key, pos FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY pip DESC, var_key) AS rn FROM v_variant) t WHERE rn = 1")
+def strongest_variant(spark, sf):
+    """The variant with the largest pip of each gene."""
+    v = _v(spark, sf).withColumn("pip", F.col("pip").cast("double"))
+    return M.first_per_key(v, ["gene_id"], [("pip", False)], "var_key").select("gene_id", "var_key", "pos")

@@ -266,3 +266,9 @@ def attribution_completeness(spark, sf):
     v = view(spark, sf, "v_attr").select("class", (F.col("seq_id") % 37 / 37).alias("p"), K.total(F.col("attr")).alias("st"), K.absolute_total(F.col("attr")).alias("s"))
     c = v.groupBy("class").agg(correlation("p", "st").alias("r_signed"), correlation("p", "s").alias("r_absolute"), correlation("p", F.col("st") / F.col("s")).alias("r_normalised"), F.count("*").alias("n"))
     return rounded(c, ["r_signed", "r_absolute", "r_normalised"])
+
+
+@query(cte("v_gene") + "SELECT paralog AS paralog_status, count(*) AS n, min(gene_id) AS first_gene FROM v_gene WHERE paralog = 0 GROUP BY paralog")
+def nonparalog_rows(spark, sf):
+    g = view(spark, sf, "v_gene").withColumn("paralog_status", F.col("paralog"))
+    return W.paralog_subset(g, "0").groupBy("paralog_status").agg(F.count("*").alias("n"), F.min("gene_id").alias("first_gene"))

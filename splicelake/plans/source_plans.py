@@ -181,3 +181,33 @@ def arriving_junctions(spark, sf):
     q, updates = arrivals.keep_counts(arrivals.site_counts(arrivals.junction_stream(spark, path)), "arrivals")
     q.awaitTermination()
     return arrivals.latest_counts(spark, updates)
+
+
+@query(cte("v_gene") + "SELECT region, count(*) AS n, CAST(sum(gstart) AS BIGINT) AS starts FROM v_gene GROUP BY region")
+def table_round_trip(spark, sf):
+    """Delimited text, compressed, read back with two of its four columns."""
+    path = scratch_dir(spark, "table")
+    files.write_table(view(spark, sf, "v_gene").select("gene_id", "region", "gstart", "gend"), path, gzip=True)
+    r = files.read_table(spark, path, "gene_id STRING, region STRING, gstart INT, gend INT", ["region", "gstart"])
+    return r.groupBy("region").agg(F.count("*").alias("n"), F.sum("gstart").alias("starts"))
+
+
+@query(cte("v_usage") + "SELECT concat('sample=', sample) AS sample, concat('G', CAST(site AS STRING)) AS gene_id, CAST(100 + site % 900 AS INT) AS length, CAST(sum(alpha) AS BIGINT) AS n FROM v_usage GROUP BY sample, site")
+def count_file_scan(spark, sf):
+    """Count files of one folder per sample, with their comment and column lines."""
+    path = scratch_dir(spark, "featurecounts")
+    g = view(spark, sf, "v_usage").groupBy("sample", "site").agg(F.sum("alpha").alias("n"))
+    row = F.concat_ws("\t", F.concat(F.lit("G"), F.col("site")), F.lit("chr1"), F.col("site"), F.col("site") + 99, F.lit("+"), 100 + F.col("site") % 900, F.col("n"))
+    top = g.select("sample").distinct().select("sample", F.explode(F.array(F.lit("# Program:counts"), F.lit("Geneid\tChr\tStart\tEnd\tStrand\tLength\ts.bam"))).alias("value"))
+    g.select("sample", row.alias("value")).unionByName(top).write.partitionBy("sample").text(path)
+    return files.read_feature_counts(spark, path)
+
+
+@query(cte("v_gene") + "SELECT gene_id, CAST(tpm AS DOUBLE) AS lung, CAST(gstart AS DOUBLE) AS testis FROM v_gene")
+def expression_file_scan(spark, sf):
+    """A median expression table with its three leading lines."""
+    path = scratch_dir(spark, "gct")
+    row = F.concat_ws("\t", "gene_id", F.lit("name"), F.col("tpm").cast("double"), F.col("gstart"))
+    top = spark.range(1).select(F.explode(F.array(F.lit("#1.2"), F.lit("9\t2"), F.lit("Name\tDescription\tlung\ttestis"))).alias("value"))
+    view(spark, sf, "v_gene").select(row.alias("value")).unionByName(top).write.text(path)
+    return files.read_gct(spark, path, ["lung", "testis"])
