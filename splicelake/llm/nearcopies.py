@@ -3,7 +3,7 @@
 1. Every text gets its set of word shingles (64-bit hashes), the minima of ``BANDS * ROWS`` multiply-add hashes over the set,
    and a key of the whole set. Texts with equal sets form one class; only classes go on, so exact copies never meet in pairs.
 2. Classes that agree in all minima of a band share a bucket. First each class is paired with one class only, the smallest that it
-   shares a bucket with; verified pairs are joined to components. In a few further waves each member of a bucket with several
+   shares a bucket with; verified pairs are joined to components. In a further wave each member of a bucket with several
    components is paired with one member of another component, drawn by a hash. At last all pairs of one bucket that still lie in
    different components are compared by a longer signature inside their task, and only those that may be links leave it. So a bucket of thousands of near
    copies costs a few pairs for each, and no link between components is lost.
@@ -32,7 +32,7 @@ SKETCH, NEAR = 512, 0.72
 #: Members of a bucket that meet in one task.
 GROUP = 2048
 #: Waves of one pair for each member of a bucket, before all pairs that are left; they only save work.
-WAVES = 3
+WAVES = 1
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -137,7 +137,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         mark = tuple(seen)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         now = stored(small.distinct(), name)
@@ -262,8 +262,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = _undecided(members, joined)
     sketches = stored(_sketched(sets.join(left.select("node").distinct(), "node", "left_semi")), "sketches")
     more = _verified(stored(_near_pairs(left, sketches), "close"), sets, similarity)
-    all_links = _stars(joined).union(stored(more, "links"))
-    placed = nodes.select("node", "set_key", "rep").join(components(all_links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = stored(more, "links")
+    final = joined if more.isEmpty() else components(_stars(joined).union(more))
+    placed = nodes.select("node", "set_key", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = placed.join(ids, "component").select("set_key", "component_id")
     out = texts.where("id is not null").select("id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
