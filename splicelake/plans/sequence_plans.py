@@ -106,13 +106,13 @@ def site_offsets(spark, sf):
 
 
 WIN = """, tr AS (SELECT uid, strand, gstart, gend, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS t FROM hr WHERE length(seq) > 0),
-wn AS (SELECT tr.*, CAST(i AS INT) AS window_idx, substring(concat(repeat('N', 200), t, repeat('N', 1200)), CAST(i * 1000 + 1 AS INT), 1400) AS x FROM tr CROSS JOIN LATERAL (SELECT unnest(range(CAST(ceil(length(t) / 1000) AS BIGINT))) AS i) r),
-ws AS (SELECT uid, CAST(off // 1000 AS INT) AS window_idx, string_agg(concat(CAST(off % 1000 AS STRING), ':', CAST(cls AS STRING)), ',' ORDER BY off) AS sites, count(*) AS n_sites FROM lb GROUP BY ALL)"""
+wn AS (SELECT tr.*, CAST(i AS INT) AS window_idx, substring(concat(repeat('N', 5000), t, repeat('N', 10000)), CAST(i * 5000 + 1 AS INT), 15000) AS x FROM tr CROSS JOIN LATERAL (SELECT unnest(range(CAST(ceil(length(t) / 5000) AS BIGINT))) AS i) r),
+ws AS (SELECT uid, CAST(off // 5000 AS INT) AS window_idx, string_agg(concat(CAST(off % 5000 AS STRING), ':', CAST(cls AS STRING)), ',' ORDER BY off) AS sites, count(*) AS n_sites FROM lb GROUP BY ALL)"""
 
 
 def _windows(spark, sf, keep_empty=False):
     r = _rows(spark, sf)
-    return W.cut_windows(r.select("uid", "strand", "gstart", "gend", "seq"), W.site_labels(r), "uid", 1000, 400, keep_empty)
+    return W.cut_windows(r.select("uid", "strand", "gstart", "gend", "seq"), W.site_labels(r), "uid", W.BLOCK, W.CONTEXT, keep_empty)
 
 
 @query(cte("v_seq") + ROWS + LAB + WIN + " SELECT uid, window_idx, x, sites, n_sites FROM wn JOIN ws USING (uid, window_idx)")
@@ -122,11 +122,11 @@ def labelled_windows(spark, sf):
     return w.select("uid", "window_idx", "x", txt.alias("sites"), F.size("sites").cast("long").alias("n_sites"))
 
 
-@query(cte("v_seq") + ROWS + LAB + WIN + " SELECT uid, window_idx, CASE WHEN strand = '+' THEN gstart + window_idx * 1000 ELSE gend - window_idx * 1000 END AS first_pos, CASE WHEN window_idx * 1000 + 999 > gend - gstart THEN -1 WHEN strand = '+' THEN gstart + window_idx * 1000 + 999 ELSE gend - window_idx * 1000 - 999 END AS last_pos, coalesce(n_sites, 0) AS n_sites FROM wn LEFT JOIN ws USING (uid, window_idx)")
+@query(cte("v_seq") + ROWS + LAB + WIN + " SELECT uid, window_idx, CASE WHEN strand = '+' THEN gstart + window_idx * 5000 ELSE gend - window_idx * 5000 END AS first_pos, CASE WHEN window_idx * 5000 + 4999 > gend - gstart THEN -1 WHEN strand = '+' THEN gstart + window_idx * 5000 + 4999 ELSE gend - window_idx * 5000 - 4999 END AS last_pos, coalesce(n_sites, 0) AS n_sites FROM wn LEFT JOIN ws USING (uid, window_idx)")
 def window_coordinates(spark, sf):
     w = _windows(spark, sf, True)
-    pos = lambda off: W.genomic_position(F.col("strand"), F.col("gstart"), F.col("gend"), F.col("window_idx"), F.lit(off), 1000)
-    return w.select("uid", "window_idx", pos(0).alias("first_pos"), pos(999).alias("last_pos"), F.size("sites").cast("long").alias("n_sites"))
+    pos = lambda off: W.genomic_position(F.col("strand"), F.col("gstart"), F.col("gend"), F.col("window_idx"), F.lit(off), W.BLOCK)
+    return w.select("uid", "window_idx", pos(0).alias("first_pos"), pos(W.BLOCK - 1).alias("last_pos"), F.size("sites").cast("long").alias("n_sites"))
 
 
 @query(cte("v_seq") + ROWS + LAB + WIN + ", fo AS (SELECT c_custkey % 1000 AS uid, c_nationkey % 4 AS fold FROM customer GROUP BY ALL) SELECT fold, count(*) AS n_windows, count(DISTINCT uid) AS n_rows FROM wn JOIN ws USING (uid, window_idx) JOIN fo USING (uid) GROUP BY fold")

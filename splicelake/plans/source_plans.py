@@ -8,7 +8,7 @@ from splicelake.operators import curves as C
 from splicelake.operators import windows as W
 from splicelake.plans.metric_plans import REG_COLS, rounded, sql_reg
 from splicelake.plans.registry import query
-from splicelake.plans.sequence_plans import SQ, _seq, _windows
+from splicelake.plans.sequence_plans import LAB, ROWS, SQ, WIN, _seq, _windows
 from splicelake.plans.usage_plans import EDGES, FRAC, _usage
 from splicelake.plans.views import cte, table, view
 from splicelake.functions import scalar as S
@@ -166,7 +166,7 @@ def many_file_scan(spark, sf):
     return r.groupBy("sample").agg(F.count("*").alias("n"), F.sum("num").alias("alpha"))
 
 
-@query()
+@query(cte("v_seq") + ROWS + LAB + WIN + " SELECT strand, count(*) AS n_windows, CAST(sum(n_sites) AS BIGINT) AS n_sites FROM wn JOIN ws USING (uid, window_idx) GROUP BY strand")
 def window_dataset_round_trip(spark, sf):
     path = scratch_dir(spark, "windows")
     W.write_windows(_windows(spark, sf).select("uid", "window_idx", "x", "sites", F.col("strand")), path, ["strand"])
