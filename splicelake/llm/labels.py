@@ -16,5 +16,5 @@ def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     total = df.count()
     if total <= most:
         return df
-    share = most / total
-    return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most)
+    code = F.xxhash64(key, F.lit(7))
+    return df.where(F.pmod(code, F.lit(1 << 30)) < most * (1 << 30) // total).orderBy(code).limit(most)
