@@ -1,10 +1,13 @@
 """Personal data: patterns find it, co-occurrence in the corpus finds the terms that give it away. SQL expressions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity. Terms in the
-``NEAR_WORDS`` words on either side of an entity are its context. Over all documents, n(e) hold the entity, n(t) the term anywhere
-and n(t, e) the term in a context of the entity. With N documents the term tells log2(N n(t, e) / (n(t) n(e))) bits about an entity
-that has log2(N / n(e)) bits in all. From the share ``GENERALISE`` of these bits on, a term in such a context is generalised to its
-kind of word, from ``REMOVE`` on it is removed; fewer than ``MIN_SUPPORT`` documents with the pair are no evidence.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity, each word of a text
+(in lower case) a term. Over all documents, n(e) hold the entity, n(t) the term and n(t, e) both, wherever they stand. With N documents
+the term tells log2(N n(t, e) / (n(t) n(e))) bits about an entity that has log2(N / n(e)) bits in all. From the share ``GENERALISE`` of
+these bits on, every occurrence of the term in documents with that entity is generalised to its kind of word, from ``REMOVE`` on it is
+removed; words that touch a base span go with the span. Fewer than ``MIN_SUPPORT`` documents with the pair are no evidence: a term and an
+entity that both stand in one document only would always have the share 1, so that every rare word of the document would go.
+
+As n(t, e) is at most n(e), a term with n(t) > n(e) (N / n(e)) ** (1 - GENERALISE) can't reach the share. Such pairs are not formed.
 
 Positions are code points. The patterns are written so that a search never goes back over what it has read (possessive, and started
 only where a run of characters starts or the last match ended); matches are the same as those of the plain patterns.
@@ -30,8 +33,6 @@ PATTERNS = {
 }
 #: A text without it has no match.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-WORD = r"[\p{L}\p{N}]+"
-NEAR_WORDS, NEAR_CHARS = 5, 64
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.9
 _BLOCK = 256
 _PLACED = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -46,7 +47,7 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _placed(text: Column, pattern: str, hits: Column) -> Column:
+def _placed(text: Column, pattern: str | Column, hits: Column) -> Column:
     """start, end, value of the hits: what lies between them gives the places. Sums run over blocks, so the work stays near linear."""
     block = lambda i: F.floor(i / _BLOCK).cast("int")
     gaps = F.split(text, pattern, -1)
@@ -104,54 +105,61 @@ def _entity(span: Column) -> Column:
     return F.concat(span.kind, F.lit(":"), value)
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """Array of entity, term, start, end: whole words near each span that touch no span."""
-
-    def near(span: Column) -> Column:
-        lo = F.greatest(F.lit(0).cast("long"), span.start - NEAR_CHARS)
-        left = placed(F.substring(text, (lo + 1).cast("int"), (span.start - lo).cast("int")), WORD)
-        right = placed(F.substring(text, (span.end + 1).cast("int"), F.lit(NEAR_CHARS)), WORD)
-        whole_left = F.filter(left, lambda w: (w.start > 0) | (lo == 0))
-        whole_right = F.filter(right, lambda w: w.end < NEAR_CHARS)
-        last = bound(whole_left, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - NEAR_WORDS + 1), F.lit(NEAR_WORDS)))
-        moved = lambda words, by: F.transform(words, lambda w: F.struct((w.start + by).alias("start"), (w.end + by).alias("end"), w.value.alias("value")))
-        both = F.concat(moved(last, lo), moved(F.slice(whole_right, 1, NEAR_WORDS), span.end))
-        free = F.filter(both, lambda w: ~F.exists(spans, lambda s: (s.start < w.end) & (w.start < s.end)))
-        return F.transform(free, lambda w: F.struct(_entity(span).alias("entity"), F.lower(w.value).alias("term"), w.start.alias("start"), w.end.alias("end")))
-
-    return F.flatten(F.transform(spans, near))
+def _words(text: Column) -> Column:
+    """Distinct words in lower case. Each is lowered by itself, as in ``_occurrences``."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lower))
 
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, spans, context of every row, stored without the text."""
+    """id, text_key, spans and, where there are any, the text of every row, stored."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = rows.withColumn("spans", base_spans(F.col("text")))
-    context = F.when(F.size("spans") > 0, _context(F.col("text"), F.col("spans"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>"))
-    return stored(spans.withColumn("context", context).drop("text"), "spans")
+    return stored(spans.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
 
 
 def disclosing(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
-    """entity, term, share: pairs whose share of the entity's information is GENERALISE or more, from counts over all documents."""
+    """text_key, term, share: terms of each text that have GENERALISE or more of an entity of the text, from counts over all documents."""
+    n = F.col("n")
+    share = lambda both: F.log2(n * both / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
     n_docs = base.agg(F.count("*").alias("n"))
-    pairs = base.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
-    entities = base.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
-    counted = stored(pairs, "pairs").join(entities, "entity").join(terms, "term").withColumn("n", n_docs.scalar())
-    return counted.where("n > n_entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    texts = base.where(F.size("spans") > 0).groupBy("text_key").agg(F.count("*").alias("m"), F.any_value("spans").alias("spans"), F.any_value("text").alias("text"))
+    texts = stored(texts.select("text_key", "m", F.array_distinct(F.transform("spans", _entity)).alias("entities"), _words(F.col("text")).alias("words")), "holders")
+    entities = texts.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_entity")).withColumn("n", n_docs.scalar())
+    entities = entities.where((F.col("n_entity") >= MIN_SUPPORT) & (n > F.col("n_entity")))
+    held = stored(texts.select("text_key", F.explode("entities").alias("entity")).join(entities, "entity"), "held")
+    most = held.groupBy("text_key").agg(F.max(F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - GENERALISE))).alias("most"))
+    words = texts.join(most, "text_key").select("text_key", "m", "most", F.explode("words").alias("term"))
+    terms = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= MIN_SUPPORT)
+    words = words.join(terms, "term").where(F.col("n_term") <= F.col("most") + 1).drop("most")
+    pairs = words.join(held, "text_key").where(share(F.least("n_term", "n_entity")) >= GENERALISE)
+    pairs = stored(pairs.select("text_key", "m", "entity", "term", "n_entity", "n_term", "n"), "pairs")
+    counted = pairs.groupBy("entity", "term", "n_entity", "n_term", "n").agg(F.sum("m").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
+    telling = counted.select("entity", "term", share(F.col("n_both")).alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.select("text_key", "entity", "term").join(telling, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
+
+
+def _occurrences(text: Column, spans: Column, terms: Column) -> Column:
+    """Array of start, end, removed: all places of the terms (term, removed) in the text that touch no span."""
+    forms = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.array_contains(terms.term, F.lower(w))))
+    # a letter beyond 16 bits in the pattern makes Java look behind by code points
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}𝒳])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+    def places(pattern: Column) -> Column:
+        return bound(F.regexp_extract_all(text, pattern, 0), lambda h: F.when(F.size(h) > 0, _placed(text, pattern, h)).otherwise(F.array().cast(_PLACED)))
+
+    free = F.filter(bound(pattern, places), lambda w: ~F.exists(spans, lambda s: (s.start < w.end) & (w.start < s.end)))
+    removed = F.filter(terms, lambda t: t.removed).term
+    return F.transform(free, lambda w: F.struct(w.start.alias("start"), w.end.alias("end"), F.array_contains(removed, F.lower(w.value)).alias("removed")))
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key, base (kind, start, end, value), terms (start, end, removed) of every row."""
     base = found(docs, id_col, text_col)
-    telling = disclosing(docs, base, text_col)
-    context = base.where(F.size("context") > 0).select("text_key", F.explode("context").alias("c")).select("text_key", "c.*").distinct()
-    marked = context.join(telling, ["entity", "term"]).groupBy("text_key", "start", "end").agg((F.max("share") >= REMOVE).alias("removed"))
-    terms = marked.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    telling = disclosing(docs, base, text_col).select("text_key", F.struct("term", (F.col("share") >= REMOVE).alias("removed")).alias("t"))
+    telling = telling.groupBy("text_key").agg(F.collect_list("t").alias("telling"))
+    terms = F.when(F.col("telling").isNotNull(), _occurrences(F.col("text"), F.col("spans"), F.col("telling")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    return base.join(terms, "text_key", "left").select("id", "text_key", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"))
+    return base.join(telling, "text_key", "left").select("id", "text_key", F.col("spans").alias("base"), F.coalesce(terms, none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
