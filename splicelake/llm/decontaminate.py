@@ -4,7 +4,9 @@
 which it stands. Positions run through all documents of the segment with ``GAP`` between two documents, so no window spans two.
 ``matches`` takes the benchmark in bounded blocks. In every segment a window is looked up by its rarest word there; each place of
 that word proposes a start, and the lists of the other words, shifted by their offset in the window, are intersected with the
-proposals from the rarest to the most frequent. ``slop`` lets each word stand so many places off (a proximity match).
+proposals from the rarest to the most frequent. ``slop`` makes proximity matches: some start from which each word of the window stands
+at most so many places off its own place. All starts that the rarest word allows are tried, so it doesn't matter which word that is; one
+place may serve equal words. A word that is left out altogether is no proximity match.
 
 A segment is worked on where it lies, so no posting is shuffled; what grows with the benchmark is the number of passes.
 
@@ -89,7 +91,7 @@ def windows_of(rows: list[tuple], window: int = WINDOW) -> Windows:
 
 
 def found(block: Windows, words: pa.Array, n_places: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in a segment. places: sorted within each word."""
+    """(window, start) of all matches in a segment, with slop for each possible start. places: sorted within each word."""
     if not len(block.grid) or not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = pc.index_in(block.words.cast(pa.binary()), value_set=words.cast(pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -102,14 +104,16 @@ def found(block: Windows, words: pa.Array, n_places: np.ndarray, places: np.ndar
     span = int(places.max(initial=0)) + 2 * GAP
     keys = np.repeat(np.arange(len(n_places)), n_places) * span + places  # sorted: word by word, place by place
     rare = grid[np.arange(len(grid)), rank[:, 0]]
-    total = np.cumsum(n_places[rare])
+    off = np.arange(-slop, slop + 1)
+    total = np.cumsum(n_places[rare]) * len(off)
     out_w, out_s = [], []
     lo = 0
     while lo < len(grid):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PROPOSALS, "right")))
         count = n_places[rare[lo:hi]]
         w = np.repeat(np.arange(lo, hi), count)
-        s = places[ranges(first[rare[lo:hi]], count)] - rank[w, 0]
+        s = ((places[ranges(first[rare[lo:hi]], count)] - rank[w, 0])[:, None] + off).ravel()
+        w = np.repeat(w, len(off))
         for k in range(1, grid.shape[1]):
             more = length[w] > k
             if not more.any():

@@ -3,8 +3,9 @@
 import random
 import re
 
+import duckdb
 from samples import ODD
-from splicelake.llm import decontaminate
+from splicelake.llm import decontaminate, queries
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -59,6 +60,68 @@ def test_proximity_lets_words_stand_off(spark, make_docs):
     assert near == {1: [1], 2: [1], 3: [], 4: [], 5: []}
 
 
+def brute_near(docs, bench, slop, window=13):
+    """Items of each text with a window and a start from which every word stands at most slop places off."""
+    out = []
+    for d, t in docs:
+        w, items = words(t), set()
+        for i, b in bench:
+            v = words(b)
+            for win in [v[k : k + window] for k in range(max(1, len(v) - window + 1))] if v else []:
+                if any(all(x in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, x in enumerate(win)) for s in range(-slop, len(w) + slop)):
+                    items.add(i)
+        out.append((d, sorted(x for x in items if x is not None)))
+    return sorted(out, key=str)
+
+
+def moved(own, text):
+    """The text with words put in or changed about."""
+    w = text.split()
+    for _ in range(own.randint(0, 4)):
+        k = own.randrange(len(w) + 1)
+        if own.random() < 0.6:
+            w.insert(k, own.choice(["new", "a1", "b2"]))
+        else:
+            w[k : k + 2] = reversed(w[k : k + 2])
+    return " ".join(w)
+
+
+def near_case():
+    own = random.Random(11)
+    bench = [(i, " ".join(own.choice("abcdefgh") + own.choice("123") for _ in range(own.choice([3, 6, 13, 16])))) for i in range(14)] + [(20, None), (None, "a1 new b2")]
+    rows = [(i, " ".join(own.choice("abcdefgh") + own.choice("123") for _ in range(own.choice([0, 5, 30]))) + " " + moved(own, bench[own.randrange(14)][1])) for i in range(60)]
+    return rows + [(100, "a1 x b2 y"), (101, "a1 y y new y y b2"), *ODD[:9]], bench
+
+
+def test_proximity_as_a_scan_does_however_texts_lie_in_segments(spark, make_docs):
+    rows, bench = near_case()
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for slop in (1, 2):
+        want = brute_near(rows, bench, slop)
+        for partitions in (1, 7, 60):
+            out = decontaminate.contamination(make_docs(rows, partitions), table, slop=slop).collect()
+            assert sorted(((r.id, sorted(r.near_items)) for r in out), key=str) == want
+
+
+def test_the_query_counts_items_with_proximity_matches(spark, make_docs, tmp_path):
+    rows, bench = near_case()
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = queries.op1_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_near_items) for r in out), key=str) == sorted(((i, len(x)) for i, x in brute_near(rows, bench, 2)), key=str)
+    assert sum(r.n_near_items > r.n_items for r in out) > 10
+
+
+def test_the_contract_columns_are_those_of_the_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    cur = con.execute(queries.ORACLES["op1_decontamination"])
+    columns = [d[0] for d in cur.description]
+    out = queries.op1_decontamination(spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(cur.fetchall(), key=str)
+
+
 def test_empty_tables(spark, make_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(make_docs([]), bench).count() == 0
