@@ -209,13 +209,21 @@ f2 AS (SELECT *, (l1 = t OR r1 = t) AS a1, (l1 = t OR r1 = t OR l2 = t OR r2 = t
 f3 AS (SELECT *, (c1 OR c2x) AS c2, (p <= t AND b1 > t + 1) OR (s2 <= t AND s2 + (b3 - s2) > t + 1 AND s2 <= t AND (b3 > t + 1) AND NOT (t + 1 >= s2 + (b3 - s2))) AS dummy FROM f2)"""
 
 
-def _evidence(spark, sf):
-    reads = view(spark, sf, "v_read")
-    walk = E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar")))
-    first = F.get(walk, F.lit(0))
+def _first_gaps(reads):
+    """The junctions of the SQL statements: first gap of a third of the reads."""
+    first = F.get(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar"))), F.lit(0))
     q = F.regexp_extract("cigar", r"S(\d+)M", 1).cast("int")
-    j = reads.filter(q % 3 == 0).select("sample", "region", F.lit(".").alias("strand"), first["left"].alias("jleft"), first["right"].alias("jright"), F.lit(1).alias("n"))
-    e = U.edges(j)
+    return reads.filter(q % 3 == 0).select("sample", "region", first["left"].alias("jleft"), first["right"].alias("jright"), F.lit(1).alias("n"))
+
+
+def _all_gaps(reads):
+    r = E.collapse_reads(reads).select("sample", "region", "n_reads", F.explode(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar")))).alias("g"))
+    return r.select("sample", "region", F.col("g.left").alias("jleft"), F.col("g.right").alias("jright"), F.col("n_reads").alias("n"))
+
+
+def _evidence(spark, sf, junctions=_first_gaps):
+    reads = view(spark, sf, "v_read")
+    e = U.edges(junctions(reads).withColumn("strand", F.lit(".")))
     pa = e.groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
     co = U.competitors(e).groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("competitor")).alias("competitors"))
     sites = pa.join(co, ["sample", "region", "strand", "site"], "left").withColumn("competitors", F.coalesce("competitors", F.array().cast("array<int>")))
@@ -242,8 +250,8 @@ def read_double_counts(spark, sf):
 
 @query()
 def strength_with_cryptic(spark, sf):
-    """Strength with weighted cryptic evidence from reads and junctions together."""
-    c, e = _evidence(spark, sf)
+    """Strength with weighted cryptic evidence from all reads and all their junctions together."""
+    c, e = _evidence(spark, sf, _all_gaps)
     ev = E.evidence_counts(c, "junction")
     pe = U.partner_evidence(e, E.double_counts(c))
     j = pe.join(ev.drop("alpha_comp"), ["sample", "region", "strand", "site"], "left").na.fill(0, ["beta1", "beta2"])
