@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _contamination(spark: SparkSession, sf_dir: str, slop: int) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=slop)
+    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+
+
 @query(
     """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
     b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
@@ -39,9 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from d left join n using (doc_id) left join t using (doc_id)"""
 )
 def op1_decontamination(spark, sf_dir):
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
-    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    return _contamination(spark, sf_dir, 0).drop("n_near_items")
+
+
+@query()
+def op1_proximity(spark, sf_dir):
+    """The columns of op1_decontamination and the number of items with proximity matches, which its SQL doesn't have."""
+    return _contamination(spark, sf_dir, 2)
 
 
 @query(

@@ -107,7 +107,7 @@ def test_the_query_counts_items_with_proximity_matches(spark, make_docs, tmp_pat
     rows, bench = near_case()
     make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = queries.op1_decontamination(spark, str(tmp_path)).collect()
+    out = queries.op1_proximity(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_near_items) for r in out), key=str) == sorted(((i, len(x)) for i, x in brute_near(rows, bench, 2)), key=str)
     assert sum(r.n_near_items > r.n_items for r in out) > 10
 
@@ -118,7 +118,7 @@ def test_the_contract_columns_are_those_of_the_sql(spark):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     cur = con.execute(queries.ORACLES["op1_decontamination"])
     columns = [d[0] for d in cur.description]
-    out = queries.op1_decontamination(spark, "/root/testdata/sf0.001").select(*columns).collect()
+    out = queries.op1_proximity(spark, "/root/testdata/sf0.001").select(*columns).collect()
     assert sorted(map(tuple, out), key=str) == sorted(cur.fetchall(), key=str)
 
 
