@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import archives, decontaminate, nearcopies, packing, pii, quality, repeats, rules, shards, toxicity
+from splicelake.llm import archives, decontaminate, nearcopies, negatives, packing, pii, quality, repeats, rules, shards, topsearch, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,38 @@ def op3_pii(spark, sf_dir):
 @query()
 def op5_suffix_dedup(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
+#: Whole numbers of the vectors that take part; ``r`` tells repeated rows apart.
+_VECTORS = """with v as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0)"""
+
+
+@query(
+    _VECTORS
+    + """, s as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0),
+    k as (select *, row_number() over (partition by r order by score desc, vec_id) as place from s)
+    select query_id, cast(place as integer) as rank, vec_id, score from k where place <= 5"""
+)
+def op11_topk_search(spark, sf_dir):
+    return topsearch.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5).withColumnRenamed("id", "vec_id")
+
+
+@query(
+    _VECTORS
+    + """, w as (select r, vec_id, x, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l from v where label is not null),
+    s as (select a.r, a.vec_id as anchor_id, c.r as other, c.vec_id, a.l = c.l as same, cast(list_inner_product(a.x, c.x) as bigint) as score from w a join w c on a.r <> c.r where a.vec_id % 50 = 0),
+    p as (select * from (select *, row_number() over (partition by r order by score desc, vec_id) as place from s where same) t where place <= 5),
+    n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.r, p.place order by s.score desc, s.vec_id) as rank
+    from p join s on s.r = p.r and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+    select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+)
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"), 4)
+    return out.withColumn("deviation", F.col("deviation").cast("long")).withColumnRenamed("id", "vec_id")
