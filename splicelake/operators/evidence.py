@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import scalar as S
 from splicelake.operators.intervals import points_in_intervals
+from splicelake.operators.ordered import lookup, running
+from splicelake.session import written
 
 # CIGAR letters that advance along the reference, and those that are aligned bases.
 ADVANCING = "MX=ND"
@@ -47,40 +49,77 @@ def collapse_reads(reads: DataFrame, by: Sequence[str] = ("sample", "region")) -
 def classify(
     reads: DataFrame, sites: DataFrame, library: str | None = None, by: Sequence[str] = ("sample", "region"), bin_width: int = 16384,
 ) -> DataFrame:
-    """Evidence class of every (alignment, site) pair, with its read count.
+    """Read counts of every site by evidence class; rows with reads only.
 
     ``reads`` come from ``collapse_reads``; ``sites`` carry site, strand, ``partners`` and ``competitors`` (arrays of
     positions, empty for newly filled sites). Classes: alpha_comp, flank, mutex, beta1_comp, beta1.
+
+    Reads over a site and gaps across it are running sums of starts minus ends, so their cost follows reads and sites. Only
+    reads with a gap from a partner to a competitor meet their sites one by one (``competing_reads``); they are taken out of the sums.
+    """
+    by = list(by)
+    sites = written(sites.select(*by, "strand", "site", "partners", "competitors"), "sites")
+    key = [*by, "strand", "site"]
+    n, none = F.col("n_reads"), F.lit(None).cast("array<int>")
+    part = lambda cls, n, doubled=none: F.struct(cls.alias("cls"), n.cast("long").alias("n_reads"), doubled.alias("doubled"))
+    on, over = F.col("on_block") & F.col("agrees"), F.col("over_before")
+    cls = F.when(F.col("touches"), "alpha_comp").when(over, "flank").when(on, "beta1_comp")
+    doubled = F.when(F.col("touches"), F.filter("hit", lambda x: x != F.col("used"))).when(~over & on, F.col("hit"))
+    met = F.array(part(cls, n, doubled), part(F.when(on, "beta1"), -n), part(F.when(over & F.col("agrees"), "mutex"), -n))
+    met = competing_reads(reads, sites, library, by).select(*key, F.inline(met))
+    cover = site_cover(reads, sites, library, by, bin_width)
+    rest = cover.select(*key, F.inline(F.array(part(F.lit("beta1"), F.col("n_block")), part(F.lit("mutex"), F.col("n_gap")))))
+    rows = met.unionByName(rest).filter("cls IS NOT NULL AND n_reads <> 0")
+    return rows.groupBy(*key, "cls", "doubled").agg(F.sum("n_reads").alias("n_reads")).filter("n_reads > 0")
+
+
+def site_cover(reads: DataFrame, sites: DataFrame, library: str | None, by: Sequence[str], bin_width: int) -> DataFrame:
+    """n_block and n_gap of every site: agreeing reads whose aligned block holds it and the next base, and whose gap spans it.
+
+    A stretch is +n where it begins to count and -n where it ends; sums of these per position run over coordinate chunks.
     """
     by = list(by)
+    side = [] if library is None else ["strand"]
     r = reads.withColumn("walk", cigar_walk(F.col("pos"), F.col("cigar")))
-    r = r.select(*by, "flag", "n_reads", aligned_blocks(F.col("walk")).alias("blocks"), gaps(F.col("walk")).alias("gaps"))
-    r = r.withColumn("ends", F.flatten(F.transform("gaps", lambda g: F.array(g["left"], g["right"]))))
-    # a site meets exactly one stretch of an alignment: a block that also holds the next base, or a gap
-    block = F.transform("blocks", lambda b: F.struct(F.lit(False).alias("is_gap"), b["lo"].alias("lo"), (b["hi"] - 2).alias("hi")))
-    gap = F.transform("gaps", lambda g: F.struct(F.lit(True).alias("is_gap"), g["left"].alias("lo"), g["right"].alias("hi")))
-    r = r.select(*by, "flag", "n_reads", "gaps", "ends", F.inline(F.concat(block, gap)))
-    j = points_in_intervals(sites, r, "site", "lo", "hi", by, bin_width, distinct=False)
-    t, p, c = F.col("site"), F.col("partners"), F.col("competitors")
+    if library is not None:
+        r = r.withColumn("strand", S.read_strand(F.col("flag"), library))
+    n, none = F.col("n_reads"), F.lit(0).cast("long")
+    step = lambda at, b, g: F.struct(at.alias("_p"), b.cast("long").alias("_b"), g.cast("long").alias("_g"))
+    block = F.flatten(F.transform(aligned_blocks(F.col("walk")), lambda b: F.array(step(b["lo"], n, none), step(b["hi"] - 1, -n, none))))
+    gap = F.flatten(F.transform(gaps(F.col("walk")), lambda g: F.array(step(g["left"] + 1, none, n), step(g["right"], none, -n))))
+    place = [*by, *side]
+    steps = r.select(*place, F.inline(F.concat(block, gap))).groupBy(*place, "_p").agg(F.sum("_b").alias("_b"), F.sum("_g").alias("_g"), F.lit(False).alias("_s"))
+    asked = sites.select(*place, F.col("site").alias("_p")).distinct().select("*", none.alias("_b"), none.alias("_g"), F.lit(True).alias("_s"))
+    line = steps.unionByName(asked).groupBy(*place, "_p").agg(F.sum("_b").alias("_b"), F.sum("_g").alias("_g"), F.max("_s").alias("_s"))
+    line = running(line, place, "_p", {"n_block": F.col("_b"), "n_gap": F.col("_g")}, chunk_expr=F.floor(F.col("_p") / bin_width)).filter("_s")
+    at = line.select(*place, F.col("_p").alias("site"), "n_block", "n_gap")
+    return lookup(sites.select(*by, "strand", "site"), at, [*place, "site"])
+
+
+def competing_reads(reads: DataFrame, sites: DataFrame, library: str | None, by: Sequence[str]) -> DataFrame:
+    """(alignment, site) pairs in which a gap of the alignment joins a partner of the site to a competitor of it.
+
+    Gap ends meet sites by equal positions of end and partner. ``hit``: partners among the alignment's gap ends; ``used``: the other end of
+    the gap at the site; touches, over_before and on_block say how the alignment meets the site.
+    """
+    by = list(by)
+    r = reads.withColumn("gaps", gaps(cigar_walk(F.col("pos"), F.col("cigar"))))
+    end = lambda x, y, g: F.struct(g[x].alias("_x"), g[y].alias("_y"), g["left"].alias("_left"))
+    ends = r.select(*by, "pos", "flag", "cigar", "n_reads", F.inline(F.flatten(F.transform("gaps", lambda g: F.array(end("left", "right", g), end("right", "left", g))))))
+    asked = sites.filter(F.size("competitors") > 0).select(*by, "strand", "site", "competitors", F.explode("partners").alias("_x"))
+    j = ends.join(asked, [*by, "_x"]).withColumn("_comp", F.array_contains("competitors", F.col("_y")))
+    key = [*by, "pos", "flag", "cigar", "strand", "site"]
+    j = j.groupBy(*key).agg(F.first("n_reads").alias("n_reads"), F.array_sort(F.collect_set("_x")).alias("hit"), F.min(F.when(F.col("_comp"), F.col("_left"))).alias("_first"))
+    j = j.filter("_first IS NOT NULL").withColumn("walk", cigar_walk(F.col("pos"), F.col("cigar")))
+    j = j.withColumns({"blocks": aligned_blocks(F.col("walk")), "gaps": gaps(F.col("walk"))})
+    t = F.col("site")
+    mine = F.get(F.filter("gaps", lambda g: (g["left"] == t) | (g["right"] == t)), F.lit(0))
+    over = F.exists("gaps", lambda g: (g["left"] < t) & (t < g["right"]))
     agrees = F.lit(True) if library is None else S.read_strand(F.col("flag"), library) == F.col("strand")
-    has = F.array_contains
-    touching = lambda g: (g["left"] == t) | (g["right"] == t)
-    competing = lambda g: (has(p, g["left"]) & has(c, g["right"])) | (has(p, g["right"]) & has(c, g["left"]))
-    inner = (F.col("lo") < t) & (t < F.col("hi"))
-    over, alpha, beta1 = F.col("is_gap") & inner, F.col("is_gap") & ~inner, ~F.col("is_gap") & agrees
-    near = F.arrays_overlap("partners", "ends")
-    comp = near & F.exists("gaps", competing)
-    comp_before = near & F.exists("gaps", lambda g: (g["left"] < t) & competing(g))
-    cls = (
-        F.when(alpha & comp, "alpha_comp").when(over & comp_before, "flank").when(over & agrees, "mutex")
-        .when(beta1, F.when(comp, "beta1_comp").otherwise("beta1"))
+    return j.select(
+        *by, "strand", "site", "n_reads", "hit", agrees.alias("agrees"), F.when(mine["left"] == t, mine["right"]).otherwise(mine["left"]).alias("used"), mine.isNotNull().alias("touches"),
+        (over & (F.col("_first") < t)).alias("over_before"), F.exists("blocks", lambda b: (b["lo"] <= t) & (t <= b["hi"] - 2)).alias("on_block"),
     )
-    j = j.withColumn("cls", cls).filter("cls IS NOT NULL")
-    hit = F.array_intersect("partners", "ends")
-    mine = F.get(F.filter("gaps", touching), F.lit(0))
-    used = F.when(mine["left"] == t, mine["right"]).otherwise(mine["left"])
-    doubled = F.when(F.col("cls") == "alpha_comp", F.filter(hit, lambda x: x != used)).when(F.col("cls") == "beta1_comp", hit)
-    return j.select(*by, "strand", "site", "n_reads", "cls", doubled.alias("doubled"))
 
 
 def evidence_counts(classified: DataFrame, mode: str = "junction", by: Sequence[str] = ("sample", "region", "strand")) -> DataFrame:
@@ -105,20 +144,35 @@ def double_counts(classified: DataFrame, by: Sequence[str] = ("sample", "region"
 def gene_counts(reads: DataFrame, exons: DataFrame, by: Sequence[str] = ("sample", "region"), library: str | None = None, bin_width: int = 16384) -> DataFrame:
     """Reads per gene over aligned blocks; a read counts only when it touches exactly one gene.
 
-    ``reads`` come from ``collapse_reads``; exons have region, gstart, gend, gene_id and strand. Block overlap becomes
-    point membership on the bins both sides touch; gene sets are formed per distinct alignment.
+    ``reads`` come from ``collapse_reads``; exons have region, gstart, gend, gene_id and strand. Genes are looked up once per distinct
+    block, whatever the samples and the depth (``genes_of_blocks``), and come back to the alignments by a key join.
     """
     by = list(by)
+    side = [] if library is None else ["strand"]
+    place = [*[c for c in by if c in exons.columns], *side]
     r = reads.withColumn("walk", aligned_blocks(cigar_walk(F.col("pos"), F.col("cigar"))))
-    b = r.select(*by, "pos", "flag", "cigar", "n_reads", F.inline("walk"))
-    place = [c for c in by if c in exons.columns]
-    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_width), F.floor(hi / bin_width)))
-    bb = b.select("*", grid(F.col("lo"), F.col("hi") - 1).alias("bin"))
-    eb = exons.select(*place, "gene_id", F.col("strand").alias("gstrand"), "gstart", "gend", grid(F.col("gstart"), F.col("gend")).alias("bin"))
-    hit = bb.join(eb, [*place, "bin"]).filter((F.col("lo") <= F.col("gend")) & (F.col("hi") - 1 >= F.col("gstart")))
     if library is not None:
-        hit = hit.filter(S.read_strand(F.col("flag"), library) == F.col("gstrand"))
-    key = [*by, "pos", "flag", "cigar"]
-    one = hit.groupBy(*key).agg(F.min("gene_id").alias("gene_id"), F.max("gene_id").alias("_other"), F.first("n_reads").alias("n_reads"))
+        r = r.withColumn("strand", S.read_strand(F.col("flag"), library))
+    b = r.select(*by, *side, "pos", "flag", "cigar", "n_reads", F.inline("walk")).drop("op")
+    shapes = genes_of_blocks(b.select(*place, "lo", "hi").distinct(), exons.select(*place, "gstart", "gend", "gene_id"), place, bin_width)
+    hit = b.join(shapes, [*place, "lo", "hi"])
+    one = hit.groupBy(*by, "pos", "flag", "cigar").agg(F.min("gene_id").alias("gene_id"), F.max("last_gene").alias("_other"), F.first("n_reads").alias("n_reads"))
     one = one.filter("gene_id = _other")
     return one.groupBy(*[c for c in by if c != "region"], "gene_id").agg(F.sum("n_reads").alias("n"))
+
+
+def genes_of_blocks(blocks: DataFrame, exons: DataFrame, place: Sequence[str], bin_width: int) -> DataFrame:
+    """Smallest and largest gene id (gene_id, last_gene) among the exons that each block [lo, hi) overlaps; blocks without exons go.
+
+    An exon overlaps a block if it holds the block's first base or begins inside the block. Both are points in intervals, on distinct
+    points with the outermost ids of all exons there.
+    """
+    place = list(place)
+    outer = [F.min("gene_id").alias("gene_id"), F.max("gene_id").alias("last_gene")]
+    first = points_in_intervals(blocks.select(*place, "lo").distinct(), exons, "lo", "gstart", "gend", place, bin_width, distinct=False)
+    first = blocks.join(first.groupBy(*place, "lo").agg(*outer), [*place, "lo"]).select(*place, "lo", "hi", "gene_id", "last_gene")
+    starts = exons.filter("gstart <= gend").groupBy(*place, F.col("gstart").alias("_at")).agg(*outer)
+    inner = blocks.select(*place, "lo", "hi", (F.col("lo") + 1).alias("_from"), (F.col("hi") - 1).alias("_to"))
+    inside = points_in_intervals(starts, inner, "_at", "_from", "_to", place, bin_width, distinct=False)
+    both = first.unionByName(inside.select(*place, "lo", "hi", "gene_id", "last_gene"))
+    return both.groupBy(*place, "lo", "hi").agg(F.min("gene_id").alias("gene_id"), F.max("last_gene").alias("last_gene"))

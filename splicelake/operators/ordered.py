@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splicelake.session import SINGLE_CHUNK_BYTES, estimated_bytes, shuffle_width
+from splicelake.session import SINGLE_CHUNK_BYTES, estimated_bytes, shuffle_width, written
 
 CHUNK = "_chunk"
 
@@ -107,6 +107,19 @@ def running(
     return j.drop(CHUNK, *[f"_{p}_{k}" for k in values for p in ("in", "before", "all")])
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds the place of every row, from 0, in the order of all rows; ``order`` should tell rows apart, else equal rows follow somehow.
+
+    Range partitions are numbered inside and written once; the counts of the partitions, one number each, give the rest.
+    """
+    d = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    d = written(d, "numbered").withColumn("_part", F.shiftright("_i", 33))
+    per = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(per.select("_part", ahead.alias("_ahead")), "_part")
+    return d.withColumn(out, F.col("_ahead") + F.col("_i").bitwiseAND((1 << 33) - 1)).drop("_part", "_i", "_ahead")
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, count: str | None = None, chunks: int | None = None) -> DataFrame:
     """One row per (by, value) with the average rank of its tie group; ``count`` weights rows already grouped."""
     n = F.sum(count) if count else F.count(F.lit(1))

@@ -176,60 +176,6 @@ def poisson_weight(seed: int, replicate: int, key: Column) -> Column:
     return out
 
 
-def bootstrap_metrics(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, replicates: tuple[int, int], seed: int = 42, block: int = 10) -> DataFrame:
-    """Pearson, Spearman, R² and average precision of |score| per replicate and head.
-
-    ``key`` is the row key, or the cluster for a cluster bootstrap. Replicates of one block sit side by side as weight
-    columns, so rows are ordered once per block and head however many replicates it has, and are never repeated.
-    """
-    lo, hi = replicates
-    out = None
-    for first in range(lo, hi, block):
-        m = _bootstrap_block(df, truth, label, heads, key, list(range(first, min(first + block, hi))), seed)
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-def _bootstrap_block(df: DataFrame, truth: str, label: str, heads: Sequence[str], key: Column, reps: list[int], seed: int) -> DataFrame:
-    w = [f"_w{r}" for r in reps]
-    d = spread(df.select(truth, (F.col(label) > 0).cast("int").alias("_y"), *heads, key.alias("_key")))
-    key = F.col("_key")
-    d = d.select(truth, "_y", *heads, *[poisson_weight(seed, r, key).alias(c) for r, c in zip(reps, w)])
-    long = d.unpivot([truth, "_y", *w], list(heads), "head", "score")
-    pick = lambda c: [F.sum(c).alias(c) for c in w]
-    # average ranks of truth (shared by all heads) and of each head's score, one column per replicate
-    cum = lambda g, by, v: running(g, by, v, {f"_c{c}": F.col(c) for c in w})
-    rank = lambda g, by, v, tag: g.select(*by, v, *[(F.col(f"_c{c}") - (F.col(c) - 1) / 2).alias(f"{tag}{c}") for c in w])
-    gt = cum(d.groupBy(truth).agg(*pick(w)), [], truth)
-    gs = cum(long.groupBy("head", "score").agg(*pick(w)), ["head"], "score")
-    j = lookup(lookup(long, rank(gt, [], truth, "_a"), [truth]), rank(gs, ["head"], "score", "_b"), ["head", "score"])
-    t, p = F.col(truth), F.col("score")
-    sums = []
-    for c in w:
-        x, a, b = F.col(c), F.col(f"_a{c}"), F.col(f"_b{c}")
-        parts = {"n": x, "t": x * t, "p": x * p, "tt": x * t * t, "pp": x * p * p, "tp": x * t * p, "aa": x * a * a, "bb": x * b * b, "ab": x * a * b}
-        sums += [F.sum(e).alias(f"{k}{c}") for k, e in parts.items()]
-    s = j.groupBy("head").agg(*sums)
-    rows = []
-    for r, c in zip(reps, w):
-        v = {k: F.col(f"{k}{c}") for k in ("n", "t", "p", "tt", "pp", "tp", "aa", "bb", "ab")}
-        n, mid = v["n"], (v["n"] + 1) / 2
-        vt, vp, cov = v["tt"] - v["t"] * v["t"] / n, v["pp"] - v["p"] * v["p"] / n, v["tp"] - v["t"] * v["p"] / n
-        va, vb, cab = v["aa"] - n * mid * mid, v["bb"] - n * mid * mid, v["ab"] - n * mid * mid
-        rows.append(F.struct(
-            F.lit(r).alias("replicate"), F.when((vt > 0) & (vp > 0), cov / F.sqrt(vt * vp)).alias("pearson"), F.when(vt > 0, 1 - (v["tt"] - 2 * v["tp"] + v["pp"]) / vt).alias("r2"),
-            F.when((va > 0) & (vb > 0), cab / F.sqrt(va * vb)).alias("spearman"), n.alias("n"),
-        ))
-    m = s.select("head", F.inline(F.array(*rows))).filter("n > 0").drop("n")
-    # average precision: positives and rows per distinct |score|, accumulated from the top for all replicates at once
-    g = long.groupBy("head", F.abs("score").alias("_s")).agg(*pick(w), *[F.sum(F.col(c) * F.col("_y")).alias(f"_p{c}") for c in w])
-    k = running(g, ["head"], "_s", {f"_n{c}": F.col(c) for c in w} | {f"_t{c}": F.col(f"_p{c}") for c in w}, descending=True)
-    gain = [F.sum(F.when(F.col(f"_p{c}") > 0, F.col(f"_p{c}") * F.col(f"_t{c}") / F.col(f"_n{c}")).otherwise(0.0)).alias(f"_g{c}") for c in w]
-    q = k.groupBy("head").agg(*gain, *[F.sum(f"_p{c}").alias(f"_q{c}") for c in w])
-    ap = q.select("head", F.inline(F.array(*[F.struct(F.lit(r).alias("replicate"), F.when(F.col(f"_q{c}") > 0, F.col(f"_g{c}") / F.col(f"_q{c}")).alias("avg_precision")) for r, c in zip(reps, w)])))
-    return lookup(m, ap, ["head", "replicate"], "left")
-
-
 def bootstrap_compare(metrics: DataFrame, heads: Sequence[str], names: Sequence[str] = ("pearson", "spearman", "r2", "avg_precision")) -> DataFrame:
     """Pairwise differences over replicates: mean, 95 % interval and two-sided p (one row per replicate and head goes in)."""
     long = metrics.unpivot(["replicate", "head"], list(names), "metric", "value")

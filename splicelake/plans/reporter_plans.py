@@ -12,6 +12,7 @@ from splicelake.functions import scalar as S
 from splicelake.operators import curves as C
 from splicelake.operators import reporter as R
 from splicelake.operators.ordered import lookup
+from splicelake.operators.resampling import bootstrap_metrics
 from splicelake.plans.metric_plans import REG_COLS, rounded, sql_metrics, sql_reg
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, table, view
@@ -191,34 +192,25 @@ def correlation_table(spark, sf):
 
 # --- resampling ---------------------------------------------------------------------------------------------------
 
-CDF = "[" + ", ".join(repr(p) for p in R.POISSON_ONE) + "]"
-
-
-def boot_sql(key: str, n: int) -> str:
-    return f""", bw AS (SELECT * FROM (SELECT r AS replicate, y, label, a, b, c, len(list_filter({CDF}, lambda p: p <= CAST(('0x' || substring(md5(concat_ws(':', '42', CAST(r // 4 AS STRING), {key})), r % 4 * 8 + 1, 8)) AS BIGINT) / 4294967296)) AS w FROM rp CROSS JOIN (SELECT unnest(range({n})) AS r) x) q WHERE w > 0),
-bl AS (SELECT *, abs(score) AS ascore FROM {long('bw', 'replicate, w, y, label')} z),
-br AS (SELECT replicate, head, y, score, w, sum(w) OVER (PARTITION BY replicate, head ORDER BY y RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, head, y) - 1) / 2 AS ra, sum(w) OVER (PARTITION BY replicate, head ORDER BY score RANGE UNBOUNDED PRECEDING) - (sum(w) OVER (PARTITION BY replicate, head, score) - 1) / 2 AS rb FROM bl),
-bs AS (SELECT replicate, head, sum(w) AS n, (sum(w * y * score) - sum(w * y) * sum(w * score) / sum(w)) / sqrt((sum(w * y * y) - sum(w * y) ** 2 / sum(w)) * (sum(w * score * score) - sum(w * score) ** 2 / sum(w))) AS pearson, 1 - sum(w * (y - score) ** 2) / (sum(w * y * y) - sum(w * y) ** 2 / sum(w)) AS r2,
- (sum(w * ra * rb) - sum(w * ra) * sum(w * rb) / sum(w)) / sqrt((sum(w * ra * ra) - sum(w * ra) ** 2 / sum(w)) * (sum(w * rb * rb) - sum(w * rb) ** 2 / sum(w))) AS spearman FROM br GROUP BY replicate, head)""" + sql_metrics("bl", "replicate, head", "ascore", "label", "w") + ", bm AS (SELECT bs.*, mt.avg_precision FROM bs JOIN mt USING (replicate, head))"
-
-
-PAIRS = ", ba AS (SELECT replicate, head, 'pearson' AS metric, pearson AS v FROM bm UNION ALL SELECT replicate, head, 'spearman', spearman FROM bm UNION ALL SELECT replicate, head, 'r2', r2 FROM bm UNION ALL SELECT replicate, head, 'avg_precision', avg_precision FROM bm), bd AS (SELECT x.metric, x.head AS head_a, z.head AS head_b, x.v - z.v AS d FROM ba x JOIN ba z ON x.replicate = z.replicate AND x.metric = z.metric AND x.head < z.head), bt AS (SELECT head_a, head_b, metric, round(avg(d), 6) AS diff_mean, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi, round(least(2 * least(avg(CASE WHEN d <= 0 THEN 1 ELSE 0 END), 1 - avg(CASE WHEN d <= 0 THEN 1 ELSE 0 END)), 1), 6) AS p FROM bd GROUP BY ALL)"
 BOOT = ["diff_mean", "ci_lo", "ci_hi", "p"]
+REPLICATES = 10_000
 
 
-def _boot(spark, sf, key, n):
-    m = R.bootstrap_metrics(_r(spark, sf), "y", "label", HEADS, key, (0, n))
+def _boot(spark, sf, key):
+    m = bootstrap_metrics(_r(spark, sf), "y", "label", HEADS, key, REPLICATES)
     return rounded(R.bootstrap_compare(m, HEADS), BOOT)
 
 
-@query(cte("v_reporter") + RP + boot_sql(SQLKEY, 10) + PAIRS + " SELECT * FROM bt")
+@query()
 def paired_bootstrap(spark, sf):
-    return _boot(spark, sf, _key(), 10)
+    """10,000 resamples of rows; tested by brute force, since SQL would repeat the rows as often."""
+    return _boot(spark, sf, _key())
 
 
-@query(cte("v_reporter") + RP + boot_sql("exon", 10) + PAIRS + " SELECT * FROM bt")
+@query()
 def cluster_bootstrap(spark, sf):
-    return _boot(spark, sf, F.col("exon"), 10)
+    """10,000 resamples of exons with all their rows."""
+    return _boot(spark, sf, F.col("exon"))
 
 
 @query(EXON + ", t AS (SELECT head, exon, round(exp(-abs(pearson) * 20), 9) AS p FROM hm WHERE pearson IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY p, exon) AS i, count(*) OVER (PARTITION BY head) AS k FROM t), m AS (SELECT *, least(max(p * (k - i + 1)) OVER (PARTITION BY head ORDER BY p, exon ROWS UNBOUNDED PRECEDING), 1) AS pa FROM r) SELECT head, exon, round(pa, 6) AS p_adj, CASE WHEN pa < 0.001 THEN '***' WHEN pa < 0.01 THEN '**' WHEN pa < 0.05 THEN '*' ELSE '' END AS stars, round(least(p * 3, 1), 6) AS p_bonf FROM m")

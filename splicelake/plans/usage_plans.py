@@ -194,7 +194,7 @@ def cigar_gaps(spark, sf):
     return g.groupBy("sample", "region", "i", "g.left", "g.right").agg(F.sum("n_reads").alias("n")).drop("i")
 
 
-EVIDENCE = """, ju AS (SELECT sample, region, b1 - 1 AS jl, s2 - 1 AS jr, count(*) AS n FROM sg WHERE q % 3 = 0 GROUP BY ALL),
+EVIDENCE = """, ju AS (SELECT sample, region, jl, jr, count(*) AS n FROM (SELECT sample, region, b1 - 1 AS jl, s2 - 1 AS jr FROM sg UNION ALL SELECT sample, region, b3 - 1, s4 - 1 FROM sg) g GROUP BY ALL),
 ej AS (SELECT sample, region, jl AS site, jr AS partner, n FROM ju UNION ALL SELECT sample, region, jr, jl, n FROM ju),
 ss AS (SELECT DISTINCT sample, region, site FROM ej),
 cm AS (SELECT DISTINCT a.sample, a.region, a.site, b.partner AS comp FROM ej a JOIN ej b ON a.sample = b.sample AND a.region = b.region AND a.partner = b.site WHERE b.partner <> a.site),
@@ -209,21 +209,14 @@ f2 AS (SELECT *, (l1 = t OR r1 = t) AS a1, (l1 = t OR r1 = t OR l2 = t OR r2 = t
 f3 AS (SELECT *, (c1 OR c2x) AS c2, (p <= t AND b1 > t + 1) OR (s2 <= t AND s2 + (b3 - s2) > t + 1 AND s2 <= t AND (b3 > t + 1) AND NOT (t + 1 >= s2 + (b3 - s2))) AS dummy FROM f2)"""
 
 
-def _first_gaps(reads):
-    """The junctions of the SQL statements: first gap of a third of the reads."""
-    first = F.get(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar"))), F.lit(0))
-    q = F.regexp_extract("cigar", r"S(\d+)M", 1).cast("int")
-    return reads.filter(q % 3 == 0).select("sample", "region", first["left"].alias("jleft"), first["right"].alias("jright"), F.lit(1).alias("n"))
-
-
 def _all_gaps(reads):
     r = E.collapse_reads(reads).select("sample", "region", "n_reads", F.explode(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar")))).alias("g"))
     return r.select("sample", "region", F.col("g.left").alias("jleft"), F.col("g.right").alias("jright"), F.col("n_reads").alias("n"))
 
 
-def _evidence(spark, sf, junctions=_first_gaps):
+def _evidence(spark, sf):
     reads = view(spark, sf, "v_read")
-    e = U.edges(junctions(reads).withColumn("strand", F.lit(".")))
+    e = U.edges(_all_gaps(reads).withColumn("strand", F.lit(".")))
     pa = e.groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
     co = U.competitors(e).groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("competitor")).alias("competitors"))
     sites = pa.join(co, ["sample", "region", "strand", "site"], "left").withColumn("competitors", F.coalesce("competitors", F.array().cast("array<int>")))
@@ -251,7 +244,7 @@ def read_double_counts(spark, sf):
 @query()
 def strength_with_cryptic(spark, sf):
     """Strength with weighted cryptic evidence from all reads and all their junctions together."""
-    c, e = _evidence(spark, sf, _all_gaps)
+    c, e = _evidence(spark, sf)
     ev = E.evidence_counts(c, "junction")
     pe = U.partner_evidence(e, E.double_counts(c))
     j = pe.join(ev.drop("alpha_comp"), ["sample", "region", "strand", "site"], "left").na.fill(0, ["beta1", "beta2"])
@@ -285,11 +278,13 @@ def filled_samples(spark, sf):
 
 
 @query(cte("v_gene") + SEGMENTS + """, rc AS (SELECT sample, region, p, b1, s2, CAST(s2 + l + 3 AS INT) AS b2, b3, s4, stop, flag, q, l, l_suppkey % 4 AS k, count(*) AS n FROM sg GROUP BY ALL),
-hit AS (SELECT rc.*, g.gene_id FROM rc JOIN v_gene g ON g.region = rc.region WHERE g.gstart % 13 = 0 AND ((p <= g.gstart + 4 AND b1 - 1 >= g.gstart) OR (s2 <= g.gstart + 4 AND b3 - 1 >= g.gstart) OR (s4 <= g.gstart + 4 AND stop - 1 >= g.gstart))),
+hit AS (SELECT rc.*, g.gene_id FROM rc JOIN (SELECT region, gene_id, gstart * 20 AS gs, gstart * 19 + gend AS ge FROM v_gene) g ON g.region = rc.region WHERE (p * 20 <= ge AND p * 19 + b1 - 1 >= gs) OR (p * 19 + s2 <= ge AND p * 19 + b3 - 1 >= gs) OR (p * 19 + s4 <= ge AND p * 19 + stop - 1 >= gs)),
 o AS (SELECT sample, region, p, flag, q, l, k, min(gene_id) AS gene_id, max(gene_id) AS g2, any_value(n) AS n FROM hit GROUP BY sample, region, p, flag, q, l, k) SELECT sample, gene_id, CAST(sum(n) AS BIGINT) AS n FROM o WHERE gene_id = g2 GROUP BY ALL""")
 def gene_read_counts(spark, sf):
-    exons = view(spark, sf, "v_gene").filter("gstart % 13 = 0").selectExpr("region", "gene_id", "strand", "gstart", "gstart + 4 AS gend")
-    return E.gene_counts(E.collapse_reads(view(spark, sf, "v_read")), exons, bin_width=256)
+    """All genes at their real lengths; starts of genes and reads stand 20 times as far apart, since the genes of the table lie on top of one another."""
+    exons = view(spark, sf, "v_gene").selectExpr("region", "gene_id", "strand", "gstart * 20 AS gstart", "gstart * 19 + gend AS gend")
+    reads = view(spark, sf, "v_read").withColumn("pos", F.col("pos") * 20)
+    return E.gene_counts(E.collapse_reads(reads), exons, bin_width=256)
 
 
 @query(cte("v_read") + ", r AS (SELECT sample, mapq % 7 * 10 + flag % 3 AS read_length, row_number() OVER (PARTITION BY sample ORDER BY qname) AS rn FROM v_read), g AS (SELECT sample, read_length, count(*) AS n FROM r WHERE rn <= 500 GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY n DESC, read_length DESC) AS k FROM g) SELECT sample, read_length, n FROM b WHERE k = 1")
