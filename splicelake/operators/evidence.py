@@ -103,22 +103,27 @@ def competing_reads(reads: DataFrame, sites: DataFrame, library: str | None, by:
     the gap at the site; touches, over_before and on_block say how the alignment meets the site.
     """
     by = list(by)
-    r = reads.withColumn("gaps", gaps(cigar_walk(F.col("pos"), F.col("cigar"))))
+    walked = reads.select(*by, "pos", "flag", "cigar", "n_reads", cigar_walk(F.col("pos"), F.col("cigar")).alias("walk")).filter(F.exists("walk", lambda s: s["op"] == "N"))
     end = lambda x, y, g: F.struct(g[x].alias("_x"), g[y].alias("_y"), g["left"].alias("_left"))
-    ends = r.select(*by, "pos", "flag", "cigar", "n_reads", F.inline(F.flatten(F.transform("gaps", lambda g: F.array(end("left", "right", g), end("right", "left", g))))))
+    both = lambda g: F.array(end("left", "right", g), end("right", "left", g))
+    r = walked.withColumns({"gaps": gaps(F.col("walk")), "blocks": F.transform(aligned_blocks(F.col("walk")), lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi")))})
+    r = r.withColumn("_stop", F.element_at("walk", -1)["hi"]).drop("walk")
+    ends = r.select("*", F.inline(F.flatten(F.transform("gaps", both))))
     asked = sites.filter(F.size("competitors") > 0).select(*by, "strand", "site", "competitors", F.explode("partners").alias("_x"))
-    j = ends.join(asked, [*by, "_x"]).withColumn("_comp", F.array_contains("competitors", F.col("_y")))
-    key = [*by, "pos", "flag", "cigar", "strand", "site"]
-    j = j.groupBy(*key).agg(F.first("n_reads").alias("n_reads"), F.array_sort(F.collect_set("_x")).alias("hit"), F.min(F.when(F.col("_comp"), F.col("_left"))).alias("_first"))
-    j = j.filter("_first IS NOT NULL").withColumn("walk", cigar_walk(F.col("pos"), F.col("cigar")))
-    j = j.withColumns({"blocks": aligned_blocks(F.col("walk")), "gaps": gaps(F.col("walk"))})
     t = F.col("site")
+    # a site outside the alignment meets none of its stretches
+    j = ends.join(asked, [*by, "_x"]).filter((t >= F.col("pos") - 1) & (t < F.col("_stop")))
+    j = j.withColumn("_comp", F.array_contains("competitors", F.col("_y")))
+    kept = [F.first(c).alias(c) for c in ("n_reads", "gaps", "blocks")]
+    j = j.groupBy(*by, "pos", "flag", "cigar", "strand", "site").agg(*kept, F.collect_set("_x").alias("hit"), F.min(F.when(F.col("_comp"), F.col("_left"))).alias("_first"))
+    j = j.filter("_first IS NOT NULL")
     mine = F.get(F.filter("gaps", lambda g: (g["left"] == t) | (g["right"] == t)), F.lit(0))
     over = F.exists("gaps", lambda g: (g["left"] < t) & (t < g["right"]))
     agrees = F.lit(True) if library is None else S.read_strand(F.col("flag"), library) == F.col("strand")
-    return j.select(
-        *by, "strand", "site", "n_reads", "hit", agrees.alias("agrees"), F.when(mine["left"] == t, mine["right"]).otherwise(mine["left"]).alias("used"), mine.isNotNull().alias("touches"),
-        (over & (F.col("_first") < t)).alias("over_before"), F.exists("blocks", lambda b: (b["lo"] <= t) & (t <= b["hi"] - 2)).alias("on_block"),
+    met = {"_mine": mine, "_over": over, "on_block": F.exists("blocks", lambda b: (b["lo"] <= t) & (t <= b["hi"] - 2))}
+    return j.withColumns(met).select(
+        *by, "strand", "site", "n_reads", F.array_sort("hit").alias("hit"), agrees.alias("agrees"), F.when(F.col("_mine.left") == t, F.col("_mine.right")).otherwise(F.col("_mine.left")).alias("used"),
+        F.col("_mine").isNotNull().alias("touches"), (F.col("_over") & (F.col("_first") < t)).alias("over_before"), "on_block",
     )
 
 
