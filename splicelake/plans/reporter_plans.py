@@ -15,7 +15,7 @@ from splicelake.operators.ordered import lookup
 from splicelake.operators.resampling import bootstrap_metrics
 from splicelake.plans.metric_plans import REG_COLS, rounded, sql_metrics, sql_reg
 from splicelake.plans.registry import query
-from splicelake.plans.views import cte, table, view
+from splicelake.plans.views import cte, locations_sql, table, view
 
 HEADS = ["a", "b", "c"]
 ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -62,9 +62,7 @@ def oligo_orientation(spark, sf):
     return o.groupBy("orient", R.strand_from_orientation(F.col("orient")).alias("strand")).agg(F.count("*").alias("n"))
 
 
-LOC = """, lo AS (SELECT *, (pos BETWEEN estart - 8 AND estart + 2) AS ac, (pos BETWEEN eend - 2 AND eend + 8) AS dn, (pos BETWEEN estart - 2 AND estart - 1) AS ca, (pos BETWEEN eend + 1 AND eend + 2) AS cd, (pos BETWEEN estart AND eend) AS ins FROM rp),
-lx AS (SELECT *, unnest(list_filter(['all', CASE WHEN ins AND NOT (ac OR dn) THEN 'exon' END, CASE WHEN NOT ins AND NOT (ac OR dn) THEN 'intron' END, CASE WHEN ca OR cd THEN 'splice_site' END, CASE WHEN (ac OR dn) AND NOT (ca OR cd) THEN 'splice_region' END, CASE WHEN ca THEN 'splice_site_acc' END, CASE WHEN cd THEN 'splice_site_don' END, CASE WHEN ac AND NOT ca THEN 'splice_region_acc' END, CASE WHEN dn AND NOT cd THEN 'splice_region_don' END,
- CASE WHEN ins AND NOT (ac OR dn) AND abs(pos - estart) <= abs(pos - eend) THEN 'exon_acc' END, CASE WHEN ins AND NOT (ac OR dn) AND abs(pos - estart) > abs(pos - eend) THEN 'exon_don' END, CASE WHEN NOT ins AND NOT (ac OR dn) AND pos < estart THEN 'intron_acc' END, CASE WHEN NOT ins AND NOT (ac OR dn) AND pos > eend THEN 'intron_don' END], lambda x: x IS NOT NULL)) AS location FROM lo)"""
+LOC = locations_sql("rp", "pos", "estart", "eend", "lx")
 
 
 def sql_head_metrics(src, by):

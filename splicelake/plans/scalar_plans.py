@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import scalar as S
 from splicelake.functions import sequence as Q
 from splicelake.plans.registry import query
-from splicelake.plans.views import cte, view
+from splicelake.plans.views import cte, locations_sql, view
 
 
 GOOD = "(flag & 2) <> 0 AND (flag & 256) = 0 AND mapq = 255"
@@ -186,13 +186,7 @@ def splice_motifs(spark, sf):
 _POS = "orderkey % 60 - 15"
 
 
-@query(cte("v_variant") + """, p AS (SELECT CAST(orderkey % 60 - 15 AS INT) AS p, 0 AS s, CAST(custkey % 40 AS INT) AS e FROM v_variant),
-f AS (SELECT *, (p BETWEEN s-8 AND s+2) AS a, (p BETWEEN e-2 AND e+8) AS d, (p BETWEEN s-2 AND s-1) AS ca, (p BETWEEN e+1 AND e+2) AS cd, (p BETWEEN s AND e) AS ins, abs(p-s) <= abs(p-e) AS near FROM p),
-x AS (SELECT unnest([CASE WHEN true THEN 'all' END, CASE WHEN ins AND NOT (a OR d) THEN 'exon' END, CASE WHEN NOT ins AND NOT (a OR d) THEN 'intron' END, CASE WHEN ca OR cd THEN 'splice_site' END,
-CASE WHEN (a OR d) AND NOT (ca OR cd) THEN 'splice_region' END, CASE WHEN ca THEN 'splice_site_acc' END, CASE WHEN cd THEN 'splice_site_don' END, CASE WHEN a AND NOT ca THEN 'splice_region_acc' END,
-CASE WHEN d AND NOT cd THEN 'splice_region_don' END, CASE WHEN ins AND NOT (a OR d) AND near THEN 'exon_acc' END, CASE WHEN ins AND NOT (a OR d) AND NOT near THEN 'exon_don' END,
-CASE WHEN NOT ins AND NOT (a OR d) AND p < s THEN 'intron_acc' END, CASE WHEN NOT ins AND NOT (a OR d) AND p > e THEN 'intron_don' END]) AS loc FROM f)
-SELECT loc, count(*) AS n FROM x WHERE loc IS NOT NULL GROUP BY loc""")
+@query(cte("v_variant") + ", p AS (SELECT CAST(orderkey % 60 - 15 AS INT) AS p, 0 AS s, CAST(custkey % 40 AS INT) AS e FROM v_variant)" + locations_sql("p", "p", "s", "e", "x") + " SELECT location AS loc, count(*) AS n FROM x GROUP BY 1")
 def variant_locations(spark, sf):
     v = view(spark, sf, "v_variant").selectExpr("CAST(orderkey % 60 - 15 AS INT) AS p", "CAST(custkey % 40 AS INT) AS e")
     return v.select(F.explode(S.locations(F.col("p"), F.lit(0), F.col("e"))).alias("loc")).groupBy("loc").agg(F.count("*").alias("n"))

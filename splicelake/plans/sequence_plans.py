@@ -25,25 +25,30 @@ def _chunks(spark, sf):
     return W.genome_chunks(_seq(spark, sf).withColumnRenamed("doc_id", "chrom"), CHUNK)
 
 
-# variants on documents: fifteen per document, reference allele read from the text, some wrong on purpose
-DV = SQ + """, dv0 AS (SELECT o_orderkey AS k, o_orderkey // 15 AS doc_id, CAST(o_orderkey * 37 % 1900 + 1 AS INT) AS pos, CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE 1 END AS rl, CASE WHEN o_custkey % 7 = 0 THEN 'GAT' ELSE substring('ACGT', CAST(o_custkey % 4 + 1 AS INT), 1) END AS alt, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_custkey % 11 = 0 AS wrong FROM orders),
+def _on_documents(spark, sf):
+    """Orders dealt to documents with a text, fifteen to each, with the document's length."""
+    o = table(spark, sf, "orders").withColumn("chrom", F.floor(F.col("o_orderkey") / 15).cast("long"))
+    return o.join(_seq(spark, sf).select(F.col("doc_id").alias("chrom"), F.length("seq").alias("n_bases")).filter("n_bases > 0"), "chrom")
+
+
+# variants on documents, anywhere in their texts: fifteen per document, reference allele read from the text, some wrong on purpose
+DV = SQ + """, dv0 AS (SELECT o_orderkey AS k, o_orderkey // 15 AS doc_id, CAST(o_orderkey * 37 % length(seq) + 1 AS INT) AS pos, CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE 1 END AS rl, CASE WHEN o_custkey % 7 = 0 THEN 'GAT' ELSE substring('ACGT', CAST(o_custkey % 4 + 1 AS INT), 1) END AS alt, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_custkey % 11 = 0 AS wrong FROM orders JOIN sq ON sq.doc_id = o_orderkey // 15 WHERE length(seq) > 0),
 dv AS (SELECT k, dv0.doc_id, pos, CASE WHEN wrong THEN 'X' ELSE substring(seq, pos, rl) END AS ref, alt, strand, seq FROM dv0 JOIN sq ON sq.doc_id = dv0.doc_id WHERE pos + rl - 1 <= length(seq))"""
 
 
 def _doc_variants(spark, sf):
-    o = table(spark, sf, "orders").selectExpr(
-        "o_orderkey AS k", "CAST(floor(o_orderkey / 15) AS BIGINT) AS chrom", "CAST(o_orderkey * 37 % 1900 + 1 AS INT) AS pos", "CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE 1 END AS rl",
+    o = _on_documents(spark, sf).selectExpr(
+        "o_orderkey AS k", "chrom", "CAST(o_orderkey * 37 % n_bases + 1 AS INT) AS pos", "CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE 1 END AS rl",
         "CASE WHEN o_custkey % 7 = 0 THEN 'GAT' ELSE substring('ACGT', CAST(o_custkey % 4 + 1 AS INT), 1) END AS alt", "CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand", "o_custkey % 11 = 0 AS wrong",
     ).withColumns({"lo": F.col("pos") - 1, "hi": F.col("pos") - 1 + F.col("rl")})
     f = W.fetch(o, _chunks(spark, sf), CHUNK, ["k"], out="got", pad=False).filter(F.length("got") == F.col("rl"))
     return f.select("k", "chrom", "pos", F.when(F.col("wrong"), "X").otherwise(F.col("got")).alias("ref"), "alt", "strand")
 
 
-@query(cte("v_seq") + SQ + " SELECT o_orderkey AS k, rpad(concat(repeat('N', greatest(0, CAST(40 - o_orderkey * 31 % 2000 AS INT))), substring(seq, CAST(greatest(o_orderkey * 31 % 2000 - 40, 0) + 1 AS INT), CAST(o_orderkey * 31 % 2000 + 900 - greatest(o_orderkey * 31 % 2000 - 40, 0) AS INT))), 940, 'N') AS seq FROM orders JOIN sq ON sq.doc_id = o_orderkey // 15 WHERE length(seq) >= o_orderkey * 31 % 2000 + 1 AND length(seq) > 0")
+@query(cte("v_seq") + SQ + ", st AS (SELECT o_orderkey AS k, o_orderkey * 31 % length(seq) - 40 AS lo, seq FROM orders JOIN sq ON sq.doc_id = o_orderkey // 15 WHERE length(seq) > 0) SELECT k, rpad(concat(repeat('N', greatest(0, CAST(-lo AS INT))), substring(seq, CAST(greatest(lo, 0) + 1 AS INT), CAST(lo + 940 - greatest(lo, 0) AS INT))), 940, 'N') AS seq FROM st")
 def range_fetch(spark, sf):
-    r = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "CAST(floor(o_orderkey / 15) AS BIGINT) AS chrom", "CAST(o_orderkey * 31 % 2000 - 40 AS INT) AS lo", "CAST(o_orderkey * 31 % 2000 + 900 AS INT) AS hi", "o_orderkey * 31 % 2000 + 1 AS need")
-    n = _seq(spark, sf).select(F.col("doc_id").alias("chrom"), F.length("seq").alias("n")).filter("n > 0")
-    return W.fetch(r.join(n, "chrom").filter("n >= need"), _chunks(spark, sf), CHUNK, ["k"]).select("k", "seq")
+    r = _on_documents(spark, sf).selectExpr("o_orderkey AS k", "chrom", "CAST(o_orderkey * 31 % n_bases - 40 AS INT) AS lo", "CAST(o_orderkey * 31 % n_bases + 900 AS INT) AS hi")
+    return W.fetch(r, _chunks(spark, sf), CHUNK, ["k"]).select("k", "seq")
 
 
 # one row per document: strand, interval, sites and a variant list
@@ -135,36 +140,67 @@ def fold_routing(spark, sf):
     return W.route_to_folds(_windows(spark, sf), f).groupBy("fold").agg(F.count("*").alias("n_windows"), F.count_distinct("uid").alias("n_rows"))
 
 
-VW = """, vw AS (SELECT k, ref, alt, strand, seq, pos, pos - 101 >= 0 AND pos + 100 + greatest(length(ref) - length(alt), 0) <= length(seq) AS inb, substring(seq, pos, length(ref)) = ref AS okr FROM dv),
-vs AS (SELECT k, CASE WHEN NOT inb THEN 'out_of_bounds' WHEN NOT okr THEN 'ref_mismatch' ELSE 'ok' END AS status, strand, substring(seq, pos - 100, 201) AS r, substring(concat(substring(seq, pos - 100, 100), alt, substring(seq, pos + length(ref), 103)), 1, 201) AS a FROM vw)"""
+# windows of the published sizes; whole sequences are compared by length and digest
+VARIANT_WINDOW, FLANK = 20_001, 5_000
+_H, _L = VARIANT_WINDOW // 2, 2 * FLANK + 1
+
+
+def _digests(df, *columns):
+    return [e for c in columns for e in (F.length(c).alias(f"{c}_length"), F.md5(c).alias(f"{c}_md5"))]
+
+
+def _sql_digests(**columns):
+    return ", ".join(f"length({e}) AS {c}_length, md5({e}) AS {c}_md5" for c, e in columns.items())
 
 
-@query(cte("v_seq") + DV + VW + " SELECT k, status, CASE WHEN status = 'ok' THEN CASE WHEN strand = '-' THEN reverse(translate(r, 'ACGT', 'TGCA')) ELSE r END END AS ref_seq, CASE WHEN status = 'ok' THEN CASE WHEN strand = '-' THEN reverse(translate(a, 'ACGT', 'TGCA')) ELSE a END END AS alt_seq FROM vs")
+VW = f""", vw AS (SELECT k, ref, alt, strand, seq, pos, pos - {_H + 1} >= 0 AND pos + {_H} + greatest(length(ref) - length(alt), 0) <= length(seq) AS inb, substring(seq, pos, length(ref)) = ref AS okr FROM dv),
+vs AS (SELECT k, CASE WHEN NOT inb THEN 'out_of_bounds' WHEN NOT okr THEN 'ref_mismatch' ELSE 'ok' END AS status, strand, substring(seq, pos - {_H}, {VARIANT_WINDOW}) AS r, substring(concat(substring(seq, pos - {_H}, {_H}), alt, substring(seq, pos + length(ref), {_H + 3})), 1, {VARIANT_WINDOW}) AS a FROM vw),
+vo AS (SELECT k, status, CASE WHEN status = 'ok' THEN CASE WHEN strand = '-' THEN reverse(translate(r, 'ACGT', 'TGCA')) ELSE r END END AS r, CASE WHEN status = 'ok' THEN CASE WHEN strand = '-' THEN reverse(translate(a, 'ACGT', 'TGCA')) ELSE a END END AS a FROM vs)"""
+
+
+@query(cte("v_seq") + DV + VW + " SELECT k, status, " + _sql_digests(ref_seq="r", alt_seq="a") + " FROM vo")
 def variant_windows(spark, sf):
-    return W.variant_windows(_doc_variants(spark, sf), _chunks(spark, sf), CHUNK, 201, ["k"]).select("k", "status", "ref_seq", "alt_seq")
+    w = W.variant_windows(_doc_variants(spark, sf), _chunks(spark, sf), CHUNK, VARIANT_WINDOW, ["k"])
+    return w.select("k", "status", *_digests(w, "ref_seq", "alt_seq"))
 
 
-BW = """, bw AS (SELECT k, ref, alt, pos, concat(repeat('N', 200), seq, repeat('N', 200)) AS s, CAST(pos + k % 50 - 25 AS INT) AS c, length(seq) AS n, seq FROM dv),
-bx AS (SELECT *, pos - (c - 30) AS idx, greatest(length(ref) - length(alt), 0) AS g, substring(s, c - 30 + 200, 61) AS r, substring(seq, pos, length(ref)) = ref AS okr FROM bw),
-by2 AS (SELECT *, concat(substring(s, c - 30 - g + 200, g + idx), alt, substring(s, pos + length(ref) + 200, 61 - idx - length(ref) + g)) AS e FROM bx)"""
+BW = f""", bw AS (SELECT k, ref, alt, pos, concat(repeat('N', {_L}), seq, repeat('N', {_L})) AS s, CAST(pos + k % 50 - 25 AS INT) AS c, length(seq) AS n, seq FROM dv),
+bx AS (SELECT *, pos - (c - {FLANK}) AS idx, greatest(length(ref) - length(alt), 0) AS g, substring(s, c - {FLANK} + {_L}, {_L}) AS r, substring(seq, pos, length(ref)) = ref AS okr FROM bw),
+by2 AS (SELECT *, concat(substring(s, c - {FLANK} - g + {_L}, g + idx), alt, substring(s, pos + length(ref) + {_L}, {_L} - idx - length(ref) + g)) AS e FROM bx),
+bo AS (SELECT k, CASE WHEN okr THEN 'ok' ELSE 'ref_mismatch' END AS status, CASE WHEN okr THEN r END AS r, CASE WHEN okr THEN CASE WHEN idx < {FLANK} THEN substring(e, CAST(length(e) - g - {_L} + 1 AS INT), {_L}) ELSE substring(e, g + 1, {_L}) END END AS a FROM by2)"""
 
 
-@query(cte("v_seq") + DV + BW + " SELECT k, CASE WHEN okr THEN 'ok' ELSE 'ref_mismatch' END AS status, CASE WHEN okr THEN r END AS ref_seq, CASE WHEN okr THEN CASE WHEN idx < 30 THEN substring(e, CAST(length(e) - g - 61 + 1 AS INT), 61) ELSE substring(e, g + 1, 61) END END AS alt_seq FROM by2")
+@query(cte("v_seq") + DV + BW + " SELECT k, status, " + _sql_digests(ref_seq="r", alt_seq="a") + " FROM bo")
 def boundary_windows(spark, sf):
     v = _doc_variants(spark, sf).withColumn("centre", (F.col("pos") + F.col("k") % 50 - 25).cast("int"))
-    return W.boundary_windows(v, _chunks(spark, sf), CHUNK, 30, ["k"]).select("k", "status", "ref_seq", "alt_seq")
+    w = W.boundary_windows(v, _chunks(spark, sf), CHUNK, FLANK, ["k"])
+    return w.select("k", "status", *_digests(w, "ref_seq", "alt_seq"))
+
+
+# contigs without the blanks between words, which would act as N in every long window
+SITES = f""", sp AS (SELECT doc_id, regexp_replace(regexp_replace(seq, '[ \\n]', '', 'g'), '[^ACGT]', 'N', 'g') AS seq FROM v_seq),
+si AS (SELECT o_orderkey AS k, seq, CAST(o_orderkey * 53 % greatest(coalesce(length(seq), 1), 1) + 1 AS INT) AS p, sp.doc_id IS NULL AS unknown FROM orders LEFT JOIN sp ON sp.doc_id = o_orderkey // 14),
+sw AS (SELECT k, CASE WHEN unknown THEN 'unknown_chrom' WHEN p - {FLANK + 1} < 0 OR p + {FLANK} > length(seq) THEN 'out_of_bounds' WHEN contains(substring(seq, p - {FLANK}, {_L}), 'N') THEN 'has_n' ELSE 'ok' END AS reason, substring(seq, p - {FLANK}, {_L}) AS w FROM si),
+so AS (SELECT k, reason, CASE WHEN reason = 'ok' THEN w END AS w FROM sw)"""
+
+
+def _site_windows(spark, sf):
+    contigs = view(spark, sf, "v_seq").select(F.col("doc_id").alias("chrom"), F.regexp_replace(F.regexp_replace("seq", "[ \\n]", ""), "[^ACGT]", "N").alias("seq"))
+    n = contigs.select("chrom", F.length("seq").alias("n_bases"))
+    s = table(spark, sf, "orders").withColumn("chrom", F.floor(F.col("o_orderkey") / 14).cast("long")).join(n, "chrom", "left")
+    s = s.selectExpr("o_orderkey AS k", "chrom", "CAST(o_orderkey * 53 % greatest(coalesce(n_bases, 1), 1) + 1 AS INT) AS site", "'+' AS strand")
+    return W.site_windows(s, W.genome_chunks(contigs, CHUNK), n, CHUNK, FLANK, ["k"])
 
 
-@query(cte("v_seq") + SQ + ", si AS (SELECT o_orderkey AS k, o_orderkey // 14 AS doc_id, CAST(o_orderkey * 53 % 2500 + 1 AS INT) AS p FROM orders) SELECT k, CASE WHEN sq.doc_id IS NULL THEN 'unknown_chrom' WHEN p - 51 < 0 OR p + 50 > length(seq) THEN 'out_of_bounds' WHEN contains(substring(seq, p - 50, 101), 'N') THEN 'has_n' ELSE 'ok' END AS reason, CASE WHEN p - 51 >= 0 AND p + 50 <= length(seq) AND NOT contains(substring(seq, p - 50, 101), 'N') THEN substring(seq, p - 50, 101) END AS \"window\" FROM si LEFT JOIN sq USING (doc_id)")
+@query(cte("v_seq") + SQ + SITES + " SELECT k, reason, " + _sql_digests(window="w") + " FROM so")
 def site_windows(spark, sf):
-    s = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "CAST(floor(o_orderkey / 14) AS BIGINT) AS chrom", "CAST(o_orderkey * 53 % 2500 + 1 AS INT) AS site", "'+' AS strand")
-    n = _seq(spark, sf).select(F.col("doc_id").alias("chrom"), F.length("seq").alias("n_bases"))
-    return W.site_windows(s, _chunks(spark, sf), n, CHUNK, 50, ["k"]).select("k", "reason", "window")
+    w = _site_windows(spark, sf)
+    return w.select("k", "reason", *_digests(w, "window"))
 
 
-@query(cte("v_seq") + SQ + ", si AS (SELECT o_orderkey // 14 AS doc_id, CAST(o_orderkey * 53 % 2500 + 1 AS INT) AS p FROM orders) SELECT CASE WHEN sq.doc_id IS NULL THEN 'unknown_chrom' WHEN p - 51 < 0 OR p + 50 > length(seq) THEN 'out_of_bounds' WHEN contains(substring(seq, p - 50, 101), 'N') THEN 'has_n' ELSE 'ok' END AS reason, count(*) AS n FROM si LEFT JOIN sq USING (doc_id) GROUP BY 1")
+@query(cte("v_seq") + SQ + SITES + " SELECT reason, count(*) AS n FROM so GROUP BY 1")
 def skip_reasons(spark, sf):
-    return W.reason_counts(site_windows(spark, sf))
+    return W.reason_counts(_site_windows(spark, sf))
 
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, least(i // (n // 7), 6) AS part FROM r) SELECT CAST(part AS INT) AS part, min(i) AS first_index, max(i) AS last_index, count(*) AS n FROM p GROUP BY part")

@@ -108,3 +108,19 @@ def cte(*names: str) -> str:
             body = f"SELECT {', '.join(exprs)} FROM {src}"
         parts.append(f"{n} AS ({body})")
     return "WITH " + ", ".join(parts) + " "
+
+
+def locations_sql(src: str, pos: str, start: str, end: str, out: str) -> str:
+    """CTEs that repeat the rows of ``src`` for each of their location classes, as ``out`` with a column location.
+
+    The rule is a table: how far outwards from a boundary a class reaches. Each boundary takes its closest class, the row takes the closest
+    of both; rows that no boundary claims are exon or intron, on the side of the boundary they are nearer to or beyond.
+    """
+    return f""", {out}_row AS (SELECT *, row_number() OVER () AS rn, {start} - {pos} AS to_acc, {pos} - {end} AS to_don FROM {src}),
+{out}_reach(cls, lo, hi, place) AS (VALUES ('splice_site', 1, 2, 1), ('splice_region', -2, 8, 2)),
+{out}_side AS (SELECT rn, unnest(['_acc', '_don']) AS side, unnest([to_acc, to_don]) AS outward FROM {out}_row),
+{out}_hit AS (SELECT rn, side, min_by(cls, place) AS cls, min(place) AS place FROM {out}_side JOIN {out}_reach ON outward BETWEEN lo AND hi GROUP BY rn, side),
+{out}_best AS (SELECT rn, min_by(cls, place) AS cls FROM {out}_hit GROUP BY rn),
+{out}_body AS (SELECT rn, cls, CASE WHEN greatest(to_acc, to_don) > 0 THEN 'intron' ELSE 'exon' END AS body, CASE WHEN to_acc < to_don THEN '_don' ELSE '_acc' END AS side FROM {out}_row LEFT JOIN {out}_best USING (rn)),
+{out}_name AS (SELECT rn, 'all' AS location FROM {out}_row UNION ALL SELECT rn, coalesce(cls, body) FROM {out}_body UNION ALL SELECT rn, concat(body, side) FROM {out}_body WHERE cls IS NULL UNION ALL SELECT rn, concat(cls, side) FROM {out}_hit),
+{out} AS (SELECT {out}_row.*, location FROM {out}_row JOIN {out}_name USING (rn))"""
