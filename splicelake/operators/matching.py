@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splicelake.operators.ordered import CHUNK, lookup, running, with_chunks
+from splicelake.operators.ordered import CHUNK, exact_percentiles, lookup, running, with_chunks
 from splicelake.session import SINGLE_CHUNK_BYTES, estimated_bytes
 
 # Tier numbers of the candidate classes, and the number used for optimal matching.
@@ -221,9 +221,15 @@ def match_report(pairs: DataFrame) -> DataFrame:
 
 
 def match_quality(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """How often the actual partner is not the ideal one, and the distance differences."""
-    d = F.abs(F.col("pos_dist") - F.col("neg_dist"))
-    return matched_only(pairs).groupBy(*by).agg(
+    """How often the actual partner is not the ideal one, and the distance differences (mean, exact median, shares)."""
+    by = list(by)
+    m = matched_only(pairs).withColumn("_d", F.abs(F.col("pos_dist") - F.col("neg_dist")))
+    d = F.col("_d")
+    q = m.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col("neg_var_key") != F.col("neg_var_key_ideal")).alias("n_not_ideal"),
         F.avg(d).alias("mean_diff"), F.avg((d <= 10).cast("int")).alias("share_10"), F.avg((d <= 500).cast("int")).alias("share_500"),
     )
+    # the whole table has one row on either side
+    one = F.lit(0).alias("_one")
+    median = exact_percentiles(m.select(*(by or [one]), "_d"), by or ["_one"], "_d", {"median_diff": 0.5})
+    return lookup(q if by else q.select("*", one), median, by or ["_one"], "left").drop("_one")

@@ -42,6 +42,12 @@ def replicate_splits(df: DataFrame, keys: Sequence[str], n_splits: int, fraction
     return ranked.unionByName(x.filter("NOT _ok").withColumn("split", F.lit("train"))).drop("_ok")
 
 
+def paralog_splits(df: DataFrame, keys: Sequence[str], paralog: str, n_splits: int, fraction: float, seed: int = 42) -> DataFrame:
+    """Splits of the non-paralogs, and the paralogs as an output of their own (split ``paralogs``, replicate 0)."""
+    apart = df.filter(F.col(paralog) == 1).withColumns({"replicate": F.lit(0), "split": F.lit("paralogs")})
+    return replicate_splits(df.filter(F.col(paralog) == 0), keys, n_splits, fraction, seed).unionByName(apart)
+
+
 def usable_transcripts(df: DataFrame, chrom: str, paralog: str, excluded: Sequence[str], autosomes_only: bool = True) -> DataFrame:
     d = df.filter(S.is_autosome(F.col(chrom))) if autosomes_only else df
     return d.filter(~S.outside_training(F.col(chrom), list(excluded), F.col(paralog))) if excluded else d

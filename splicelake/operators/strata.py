@@ -53,6 +53,18 @@ def cumulative_metrics(labelled: DataFrame, value: Column, thresholds: Sequence[
     return per_tissue(cumulative(labelled, value, thresholds, at_least=at_least), [*by, "threshold"], min_pairs)
 
 
+def independent_cumulative(pairs: DataFrame, scores: DataFrame, distances: DataFrame, thresholds: Sequence[float], min_side: int = MIN_PAIRS) -> DataFrame:
+    """Metrics by tissue, head and distance threshold when positives and negatives are cut each by their own distance.
+
+    Every variant of a side counts once per tissue; ``distances`` has var_key and splice_dist. Both sides need ``min_side`` variants.
+    """
+    side = lambda k, label: pairs.select("tissue", F.col(k).alias("var_key"), F.lit(label).alias("label")).distinct()
+    rows = side("pos_var_key", 1).unionByName(side("neg_var_key", 0)).join(scores.filter("score IS NOT NULL").select("var_key", "head", "score"), "var_key")
+    rows = rows.join(distances.select("var_key", "splice_dist"), "var_key")
+    m = ranking_metrics(cumulative(rows, F.col("splice_dist"), thresholds), ["tissue", "head", "threshold"])
+    return m.filter((F.col("n_pos") >= min_side) & (F.col("n_neg") >= min_side))
+
+
 def tissue_fraction(positives: DataFrame, tested: DataFrame) -> DataFrame:
     """Share of tested tissues in which a variant is positive."""
     p = positives.groupBy("var_key").agg(F.count_distinct("tissue").alias("n_pos_tissues"))

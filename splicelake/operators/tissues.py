@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splicelake.operators.curves import regression_metrics
 from splicelake.operators.evaluation import medians
-from splicelake.operators.ordered import lookup
+from splicelake.operators.ordered import exact_percentiles, lookup
 
 # Specificity group limits, the usage that counts as active, and the shares reported for alleles.
 TAU_LOW, TAU_HIGH = 0.1, 0.5
@@ -107,3 +108,14 @@ def shared_loss(usage: DataFrame, shared: DataFrame, site: Sequence[str], by: Se
     d = lookup(usage.filter("ssu IS NOT NULL"), shared.select(*site).withColumn("_in", F.lit(1)), list(site), "left")
     g = d.groupBy(*by).agg(F.count("*").alias("n_valid"), F.count("_in").alias("n_shared"))
     return g.withColumn("pct_lost", 100 * (1 - F.col("n_shared") / F.col("n_valid")))
+
+
+def individual_metrics(df: DataFrame, outer: Sequence[str], inner: Sequence[str], truth: str, pred: str, min_rows: int = 10) -> DataFrame:
+    """R², Pearson, MSE and median absolute error of every (outer, inner) group with enough rows, then their means over inner.
+
+    A metric that a group doesn't have (no variance) is left out of its mean.
+    """
+    key = [*outer, *inner]
+    d = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull()).withColumn("_e", F.abs(F.col(truth) - F.col(pred)))
+    m = lookup(regression_metrics(d, key, truth, pred).filter(F.col("n") >= min_rows), exact_percentiles(d, key, "_e", {"median_ae": 0.5}), key)
+    return m.groupBy(*outer).agg(F.count("*").alias("n_groups"), *[F.avg(c).alias(c) for c in ("r2", "pearson", "mse", "median_ae")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions import scalar as S
@@ -253,6 +253,38 @@ def part_ranges(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").agg(F.min("row_index").alias("first_index"), F.max("row_index").alias("last_index"), F.count("*").alias("n"))
 
 
+def write_parts(parts: DataFrame, path: str) -> None:
+    """Parts (``part``, ``row_index`` from ``even_parts``) as folders of their own, with a manifest of their index ranges.
+
+    The manifest is written last, so a folder without one is no finished split.
+    """
+    parts.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    part_ranges(parts).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def combine_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all parts with their ``row_index`` again, which is their order; nothing is sorted or numbered anew.
+
+    A part that is missing, has other rows than the manifest says, or leaves a gap in the index range raises a ValueError. The check reads
+    the index column alone.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    rows = spark.read.parquet(f"{path}/rows")
+    there = part_ranges(rows).select("part", F.struct("first_index", "last_index", "n").alias("there"))
+    said = manifest.select("part", F.struct("first_index", "last_index", "n").alias("said"))
+    listed = said.join(there, "part", "full").orderBy("part").collect()  # a row per part
+    wrong = [r.part for r in listed if r.said != r.there]
+    if wrong:
+        raise ValueError(f"parts differ from the manifest: {wrong}")
+    ranges = sorted(tuple(r.said) for r in listed)
+    expected = 0
+    for first, last, n in ranges:
+        if first != expected or last - first + 1 != n:
+            raise ValueError(f"no part begins at row {expected}")
+        expected = last + 1
+    return rows
+
+
 def canonical_rows(exons: DataFrame, paralogs: DataFrame, gene: str = "gene_id") -> DataFrame:
     """One row per non-paralog gene: inner exon boundaries as sites (all unmeasured), bounds from the sites."""
     d = exons.join(paralogs.select(gene).distinct(), gene, "left_anti")

@@ -227,6 +227,28 @@ def metrics_by_pip(spark, sf):
     return rounded(T.cumulative_metrics(_labelled(spark, sf), F.col("pos_pip"), PIPS, ["head"], at_least=True))
 
 
+IDEAL = PAIRED.replace("AS neg_var_key, pip AS pos_pip", "AS neg_var_key, concat('V', CAST(orderkey + CASE WHEN custkey % 3 = 0 THEN 8 ELSE 7 END AS STRING)) AS neg_var_key_ideal, pip AS pos_pip")
+
+
+@query(cte("v_variant") + IDEAL + """, kd AS (SELECT tissue, pos_var_key, neg_var_key, 'actual' AS negatives, pos_pip FROM pr UNION ALL SELECT tissue, pos_var_key, neg_var_key_ideal, 'ideal', pos_pip FROM pr), lp AS (SELECT kd.*, p.head, p.score AS ps, n.score AS ns FROM kd JOIN sc p ON p.var_key = kd.pos_var_key JOIN sc n ON n.var_key = kd.neg_var_key AND n.head = p.head WHERE p.score IS NOT NULL AND n.score IS NOT NULL),
+lb AS (SELECT negatives, head, 1 AS label, ps AS score, pos_pip FROM lp UNION ALL SELECT negatives, head, 0, ns, pos_pip FROM lp)""" + f", lt AS (SELECT lb.*, threshold FROM lb JOIN {_thr(PIPS)} t ON pos_pip >= threshold)" + sql_metrics("lt", "negatives, head, threshold") + f" SELECT negatives, head, threshold, {SQL_COLS} FROM mt WHERE n_pos >= 10")
+def metrics_by_pip_and_negatives(spark, sf):
+    """Metrics by smallest PIP against the matched negatives and against the ideal ones."""
+    _, scores = _pairs_scores(spark, sf)
+    v = _v(spark, sf).filter("pip >= 0.9").selectExpr("tissue", "var_key AS pos_var_key", "concat('V', CAST(orderkey + 7 AS STRING)) AS actual", "concat('V', CAST(orderkey + CASE WHEN custkey % 3 = 0 THEN 8 ELSE 7 END AS STRING)) AS ideal", "pip AS pos_pip")
+    both = v.unpivot(["tissue", "pos_var_key", "pos_pip"], ["actual", "ideal"], "negatives", "neg_var_key")
+    return rounded(T.cumulative_metrics(labelled_pairs(both, scores), F.col("pos_pip"), PIPS, ["negatives", "head"], at_least=True))
+
+
+@query(cte("v_variant") + PAIRED + f""", sd AS (SELECT DISTINCT tissue, pos_var_key AS var_key, 1 AS label FROM pr UNION ALL SELECT DISTINCT tissue, neg_var_key, 0 FROM pr), lt AS (SELECT sd.*, head, score, threshold FROM sd JOIN sc USING (var_key) JOIN (SELECT var_key, custkey % 3000 AS dist FROM v_variant) g USING (var_key) JOIN {_thr(DIST)} t ON dist <= threshold WHERE score IS NOT NULL)"""
+    + sql_metrics("lt", "tissue, head, threshold") + " SELECT head, threshold, round(median(pr_area), 6) AS median_pr_area, count(*) AS n_tissues FROM mt WHERE n_pos >= 10 AND n_neg >= 10 GROUP BY head, threshold")
+def independent_metrics_by_distance(spark, sf):
+    """Positives and negatives cut each by their own distance, then the median over tissues."""
+    pairs, scores = _pairs_scores(spark, sf)
+    m = T.independent_cumulative(pairs, scores, _v(spark, sf).selectExpr("var_key", "custkey % 3000 AS splice_dist"), DIST)
+    return T.tissue_medians(m, ["head", "threshold"]).select("head", "threshold", F.round("median_pr_area", 6).alias("median_pr_area"), "n_tissues")
+
+
 OFF = ", of AS (SELECT var_key, 'a' AS head, custkey % 41 - 20 AS off FROM v_variant UNION ALL SELECT var_key, 'b', orderkey % 41 - 20 FROM v_variant UNION ALL SELECT var_key, 'c', custkey % 2300 - 1000 FROM v_variant)"
 
 

@@ -9,9 +9,11 @@ from splicelake.operators import haplotypes as H
 from splicelake.operators import intervals as I
 from splicelake.operators import joins as J
 from splicelake.operators import usage as U
+from splicelake.operators.stages import StageCounts
 from splicelake.plans.registry import query
 from splicelake.plans.usage_plans import FRAC, _usage
 from splicelake.plans.views import cte, table, view
+from splicelake.session import scratch_dir
 
 BIN = 64  # the driver's coordinates span a few thousand positions only
 
@@ -276,3 +278,18 @@ def site_predictions(spark, sf):
     u = _usage(spark, sf).filter("ssu IS NOT NULL")
     j = u.join(p, ["sample", "region", "strand", "site"])
     return j.groupBy("sample", "region", "site").agg(F.round(F.sum("s") / F.sum("c"), 11).alias("pred"), F.round(F.max("ssu"), 6).alias("ssu"))
+
+
+STAGES = "autosomal AS (SELECT * FROM v_variant WHERE region <> 'chr5'), typed AS (SELECT * FROM autosomal WHERE ref <> alt), strong AS (SELECT * FROM typed WHERE pip >= 0.5)"
+
+
+@query(cte("v_variant") + ", " + STAGES + """ SELECT 0 AS place, 'all' AS stage, 'n' AS measure, count(*) AS n FROM v_variant UNION ALL SELECT 0, 'all', 'sex_chromosome', count(*) FROM v_variant WHERE region = 'chr5' UNION ALL SELECT 1, 'autosomal', 'n', count(*) FROM autosomal
+UNION ALL SELECT 1, 'autosomal', 'same_allele', count(*) FROM autosomal WHERE ref = alt UNION ALL SELECT 2, 'typed', 'n', count(*) FROM typed UNION ALL SELECT 3, 'strong', 'n', count(*) FROM strong""")
+def stage_counts(spark, sf):
+    """Rows of each stage and reasons of rejection, counted by the one job that writes the result."""
+    seen = StageCounts()
+    d = seen.watch(view(spark, sf, "v_variant"), "all", sex_chromosome=F.col("region") == "chr5").filter("region <> 'chr5'")
+    d = seen.watch(d, "autosomal", same_allele=F.col("ref") == F.col("alt")).filter("ref <> alt")
+    d = seen.watch(seen.watch(d, "typed").filter("pip >= 0.5"), "strong")
+    d.write.parquet(scratch_dir(spark, "strong-variants"))
+    return seen.rows(spark)

@@ -71,6 +71,16 @@ def spearman_by_sample(spark, sf):
     return rounded(C.spearman(v, ["sample"], "ssu", "head_a"), ["spearman"])
 
 
+_PRED_KEY = "concat_ws(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING))"
+
+
+@query(cte("v_pred") + f", v AS (SELECT sample, y_ssu, head_a, md5({_PRED_KEY}) AS k FROM v_pred WHERE y_ssu <> 777), r AS (SELECT sample, row_number() OVER (PARTITION BY sample ORDER BY y_ssu, k) AS a, row_number() OVER (PARTITION BY sample ORDER BY head_a, k) AS b FROM v) SELECT sample, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY sample")
+def ordinal_spearman_by_sample(spark, sf):
+    """Ordinal ranks: equal values one after the other, in the order of the row keys' hashes."""
+    v = view(spark, sf, "v_pred").select("sample", S.from_sentinel(F.col("y_ssu")).alias("ssu"), "head_a", F.md5(F.expr(_PRED_KEY)).alias("k"))
+    return rounded(C.ordinal_spearman(v, ["sample"], "ssu", "head_a", "k"), ["spearman"])
+
+
 @query(cte("v_pred") + "SELECT sample, round(median(abs(y_ssu - head_b)), 6) AS median_ae FROM v_pred WHERE y_ssu <> 777 GROUP BY sample")
 def median_absolute_error(spark, sf):
     v = view(spark, sf, "v_pred").withColumn("ae", F.abs(S.from_sentinel(F.col("y_ssu")) - F.col("head_b")))

@@ -173,6 +173,24 @@ def two_head_table(spark, sf):
     return d.select(_key().alias("k"), "location", "label", F.round(F.abs("a"), 6).alias("abs_a"), F.round(F.abs("b"), 7).alias("abs_b"), F.when(F.abs("a") >= F.abs("b"), "a").otherwise("b").alias("stronger"))
 
 
+@query(cte("v_reporter") + RP + LOC + ", lh AS (SELECT location, label, head, abs(score) AS ascore FROM (SELECT location, label, 'a' AS head, a AS score FROM lx UNION ALL SELECT location, label, 'b', b FROM lx) z WHERE location IN ('exon', 'intron', 'splice_site', 'splice_region'))" + sql_metrics("lh", "location, head", "ascore") + " SELECT location, max(n_pos) AS n_pos, round(max(CASE WHEN head = 'a' THEN avg_precision END), 6) AS precision_a, round(max(CASE WHEN head = 'b' THEN avg_precision END), 6) AS precision_b FROM mt GROUP BY location")
+def two_head_precision(spark, sf):
+    """Average precision of two heads side by side, by location class."""
+    d = R.by_region(_r(spark, sf)).filter(F.col("location").isin("exon", "intron", "splice_site", "splice_region")).unpivot(["location", "label"], ["a", "b"], "head", "score")
+    m = C.ranking_metrics(d.withColumn("s", F.abs("score")), ["location", "head"], "s")
+    own = lambda h: F.round(F.max(F.when(F.col("head") == h, F.col("avg_precision"))), 6).alias(f"precision_{h}")
+    return m.groupBy("location").agg(F.max("n_pos").alias("n_pos"), own("a"), own("b"))
+
+
+@query(cte("v_reporter") + "SELECT pos, count(*) AS n, round(count(*) / (SELECT count(*) FROM v_reporter WHERE y IS NOT NULL), 9) AS density FROM v_reporter WHERE y IS NOT NULL GROUP BY pos HAVING count(*) >= 5")
+def position_density(spark, sf):
+    """Share of all measured rows at each position with enough rows."""
+    d = view(spark, sf, "v_reporter")
+    total = d.filter("y IS NOT NULL").agg(F.count("*")).scalar()
+    p = R.position_profile(d, [], "pos", "y")
+    return p.select("pos", "n", F.round(F.col("n") / total, 9).alias("density"))
+
+
 @query(cte("v_reporter") + RP + ", ag AS (SELECT label, a, b, c, (a + b + c) / 3 AS agg FROM rp), l4 AS (SELECT label, head, abs(score) AS ascore FROM (SELECT label, 'a' AS head, a AS score FROM ag UNION ALL SELECT label, 'b', b FROM ag UNION ALL SELECT label, 'c', c FROM ag UNION ALL SELECT label, 'aggregate', agg FROM ag) z)" + sql_metrics("l4", "head", "ascore") + " SELECT head, round(avg_precision, 6) AS avg_precision, CAST(row_number() OVER (ORDER BY avg_precision DESC, head) AS INT) AS rank, avg_precision > (SELECT avg_precision FROM mt WHERE head = 'aggregate') AS beats_aggregate FROM mt")
 def head_ranks_against_aggregate(spark, sf):
     d = _r(spark, sf).withColumn("aggregate", (F.col("a") + F.col("b") + F.col("c")) / 3)

@@ -211,3 +211,38 @@ def expression_file_scan(spark, sf):
     top = spark.range(1).select(F.explode(F.array(F.lit("#1.2"), F.lit("9\t2"), F.lit("Name\tDescription\tlung\ttestis"))).alias("value"))
     view(spark, sf, "v_gene").select(row.alias("value")).unionByName(top).write.text(path)
     return files.read_gct(spark, path, ["lung", "testis"])
+
+
+GTS = ["0|1", "1|1", "./."]
+
+
+@query(cte("v_variant") + """, d AS (SELECT unnest([0, 1, 2]) AS i) SELECT var_key AS var_id, region, pos, ref, concat('D', CAST(orderkey % 2 * 10 + i AS STRING)) AS donor, CASE WHEN orderkey % 7 <> 0 THEN ['0|1', '1|1', './.'][CAST((orderkey + i) % 3 + 1 AS INT)] END AS gt FROM v_variant CROSS JOIN d""")
+def donor_genotypes(spark, sf):
+    """Two files with donors of their own; GT stands first or second in FORMAT, or is missing."""
+    path = scratch_dir(spark, "genotypes")
+    k = F.col("orderkey")
+    gt = lambda i: F.get(F.array(*[F.lit(g) for g in GTS]), ((k + i) % 3).cast("int"))
+    cell = lambda i: F.when(k % 7 == 0, "9").when(k % 5 == 0, F.concat(F.lit("9:"), gt(i))).otherwise(F.concat(gt(i), F.lit(":9")))
+    layout = F.when(k % 7 == 0, "DP").when(k % 5 == 0, "DP:GT").otherwise("GT:DP")
+    for odd in (0, 1):
+        v = view(spark, sf, "v_variant").filter(k % 2 == odd)
+        names = [f"D{odd * 10 + i}" for i in range(3)]
+        head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]),)], "value string")
+        rows = v.select(_line(F.col("region"), _s("pos"), F.col("var_key"), F.col("ref"), F.col("alt"), ".", ".", ".", layout, *[cell(i) for i in range(3)]))
+        head.unionByName(rows).coalesce(1).write.text(f"{path}/{odd}")
+    return files.read_genotypes(spark, path).select("var_id", "region", "pos", "ref", "donor", "gt")
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, lang, i AS row_index, CAST(least(i // (n // 7), 6) AS INT) AS part FROM r")
+def split_and_combine(spark, sf):
+    path = scratch_dir(spark, "parts")
+    W.write_parts(W.even_parts(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 7), path)
+    return W.combine_parts(spark, path).select("doc_id", "lang", "row_index", "part")
+
+
+@query("SELECT c_custkey AS k, c_nationkey AS site, c_acctbal AS value, CASE WHEN c_custkey % 3 = 0 THEN 'train' ELSE 'test' END AS split FROM customer WHERE c_custkey % 3 <> 1")
+def reporter_tables(spark, sf):
+    """Train rows as they are, test rows with their values from a table of their own; doubled rows count once."""
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_nationkey AS site", "c_acctbal AS value")
+    train, test = c.filter("k % 3 = 0"), c.filter("k % 3 = 2")
+    return files.reporter_table(train.unionByName(train), test.drop("value"), test.select("k", "value"), ["k"], "value").select("k", "site", "value", "split")

@@ -142,6 +142,31 @@ def second_set_variability_bins(spark, sf):
     return rounded(T5.two_level_mean(d, ["tissue", "bin"], ["sample"], "e"), ["mean"])
 
 
+def _sql_individuals(by):
+    return f""", sx AS (SELECT {by}, tissue, sample, CASE WHEN var_pop(ssu) > 0 THEN 1 - sum((ssu - p) * (ssu - p)) / (var_pop(ssu) * count(*)) END AS r2, CASE WHEN var_pop(ssu) > 0 AND var_pop(p) > 0 THEN corr(ssu, p) END AS pearson, avg((ssu - p) * (ssu - p)) AS mse, median(abs(ssu - p)) AS median_ae FROM b GROUP BY {by}, tissue, sample HAVING count(*) >= 10)
+SELECT {by}, count(*) AS n_groups, round(avg(r2), 6) AS r2, round(avg(pearson), 6) AS pearson, round(avg(mse), 6) AS mse, round(avg(median_ae), 6) AS median_ae FROM sx GROUP BY {by}"""
+
+
+IND = ["r2", "pearson", "mse", "median_ae"]
+
+
+@query(cte("v_tissue_site") + ", h AS (SELECT tissue, sample, pos, ssu, 'h1' AS head, (pos % 50) / 50 AS p FROM v_tissue_site UNION ALL SELECT tissue, sample, pos, ssu, 'h2', (pos % 31) / 31 FROM v_tissue_site), e AS (SELECT head, quantile_cont(ssu, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM h GROUP BY head), b AS (SELECT h.*, CAST(len(list_filter(q, lambda x: x <= ssu)) AS INT) AS bin FROM h JOIN e USING (head))" + _sql_individuals("head, bin"))
+def metrics_by_quantile(spark, sf):
+    """All metrics per usage bin: of every tissue and individual, then their mean."""
+    d = view(spark, sf, "v_tissue_site").withColumns({"h1": F.col("pos") % 50 / 50, "h2": F.col("pos") % 31 / 31}).unpivot(["tissue", "sample", "pos", "ssu"], ["h1", "h2"], "head", "p")
+    b = V.quantile_edges_bins(d, ["head"], "ssu", 8)
+    return rounded(T5.individual_metrics(b, ["head", "bin"], ["tissue", "sample"], "ssu", "p"), IND[:2]).withColumns({c: F.round(c, 6) for c in IND[2:]})
+
+
+@query(cte("v_tissue_site") + ", v4 AS (SELECT * FROM v_tissue_site WHERE tissue <> 'view'), w AS (SELECT pos, tissue, avg(ssu) AS m FROM v4 GROUP BY ALL), c AS (SELECT pos, stddev_samp(m) AS sd FROM w GROUP BY pos HAVING count(*) = 4), b AS (SELECT v4.*, CAST(least(floor(sd * 20), 9) AS INT) AS bin, (v4.pos % 50) / 50 AS p FROM v4 JOIN c USING (pos))" + _sql_individuals("bin"))
+def second_set_metrics(spark, sf):
+    """The four-tissue test set: all metrics by cross-tissue sd, of every tissue and individual, then their mean."""
+    v = view(spark, sf, "v_tissue_site").filter("tissue <> 'view'")
+    c = T5.variability(v, ["pos"], 4).select("pos", F.least(F.floor(F.col("sd") * 20), F.lit(9)).cast("int").alias("bin"))
+    d = lookup(v, c, ["pos"]).withColumn("p", F.col("pos") % 50 / 50)
+    return rounded(T5.individual_metrics(d, ["bin"], ["tissue", "sample"], "ssu", "p"), IND[:2]).withColumns({c: F.round(c, 6) for c in IND[2:]})
+
+
 # --- expression ---------------------------------------------------------------------------------------------------
 
 CN = ", cn AS (SELECT sample, concat('G', CAST(site AS STRING)) AS gene_id, CAST(sum(alpha) % 9 AS BIGINT) AS n, max(site) % 17 * 100 AS length FROM v_usage GROUP BY sample, site)"
@@ -236,6 +261,12 @@ def nonparalog_splits(spark, sf):
     return P.replicate_splits(_transcripts(spark, sf).filter("paralog = 0"), ["gene_id"], 2, 0.1, 42).select("replicate", "gene_id", "split")
 
 
+@query(cte("v_gene") + GOODT + f", r AS (SELECT gene_id, k, row_number() OVER (PARTITION BY k ORDER BY {md('42 + k', 'gene_id')}) AS rn, count(*) OVER (PARTITION BY k) AS n FROM ok CROSS JOIN (SELECT unnest([1, 2]) AS k) x WHERE paralog = 0) SELECT CAST(k AS INT) AS replicate, gene_id, CASE WHEN rn <= floor(n * 0.1) THEN 'validation' ELSE 'train' END AS split FROM r UNION ALL SELECT 0, gene_id, 'paralogs' FROM ok WHERE paralog = 1")
+def paralog_splits(spark, sf):
+    """Splits of the non-paralogs with the paralogs as an output of their own."""
+    return P.paralog_splits(_transcripts(spark, sf), ["gene_id"], "paralog", 2, 0.1, 42).select("replicate", "gene_id", "split")
+
+
 @query(cte("v_gene") + f", h AS (SELECT *, {md(7, 'gene_id')} AS h FROM v_gene), t AS (SELECT gene_id FROM h WHERE region = 'chr4' AND paralog = 0), rest AS (SELECT * FROM h WHERE NOT (region = 'chr4' AND paralog = 0)), p AS (SELECT *, h = min(h) OVER (PARTITION BY region) AS must FROM rest WHERE paralog = 0), q AS (SELECT *, row_number() OVER (ORDER BY must DESC, h) AS rn FROM p) SELECT gene_id, 'test' AS split FROM t UNION ALL SELECT gene_id, 'train' FROM rest WHERE paralog = 1 UNION ALL SELECT gene_id, CASE WHEN must OR rn <= (SELECT floor(count(*) * 0.1) FROM rest) THEN 'validation' ELSE 'train' END FROM q")
 def chromosome_holdout(spark, sf):
     d = P.chromosome_holdout(view(spark, sf, "v_gene"), ["gene_id"], "region", "paralog", ["chr4"], 0.1, 7, each_chromosome=True)

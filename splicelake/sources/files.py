@@ -42,6 +42,11 @@ def read_vcf(spark: SparkSession, path: str, sample_index: int | None = None) ->
     return L.parse_vcf(read_lines(spark, path), sample_index)
 
 
+def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
+    """Genotypes of all donors of one or many files, each with the donors of its own header."""
+    return L.parse_genotypes(read_lines(spark, path).withColumn("file", F.col("_metadata.file_path")), "file").drop("file")
+
+
 def read_gtf(spark: SparkSession, path: str, feature: str | None = None) -> DataFrame:
     return L.parse_gtf(read_lines(spark, path), feature)
 

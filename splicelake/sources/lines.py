@@ -64,6 +64,25 @@ def parse_vcf(lines: DataFrame, sample_index: int | None = None) -> DataFrame:
     return _fields(lines).select(*cols)
 
 
+def parse_genotypes(lines: DataFrame, file: str | None = None) -> DataFrame:
+    """A row per variant and donor: region, pos, var_id, ref, alts, donor and gt.
+
+    Donors are named by the ``#CHROM`` line; with ``file`` (a column that tells files apart) every file has its own. The place of GT
+    comes from each record's FORMAT; a record without it has null genotypes. Columns beyond the named donors are left out.
+    """
+    key = [file] if file else []
+    cells = F.split("value", "\t")
+    donors = lines.filter(F.col("value").startswith("#CHROM\t")).select(*key, F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("_donors"))
+    d = _fields(lines)
+    d = d.join(donors, key) if key else d.withColumn("_donors", donors.scalar())
+    gt = F.array_position(F.split(_at(8), ":"), "GT").cast("int")
+    d = d.select(
+        *key, _at(0).alias("region"), _at(1).cast("int").alias("pos"), _at(2).alias("var_id"), _at(3).alias("ref"), F.split(_at(4), ",").alias("alts"), gt.alias("_gt"), "_f", F.posexplode("_donors").alias("_i", "donor"),
+    )
+    cell = F.split(F.get("_f", F.col("_i") + 9), ":")
+    return d.withColumn("gt", F.when(F.col("_gt") > 0, F.get(cell, F.col("_gt") - 1))).drop("_gt", "_f", "_i")
+
+
 def format_vcf(variants: DataFrame, info_columns: dict[str, str]) -> DataFrame:
     """Record lines; INFO holds the non-null columns in the given order, ``.`` when none."""
     info = F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), F.col(c).cast("string"))) for k, c in info_columns.items()])
