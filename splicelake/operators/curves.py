@@ -129,14 +129,14 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str, chunks: int | Non
 
 
 def ordinal_spearman(df: DataFrame, by: Sequence[str], a: str, b: str, tie: str, chunks: int | None = None) -> DataFrame:
-    """Correlation of ordinal ranks: equal values are numbered one after the other, in the order of ``tie`` (unique per row)."""
+    """Correlation of ordinal ranks: equal values are numbered one after the other, in the order of ``tie`` (a string per row, such as a hash; unique)."""
     by = list(by)
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
 
     def ranked(d: DataFrame, value: str, out: str) -> DataFrame:
         below = d.groupBy(*by, value).agg(F.count("*").alias("_n"))
         below = running(below, by, value, {"_upto": F.col("_n")}, chunks=chunks).select(*by, value, (F.col("_upto") - F.col("_n")).alias("_below"))
-        place = running(d, [*by, value], tie, {"_place": F.lit(1).cast("long")}, chunks=chunks)
+        place = running(d, [*by, value], tie, {"_place": F.lit(1).cast("long")}, chunk_expr=F.substring(tie, 1, 2))
         return lookup(place, below, [*by, value]).withColumn(out, F.col("_below") + F.col("_place")).drop("_below", "_place")
 
     r = ranked(ranked(d, a, "_ra"), b, "_rb")
