@@ -46,13 +46,17 @@ RECORD_URN = "<urn:splicelake:record:"
 def with_references(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """Adds ``refers_to``: for payloads of MIN_REVISIT bytes or more, the largest id with the same payload unless the row has it itself.
 
-    Rows that share the largest id and the payload all stay full records. Digests are counted before they are shuffled.
+    Rows that share the largest id and the payload all stay full records. Digests are counted before they are shuffled, and decisions are
+    made on ids and digests; payloads meet the decisions by id, so that copies of one payload are not gathered.
     """
-    digest = F.sha2(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")), 256)
-    keyed = pages.withColumn("payload_key", digest)
-    kept = keyed.where(F.octet_length(payload_col) >= MIN_REVISIT).groupBy("payload_key").agg(F.max(id_col).alias("kept_id"), F.count("*").alias("n")).where("n > 1").select("payload_key", "kept_id")
-    joined = keyed.join(kept, "payload_key", "left")
-    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("kept_id")), F.col("kept_id"))).drop("payload_key", "kept_id")
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    keyed = pages.withColumn("payload_key", F.sha2(payload, 256))
+    narrow = keyed.where(F.octet_length(payload_col) >= MIN_REVISIT).select(F.col(id_col).alias("own_id"), F.col("payload_key").alias("own_key"))
+    kept = narrow.groupBy("own_key").agg(F.max("own_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1").select("own_key", "kept_id")
+    kept = stored(kept, "kept-payloads")
+    revisits = narrow.distinct().join(kept, "own_key").where(~F.col("own_id").eqNullSafe(F.col("kept_id")))
+    joined = keyed.join(revisits, keyed[id_col].eqNullSafe(revisits["own_id"]) & (keyed["payload_key"] == revisits["own_key"]), "left")
+    return joined.withColumn("refers_to", F.col("kept_id")).drop("payload_key", "kept_id", "own_id", "own_key")
 
 
 def record(record_id: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:

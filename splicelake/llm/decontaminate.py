@@ -136,7 +136,7 @@ def matches(index: DataFrame, bench: DataFrame, item_col: str = "item_id", text_
     if not 0 <= slop <= MAX_SLOP or not 0 < window <= WINDOW:
         raise ValueError(f"slop must be 0 to {MAX_SLOP}, window 1 to {WINDOW}")
     spark = index.sparkSession
-    bench = bench.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    bench = bench.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
     item_type = bench.schema["item"].dataType
     schema = T.StructType([
         T.StructField("segment", T.LongType()), T.StructField("ordinal", T.IntegerType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))),

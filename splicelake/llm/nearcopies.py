@@ -233,9 +233,9 @@ def _undecided(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
-    """id, n_shingles, component_id, kept: one row per row of ``docs``. similarity: percent, 70 at least (the bands are made for 80)."""
-    if not 70 <= similarity <= 100:
-        raise ValueError("the bands find pairs from a similarity of 70 percent on")
+    """id, n_shingles, component_id, kept: one row per row of ``docs``. similarity: percent, 80 at least (bands and second signature are made for it)."""
+    if not 80 <= similarity <= 100:
+        raise ValueError("bands and second signature find all pairs from a similarity of 80 percent on")
     texts = stored(signed(docs, k, id_col, text_col), "signatures")
     nodes = texts.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.min_by("id", "row").alias("own"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "classes")

@@ -264,7 +264,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     texts = stored(anchored(docs, length, gram, id_col, text_col), "anchors")
     classes = stored(texts.groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("n_texts"), F.min("id").alias("first_id"), F.min_by("id", "row").alias("own_id"), F.max("n_bytes").alias("n_bytes")), "classes")
     each = texts.join(classes.select("row", "n_texts"), "row").select("row", "n_texts", F.explode(F.arrays_zip("lo", "hi", "at", "fp", "x", "y")).alias("s")).select("row", "n_texts", "s.*")
-    again = each.groupBy("fp").agg(F.sum("n_texts").alias("n_fp")).where("n_fp > 1").select("fp")
+    # stored first: a join with an aggregate of its own rows would keep all rows of a frequent anchor in one task
+    again = stored(each.groupBy("fp").agg(F.sum("n_texts").alias("n_fp")).where("n_fp > 1").select("fp"), "repeated-anchors")
     each = stored(each.join(again, "fp"), "stretches")
     contexts = each.groupBy("fp", "x", "y").agg(F.sum("n_texts").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("s")).select("fp", "x", "y", "n", "s.*")
     contexts = stored(contexts, "contexts")
@@ -275,6 +276,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     whole = whole.select("row", "lo", "hi")
 
     mixed_fps = contexts.groupBy("fp").agg(F.count("*").alias("n_contexts"), F.min("n").alias("least")).where("n_contexts > 1" if later_only else "n_contexts > 1 and least = 1")
+    mixed_fps = stored(mixed_fps, "mixed-anchors")
     wanted = contexts.join(mixed_fps.select("fp", "n_contexts"), "fp").select("fp", "x", "y", "row", "lo", "hi", "n_contexts")
     by_text = wanted.groupBy("row").agg(F.collect_list(F.struct("fp", "x", "y", "lo", "hi", "n_contexts")).alias("wanted"))  # bounded by the text's length
     by_text = by_text.join(classes, "row").select("row", F.col("own_id").alias("id"), "text_key", "wanted")

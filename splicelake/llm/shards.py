@@ -1,8 +1,8 @@
 """Shards along a Hilbert curve through several metadata columns.
 
 Each column is cut into buckets of about equally many rows, in the order of its values; the bucket numbers are the coordinates.
-Rows are sorted by their index on the curve, equal texts next to one another, and the order is cut into runs of equal length: a
-shard covers a small box in every column, so the smallest and largest values kept for a file exclude it from most searches.
+Rows are sorted by their index on the curve, equal texts of one cell next to one another (with other metadata they lie in other
+cells), and the order is cut into runs of equal length: a shard covers a small box in every column, so the smallest and largest values kept for a file exclude it from most searches.
 
 Null values form the lowest bucket. Null texts count as no bytes. Repeated rows keep a place each.
 """

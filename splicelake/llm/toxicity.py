@@ -208,8 +208,8 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [tuple(r) for y in (0, 1) for r in bounded_sample(known.where(F.col("y") == y), F.col("id"), sample // 2).orderBy("id").collect()]
     examples = spark.createDataFrame(chosen, T.StructType([T.StructField("id", id_type), T.StructField("y", T.IntegerType())]))
-    known_texts = rows.join(F.broadcast(examples), "id").dropDuplicates(["text_key", "y"])  # ``sample`` rows at most
-    known_texts = stored(known_texts, "examples")
+    known_texts = rows.join(F.broadcast(examples), "id").groupBy("id").agg(F.min_by(F.struct("text_key", "text", "y"), "text_key").alias("r")).select("id", "r.*")  # one row per id: ``sample`` rows at most
+    known_texts = stored(known_texts.dropDuplicates(["text_key", "y"]), "examples")
     words = space(known_texts)
 
     vector = T.StructType([T.StructField("id", id_type), T.StructField("text_key", T.StringType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
@@ -233,8 +233,8 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         df[term] = n
     idf = np.log((n_docs + 1) / (df + 1)) + 1
     picked = {}
-    for r in space_rows.join(F.broadcast(known_texts.select("id", "y")), "id").select("id", "y", "terms", "counts").orderBy("id", "terms", "counts").collect():
-        picked.setdefault(r.id, (r.id, r.y, r.terms, r.counts))  # of rows with one id, one counts
+    for r in space_rows.join(F.broadcast(known_texts.select("id", "text_key", "y")), ["id", "text_key"]).dropDuplicates(["id"]).select("id", "y", "terms", "counts").orderBy("id").collect():
+        picked[r.id] = (r.id, r.y, r.terms, r.counts)
     model = broadcast_bounded(spark, train(list(picked.values()), idf, (sizes.get(0, 0), sizes.get(1, 0))))
 
     evidence = T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("cosine", T.DoubleType())]))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+
 from samples import ODD, prose
 from splicelake.llm import nearcopies
 
@@ -65,3 +66,8 @@ def test_empty_and_odd_tables(make_docs):
     assert nearcopies.near_copies(make_docs([])).count() == 0
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in nearcopies.near_copies(make_docs(ODD)).collect()), key=str)
     assert got == brute(ODD, 5)
+
+
+def test_lower_similarities_are_refused(make_docs):
+    with pytest.raises(ValueError, match="80 percent"):
+        nearcopies.near_copies(make_docs([(1, "a b c")]), similarity=79)
