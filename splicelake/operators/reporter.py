@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions import scalar as S
 from splicelake.operators.curves import ranking_metrics, regression_metrics, spearman
 from splicelake.operators.evaluation import medians, quantile_edges_bins
-from splicelake.operators.ordered import average_ranks, lookup, running
-from splicelake.session import spread
+from splicelake.operators.ordered import CHUNK, average_ranks, lookup, with_chunks
+from splicelake.session import written
 
 # Smallest groups for regions, exons and profile bins.
 MIN_ROWS = 5
+#: Scores whose counts a sweep holds at once.
+SLICE = 1 << 14
 
 # Cumulative probabilities of a Poisson variable with mean 1 for counts 0–10.
 POISSON_ONE = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(11)]
@@ -78,34 +81,62 @@ def by_region(df: DataFrame, pos: str = "pos", start: str = "estart", end: str =
     return df.withColumn("location", F.explode(S.locations(F.col(pos), F.col(start), F.col(end))))
 
 
-def sweep_metrics(df: DataFrame, by: Sequence[str], value: str, score: str, thresholds: Sequence[float], both_classes: bool = False, side_by_side: int = 25) -> DataFrame:
+def sweep_metrics(df: DataFrame, by: Sequence[str], value: str, score: str, thresholds: Sequence[float], both_classes: bool = False, chunks: int | None = None) -> DataFrame:
     """Average precision and class counts for every effect threshold; a row is positive above the threshold.
 
-    A row per distinct score carries the positives of ``side_by_side`` thresholds, so rows are never repeated and the expressions
-    stay small enough to be compiled. ``both_classes`` leaves the precision null where one class is missing.
+    A row counts by the number of thresholds below its effect, so one pass over (|score|, count) serves all of them: chunks of the score
+    order carry a column of positives per threshold, and start from the counts of the chunks before. ``both_classes`` leaves the precision
+    null where one class is missing.
     """
-    parts = [_sweep_part(df, list(by), value, score, list(thresholds)[i : i + side_by_side], both_classes) for i in range(0, len(thresholds), side_by_side)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _sweep_part(df: DataFrame, by: list[str], value: str, score: str, thresholds: Sequence[float], both_classes: bool) -> DataFrame:
-    k = len(thresholds)
-    size = F.abs(F.col(value))
-    hits = [F.count_if(size > F.lit(float(t))).alias(f"_p{i}") for i, t in enumerate(thresholds)]
-    g = df.filter(F.col(score).isNotNull()).groupBy(*by, F.abs(score).alias("_s")).agg(F.count("*").alias("_n"), *hits)
-    sums = {f"_t{i}": F.col(f"_p{i}") for i in range(k)} | {"_c": F.col("_n")}
-    c = running(g, by, "_s", sums, descending=True, totals=True)
-    gain = [F.sum(F.col(f"_p{i}") * F.col(f"_t{i}") / F.col("_c")).alias(f"_g{i}") for i in range(k)]
-    m = c.groupBy(*by).agg(*gain, *[F.max(f"_t{i}_total").alias(f"_n{i}") for i in range(k)], F.max("_c_total").alias("_all"))
-    enough = lambda i: (F.col(f"_n{i}") > 0) & ((F.col("_all") > F.col(f"_n{i}")) | F.lit(not both_classes))
-    rows = [
-        F.struct(
-            F.lit(float(t)).alias("threshold"), F.col(f"_n{i}").cast("long").alias("n_pos"), (F.col("_all") - F.col(f"_n{i}")).cast("long").alias("n_neg"),
-            F.when(enough(i), F.col(f"_g{i}") / F.col(f"_n{i}")).alias("avg_precision"),
-        )
-        for i, t in enumerate(thresholds)
-    ]
-    return m.select(*by, F.inline(F.array(*rows)))
+    by, cuts = list(by), sorted(float(t) for t in thresholds)
+    # a null effect is above no threshold
+    d = df.filter(F.col(score).isNotNull()).select(*by, F.abs(F.col(score)).cast("double").alias("_s"), _count_below(F.abs(F.col(value)), cuts).alias("_b"))
+    g, _ = with_chunks(d.groupBy(*by, "_s", "_b").agg(F.count("*").alias("_n")), "_s", chunks)
+    g = written(g, "sweep")
+    per = g.groupBy(*by, CHUNK, "_b").agg(F.sum("_n").alias("_n"))
+    higher = Window.partitionBy(*by, "_b").orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    # every count of passed thresholds needs a row in every chunk of its group
+    places, counts = per.select(*by, CHUNK).distinct(), per.select(*by, "_b").distinct()
+    grid = lookup(places, counts, by) if by else places.crossJoin(counts)
+    before = lookup(grid, per, [*by, CHUNK, "_b"], "left").withColumn("_n", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
+    rows = g.select(*by, CHUNK, "_s", "_b", "_n").unionByName(before.select(*by, CHUNK, F.lit(float("inf")).alias("_s"), "_b", "_n"))
+
+    size = SLICE
+
+    def gains(table: pa.Table) -> pa.Table:
+        s, b, n = (table.column(c).to_numpy() for c in ("_s", "_b", "_n"))
+        start = np.bincount(b[np.isinf(s)], n[np.isinf(s)], minlength=len(cuts) + 1)
+        own = np.flatnonzero(~np.isinf(s))
+        own = own[np.argsort(-s[own], kind="stable")]
+        s, b, n = s[own], b[own], n[own]
+        place = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]).astype(int) if len(s) else np.zeros(0, int)
+        edges = np.searchsorted(place, np.arange(0, (place[-1] if len(s) else 0) + size + 1, size))
+        gain, carried = np.zeros(len(cuts)), start.astype(float)
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            counts = np.zeros((place[hi - 1] - place[lo] + 1, len(cuts) + 1))
+            np.add.at(counts, (place[lo:hi] - place[lo], b[lo:hi]), n[lo:hi])
+            above = np.cumsum(counts, axis=0) + carried
+            carried = above[-1]
+            positives = lambda c: np.cumsum(c[:, ::-1], axis=1)[:, -2::-1]  # rows above each threshold
+            gain += (positives(counts) * positives(above) / above.sum(axis=1, keepdims=True)).sum(axis=0)
+        per_row = np.cumsum(np.bincount(b, n, minlength=len(cuts) + 1)[::-1])[::-1]
+        keys = {c: pa.array([table.column(c)[0].as_py()] * len(cuts), table.schema.field(c).type) for c in by}
+        return pa.table(keys | {"threshold": np.array(cuts), "gain": gain, "n_pos": per_row[1:].astype(np.int64), "n": np.full(len(cuts), int(per_row[0]))})
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields], "threshold double, gain double, n_pos long, n long"])
+    m = rows.groupBy(*by, CHUNK).applyInArrow(gains, schema).groupBy(*by, "threshold").agg(F.sum("gain").alias("gain"), F.sum("n_pos").alias("n_pos"), F.sum("n").alias("n"))
+    enough = (F.col("n_pos") > 0) & ((F.col("n") > F.col("n_pos")) | F.lit(not both_classes))
+    return m.select(*by, "threshold", "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"), F.when(enough, F.col("gain") / F.col("n_pos")).alias("avg_precision"))
+
+
+def _count_below(x: Column, cuts: Sequence[float]) -> Column:
+    """Number of cuts (sorted) below x, by halving."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(x > F.lit(cuts[mid]), mid + 1 + _count_below(x, cuts[mid + 1 :])).otherwise(_count_below(x, cuts[:mid]))
 
 
 def position_profile(df: DataFrame, by: Sequence[str], pos: str, value: str, min_rows: int = MIN_ROWS, chunks: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from splicelake.operators.resampling import bootstrap_metrics
 from splicelake.plans.metric_plans import REG_COLS, rounded, sql_metrics, sql_reg
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, locations_sql, table, view
+from splicelake.session import spread, written
 
 HEADS = ["a", "b", "c"]
 ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -65,6 +66,11 @@ def oligo_orientation(spark, sf):
 LOC = locations_sql("rp", "pos", "estart", "eend", "lx")
 
 
+def _regions(rows, *keep):
+    """Rows by location class, written once for the passes of the metrics."""
+    return written(R.by_region(spread(rows.select("pos", "estart", "eend", "y", *keep, *HEADS))).select("location", "y", *keep, *HEADS), "regions")
+
+
 def sql_head_metrics(src, by):
     b = ", ".join(by)
     on = " AND ".join(f"g.{c} = k.{c}" for c in [*by, "head"])
@@ -78,7 +84,7 @@ HM = [*REG_COLS, "spearman", "avg_precision", "auroc"]
 
 @query(cte("v_reporter") + RP + LOC + sql_head_metrics("lx", ["location"]) + " SELECT * FROM hm")
 def metrics_by_location(spark, sf):
-    return rounded(R.head_metrics(R.by_region(_r(spark, sf)), ["location"], "y", "label", HEADS), HM)
+    return rounded(R.head_metrics(_regions(_r(spark, sf), "label"), ["location"], "y", "label", HEADS), HM)
 
 
 SWEEP = [i / 100 for i in range(1, 101)]
@@ -93,7 +99,7 @@ def effect_threshold_sweep(spark, sf):
 
 @query(cte("v_reporter") + RP + LOC + ", sw AS (SELECT location, head, threshold, abs(score) AS ascore, CASE WHEN abs(y) > threshold THEN 1 ELSE 0 END AS label FROM " + long("lx", "location, y") + f" z CROSS JOIN {SWEEP_SQL} t)" + sql_metrics("sw", "location, head, threshold", "ascore") + " SELECT location, head, threshold, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN round(avg_precision, 6) END AS avg_precision FROM mt")
 def location_threshold_sweep(spark, sf):
-    d = R.by_region(view(spark, sf, "v_reporter")).unpivot(["location", "y"], HEADS, "head", "score")
+    d = _regions(view(spark, sf, "v_reporter")).unpivot(["location", "y"], HEADS, "head", "score")
     return rounded(R.sweep_metrics(d, ["location", "head"], "y", "score", SWEEP, both_classes=True), ["avg_precision"])
 
 

@@ -3,6 +3,7 @@ import math
 import random
 from hashlib import md5
 
+import numpy as np
 import pytest
 
 from splicelake.operators import matching as M
@@ -95,3 +96,30 @@ def test_cut_drops_rows_but_keeps_reach(spark):
     kept = {r.splice_dist for r in M.cut_candidates(p, n, [("grp",), ("gene_id",)], True).collect()}
     # one positive: its own distance is a nearest candidate on both sides, nothing else can be reached
     assert kept == {500}
+
+
+@pytest.mark.parametrize("cap", [None, 30])
+def test_halved_tables_match_as_well_as_whole_ones(monkeypatch, cap):
+    g = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = np.sort(g.integers(0, 300, g.integers(1, 40))).astype(float), np.sort(g.integers(0, 300, g.integers(1, 60))).astype(float)
+        totals = []
+        for cells in (1 << 22, 8):
+            monkeypatch.setattr(M, "CELLS", cells)
+            pairs = M.line_assignment(a, b, cap)
+            i, j = [p[0] for p in pairs], [p[1] for p in pairs]
+            assert len(set(i)) == len(i) and len(set(j)) == len(j) and (cap is None or all(abs(a[x] - b[y]) <= cap for x, y in pairs))
+            totals.append((len(pairs), round(float(np.abs(np.log10(a[i] + 1) - np.log10(b[j] + 1)).sum()), 9)))
+        assert totals[0] == totals[1]
+
+
+def test_long_lines_keep_little_memory():
+    import tracemalloc
+
+    g = np.random.default_rng(5)
+    a, b = np.sort(g.integers(0, 10**6, 3000)).astype(float), np.sort(g.integers(0, 10**6, 9000)).astype(float)
+    tracemalloc.start()
+    pairs = M.line_assignment(a, b, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 3000 and peak < 20e6  # the table has 27 million cells
