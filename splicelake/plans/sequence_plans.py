@@ -8,6 +8,7 @@ from splicelake.functions.stats import correlation
 from splicelake.functions import sequence as Q
 from splicelake.functions import tracks as K
 from splicelake.operators import windows as W
+from splicelake.operators.pieces import edited_rows
 from splicelake.plans.metric_plans import rounded
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, table, view
@@ -79,7 +80,7 @@ def variant_shifts(spark, sf):
 
 @query()
 def adjusted_sites(spark, sf):
-    a = W.adjust_rows(_rows(spark, sf))
+    a = edited_rows(_rows(spark, sf), seq=None)
     return a.select("uid", "gend", "original_end", "n_dropped", F.array_join("exon_ends", ",").alias("exon_ends"), F.array_join("exon_starts", ",").alias("exon_starts"))
 
 
@@ -95,10 +96,7 @@ def snv_sequences(spark, sf):
 
 @query()
 def mutated_sequences(spark, sf):
-    d = _rows(spark, sf).withColumn("_v", W.inside_interval(W.parse_variants(F.col("variant_list")), F.col("gstart"), F.col("gend")))
-    d = d.withColumn("_u", W.usable_variants(F.col("_v"), F.col("seq"), F.col("gstart")))
-    s = W.apply_variants(F.col("_u"), F.col("seq"), F.col("gstart"))
-    return d.select("uid", s.alias("seq"), F.size("_v").alias("n_variants"), F.size("_u").alias("n_applied"))
+    return edited_rows(_rows(spark, sf), positions=()).select("uid", "seq", "n_variants", "n_applied")
 
 
 LAB = """, st AS (SELECT uid, strand, gstart, gend, 1000 + i * 300 - 50 AS p, 'e' AS t FROM hr CROSS JOIN LATERAL (SELECT unnest(range(1, CAST(greatest(length(seq) // 300, 1) AS BIGINT) + 1)) AS i) r UNION ALL SELECT uid, strand, gstart, gend, 1000 + i * 300, 's' FROM hr CROSS JOIN LATERAL (SELECT unnest(range(1, CAST(greatest(length(seq) // 300, 1) AS BIGINT) + 1)) AS i) r),
