@@ -21,7 +21,7 @@ HEADLINE = [
     "gene_read_counts", "sites_per_haplotype", "phased_haplotypes", "intron_gene", "nearest_boundary", "flanking_introns", "overlap_islands", "ranking_metrics_by_head", "top_k_accuracy",
     "regression_by_subset", "spearman_by_sample", "metrics_by_subset", "binned_regression", "ratio_binned_classification", "pooled_metrics", "calibration", "credible_set_statistics",
     "tissue_medians", "tiered_matches", "optimal_matches", "site_tissue_stats", "tissue_specificity", "residuals_by_quantile", "expression_tpm", "size_factors", "transcript_splits",
-    "labelled_windows", "variant_windows", "delta_scores", "attribution_spread", "metrics_by_location", "effect_threshold_sweep", "paired_bootstrap",
+    "labelled_windows", "variant_windows", "delta_scores", "attribution_spread", "metrics_by_location", "effect_threshold_sweep",
 ]
 
 

@@ -103,6 +103,19 @@ LAB = """, st AS (SELECT uid, strand, gstart, gend, 1000 + i * 300 - 50 AS p, 'e
 lb AS (SELECT uid, CASE WHEN strand = '+' THEN p - gstart ELSE gend - p END AS off, CASE WHEN p % 7 = 0 THEN 0 WHEN (t = 'e') = (strand = '+') THEN 2 ELSE 1 END AS cls, CASE WHEN p % 7 = 0 THEN 777.0 ELSE round(p % 10 / 10, 1) END AS ssu FROM st WHERE p BETWEEN gstart AND gend)"""
 
 
+POP = LAB.replace("AS ssu FROM st", "AS ssu, round(p % 9 / 9, 6) AS pop, round(p % 10 / 10 - p % 9 / 9, 6) AS diff FROM st")
+
+
+@query(cte("v_seq") + ROWS + POP + " SELECT uid, CAST(off AS INT) AS off, cls, CAST(ssu AS DOUBLE) AS ssu, pop, diff FROM lb")
+def population_offsets(spark, sf):
+    """Labels with two more values for each site: the population's usage and the difference from it."""
+    r = _rows(spark, sf)
+    for side in ("exon_end", "exon_start"):
+        r = r.withColumn(f"{side}_pop", F.transform(f"{side}s", lambda p: p % 9 / 9)).withColumn(f"{side}_diff", F.transform(f"{side}s", lambda p: p % 10 / 10 - p % 9 / 9))
+    labels = W.site_labels(r, extra=("pop", "diff"))
+    return labels.select("uid", "off", "cls", "ssu", F.round("pop", 6).alias("pop"), F.round("diff", 6).alias("diff"))
+
+
 @query(cte("v_seq") + ROWS + LAB + " SELECT uid, CAST(off AS INT) AS off, cls, CAST(ssu AS DOUBLE) AS ssu FROM lb")
 def site_offsets(spark, sf):
     return W.site_labels(_rows(spark, sf)).select("uid", "off", "cls", F.round("ssu", 1).alias("ssu"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from splicelake.operators import matching as M
+from splicelake.operators import strata as T
 from splicelake.session import written
 
 COLS = "tissue string, var_key string, gene_id string, ref string, alt string, splice_dist long, bin int"
@@ -123,3 +124,14 @@ def test_long_lines_keep_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(pairs) == 3000 and peak < 20e6  # the table has 27 million cells
+
+
+def test_report_and_scheme_comparison(spark):
+    cols = "tissue string, pos_var_key string, gene_id string, neg_var_key string, neg_var_key_ideal string, tier int, ideal_tier int, pos_pip double, pos_dist long, neg_dist long"
+    rows = [("t", f"p{i}", "g", f"n{i}" if k else None, f"n{i}" if k else None, k or None, k or None, 0.9, 1, 1 if k else None) for i, k in enumerate([1, 1, 2, 3, 4, 99, 0, 0])] + [("u", "p9", "g", None, None, None, None, 0.9, 1, None)]
+    got = {r.tissue: r.asDict() for r in M.match_report(spark.createDataFrame(rows, cols)).collect()}
+    assert got["t"] == {"tissue": "t", "n_pos": 8, "n_matched": 6, "tier_1": 2, "tier_2": 1, "tier_3": 1, "tier_4": 1, "tier_99": 1}
+    assert (got["u"]["n_pos"], got["u"]["n_matched"], got["u"]["tier_1"]) == (1, 0, 0)
+    area = lambda values: spark.createDataFrame(values, "head string, median_pr_area double")
+    both = {r.head: (r.first_area, r.second_area, round(r.delta, 12)) for r in T.scheme_comparison(area([("a", 0.5), ("b", 0.7), ("c", 0.1)]), area([("a", 0.6), ("b", 0.4)])).collect()}
+    assert both == {"a": (0.5, 0.6, 0.1), "b": (0.7, 0.4, -0.3)}
