@@ -27,8 +27,8 @@ SQL_COLS = "n_pos, n_neg, " + ", ".join(f"round({c}, 6) AS {c}" for c in METRIC_
 
 
 def rounded(df, cols=METRIC_COLS):
-    # means of short decimals often end in a 5 at the seventh digit, so error means keep nine
-    return df.withColumns({c: F.round(c, 9 if c in ("mse", "mae") else 6) for c in cols})
+    # means of short decimals often end in a 5 at the seventh digit, so error means keep eleven
+    return df.withColumns({c: F.round(c, 11 if c in ("mse", "mae") else 6) for c in cols})
 
 
 @query(cte("v_label_score") + sql_metrics("v_label_score", "stratum") + f" SELECT stratum, {SQL_COLS} FROM mt")
@@ -51,7 +51,7 @@ def top_k_accuracy(spark, sf):
     return t.withColumn("accuracy", F.round("accuracy", 6))
 
 
-REG = "count(*) AS n, round(CASE WHEN stddev_pop({t}) > 0 AND stddev_pop({p}) > 0 THEN covar_pop({t}, {p}) / (stddev_pop({t}) * stddev_pop({p})) END, 6) AS pearson, round(CASE WHEN var_pop({t}) > 0 THEN 1 - sum(({t} - {p}) * ({t} - {p})) / (var_pop({t}) * count(*)) END, 6) AS r2, round(avg(({t} - {p}) * ({t} - {p})), 9) AS mse, round(avg(abs({t} - {p})), 9) AS mae"
+REG = "count(*) AS n, round(CASE WHEN stddev_pop({t}) > 0 AND stddev_pop({p}) > 0 THEN covar_pop({t}, {p}) / (stddev_pop({t}) * stddev_pop({p})) END, 6) AS pearson, round(CASE WHEN var_pop({t}) > 0 THEN 1 - sum(({t} - {p}) * ({t} - {p})) / (var_pop({t}) * count(*)) END, 6) AS r2, round(avg(({t} - {p}) * ({t} - {p})), 11) AS mse, round(avg(abs({t} - {p})), 11) AS mae"
 REG_COLS = ["pearson", "r2", "mse", "mae"]
 
 
