@@ -15,29 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splicelake.llm.blocks import prepared
+from splicelake.llm.blocks import prepared, stored
 from splicelake.llm.curve import hilbert_index, positions
 
 BITS = 5
 
 
-def _level(df: DataFrame, c: str) -> Column:
-    """Numbers in steps of a quarter of a power of two, others as they are."""
-    numeric = isinstance(df.schema[c].dataType, T.NumericType)
-    return F.floor(F.log2(1 + F.greatest(F.lit(0), F.col(c))) * 4) if numeric else F.col(c).cast("string")
+def _level(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """(number, text): numbers in steps of a quarter of a power of two, others as they are; the part that doesn't apply is null."""
+    if isinstance(df.schema[c].dataType, T.NumericType):
+        return F.floor(F.log2(1 + F.greatest(F.lit(0), F.col(c))) * 4).cast("long"), F.lit(None).cast("string")
+    return F.lit(None).cast("long"), F.col(c).cast("string")
 
 
 def bucketed(df: DataFrame, columns: list[str], bits: int = BITS) -> DataFrame:
-    """Adds bucket_<column>: floor of the share of rows with a smaller level, times 2 ** bits."""
-    for c in columns:
-        df = df.withColumn(f"level_{c}", _level(df, c))
-    for c in columns:
-        level = f"level_{c}"
-        counts = df.groupBy(level).agg(F.count("*").alias("rows"))
-        total = counts.agg(F.sum("rows").alias("total"))
-        placed = positions(counts, [level], "rows", "levels").withColumn("total", total.scalar())
-        code = placed.select(F.col(level).alias("own_level"), F.expr(f"(before * {1 << bits}) div total").cast("int").alias(f"bucket_{c}"))
-        df = df.join(code, F.col(level).eqNullSafe(F.col("own_level")), "left").drop("own_level", level)
+    """Adds bucket_<column>: floor of the share of rows with a smaller level, times 2 ** bits.
+
+    The levels of all columns are counted in one pass and placed in one order: column i begins after i times the rows. ``df`` is read twice.
+    """
+    levels = [F.struct(F.lit(i).alias("dim"), number.alias("number"), text.alias("text")) for i, (number, text) in enumerate(_level(df, c) for c in columns)]
+    counts = df.select(F.inline(F.array(*levels))).groupBy("dim", "number", "text").agg(F.count("*").alias("rows"))
+    placed = positions(counts, ["dim", "number", "text"], "rows", "levels")
+    total = placed.where("dim = 0").agg(F.sum("rows").alias("total"))
+    placed = placed.withColumn("total", total.scalar())
+    for i, c in enumerate(columns):
+        number, text = _level(df, c)
+        code = placed.where(F.col("dim") == i).select(F.col("number").alias("own_number"), F.col("text").alias("own_text"), F.expr(f"((before - {i} * total) * {1 << bits}) div total").cast("int").alias(f"bucket_{c}"))
+        df = df.join(code, number.eqNullSafe(F.col("own_number")) & text.eqNullSafe(F.col("own_text")), "left").drop("own_number", "own_text")
     return df
 
 
@@ -57,6 +61,7 @@ def sharded(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col
     """id, size, text_crc32, curve, shard, slot; shards differ by one row at most (law ``rows``)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(c) for c in dimensions if c != "size"])
+    rows = stored(rows, "narrow")  # the texts are read once
     placed = along_curve(bucketed(rows, list(dimensions)), [f"bucket_{c}" for c in dimensions])
     placed = placed.select("id", "size", "text_crc32", "curve", F.lit(1).cast("long").alias("one"), F.xxhash64("id").alias("tie"))
     placed = positions(placed, ["curve", "text_crc32", "tie"], "one", "curve")
