@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.operators.ordered import lookup, running
+from splicelake.session import written
 
 # Intervals longer than this many fine bins go to the coarse level.
 _FINE_SPAN = 16
@@ -118,31 +118,76 @@ def overlap_islands(intervals: DataFrame, by: Sequence[str], start: str, end: st
     return lookup(intervals, isl, [*by, start])
 
 
-def resolve_overlaps(intervals: DataFrame, by: Sequence[str], start: str = "gstart", end: str = "gend", ident: str = "gene_id") -> DataFrame:
+def resolve_overlaps(intervals: DataFrame, by: Sequence[str], start: str = "gstart", end: str = "gend", ident: str = "gene_id", chunk_rows: int = 200_000) -> DataFrame:
     """Trim or drop overlapping intervals until none is left.
 
-    Only intervals of one island influence each other. Single-interval islands skip Python; the others are folded
-    island by island.
+    A pass settles each interval against the last one before it, in order of the starts; passes go on until one finds no overlap. The order
+    is cut into chunks of about ``chunk_rows`` intervals, however crowded a stretch is.
     """
     by = list(by)
-    d = overlap_islands(intervals.select(*by, start, end, ident), by, start, end)
-    size = d.groupBy(*by, "island").agg(F.count("*").alias("_n"))
-    d = lookup(d, size, [*by, "island"])
     cols = [*by, start, end, ident]
-    alone = d.filter("_n = 1").select(*cols)
-    schema = d.select(*cols).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, rows = None, list(pdf.sort_values([start, end, ident])[[start, end, ident]].itertuples(index=False, name=None))
-        while rows != before:
-            before, rows = rows, reduce(_add_interval, sorted(rows, key=itemgetter(0)), [])
-        out = pd.DataFrame(rows, columns=[start, end, ident])
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[cols]
-
-    crowded = d.filter("_n > 1").groupBy(*by, "island").applyInPandas(fold, schema)
-    return alone.unionByName(crowded)
+    d, order = intervals.select(*cols), [start, end, ident]
+    n_chunks = max(1, -(-d.count() // chunk_rows))
+    while True:
+        d, n_settled = _settle_once(d, by, cols, order, n_chunks)
+        if not n_settled:
+            return d.select(*cols)
+        # equal starts keep the order of the pass before
+        order = [start, "_chunk", "_idx"]
+
+
+def _settle_once(d: DataFrame, by: list[str], cols: list[str], order: list[str], n_chunks: int) -> tuple[DataFrame, int]:
+    """One pass over all chunks, and the number of overlaps it has settled.
+
+    What a chunk needs to know of the rows before it is one interval, the last one kept. All chunks first start without it. Where the chunk
+    before ends in an interval that reaches into a chunk, that chunk alone is settled again from there, until no chunk begins with
+    another interval than it was settled from. Only these last intervals, one for each chunk, come to the driver.
+    """
+    k = len(by)
+    placed = d.repartitionByRange(n_chunks, *by, *order).sortWithinPartitions(*by, *order).select(*cols, F.monotonically_increasing_id().alias("_place"))
+    placed = written(placed.withColumn("_chunk", F.shiftright("_place", 33)), "intervals")
+    first_row = F.min_by(F.struct(*cols), "_place")
+    heads = {r["_chunk"]: tuple(r["first"]) for r in placed.groupBy("_chunk").agg(first_row.alias("first")).collect()}
+    chunks, begins, todo, rounds, lasts = sorted(heads), {}, sorted(heads), [], {}
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in placed.select(*cols).schema)}, _chunk long, _idx long, _last boolean, _n long"
+    while todo:
+        out = placed.filter(F.col("_chunk").isin(todo)).groupBy("_chunk").applyInPandas(_chunk_fold(dict(begins), cols, k), schema)
+        out = written(out, "settled")
+        rounds.append(out)
+        for r in out.filter("_last").collect():
+            lasts[r["_chunk"]] = (len(rounds) - 1, tuple(r[c] for c in cols), r["_n"])
+        reached = {}
+        for before, chunk in zip(chunks, chunks[1:]):
+            last, head = lasts[before][1], heads[chunk]
+            if last[:k] == head[:k] and head[k] < last[k + 1]:
+                reached[chunk] = last
+        todo = [c for c in chunks if reached.get(c) != begins.get(c)]
+        begins = reached
+    handed_on = [before for before, chunk in zip(chunks, chunks[1:]) if chunk in begins]
+    parts = [out.filter(F.col("_chunk").isin([c for c in chunks if lasts[c][0] == i])) for i, out in enumerate(rounds)]
+    result = reduce(DataFrame.unionByName, parts) if parts else d.select(*cols, *[F.lit(0).cast("long").alias(c) for c in ("_chunk", "_idx")], F.lit(False).alias("_last"))
+    return result.filter(~(F.col("_last") & F.col("_chunk").isin(handed_on))).drop("_last", "_n"), sum(n for _, _, n in lasts.values())
+
+
+def _chunk_fold(begins: dict[int, tuple], cols: list[str], k: int):
+    """Settles the rows of a chunk in order, from the interval that reaches into it, if there is one."""
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, done, group, n = [], [], None, 0
+        if key[0] in begins:
+            group, done = begins[key[0]][:k], [begins[key[0]][k:]]
+        for row in pdf.sort_values("_place")[cols].itertuples(index=False, name=None):
+            if row[:k] != group:
+                out += [(*group, *x) for x in done] if group is not None else []
+                group, done = row[:k], []
+            n += bool(done) and row[k] < done[-1][1]
+            done = _add_interval(done, row[k:])
+        out += [(*group, *x) for x in done]
+        res = pd.DataFrame(out, columns=cols)
+        idx = range(len(res))
+        return res.assign(_chunk=key[0], _idx=idx, _last=[i == len(res) - 1 for i in idx], _n=n)
+
+    return fold
 
 
 def _add_interval(done: list[tuple], new: tuple) -> list[tuple]:

@@ -81,6 +81,35 @@ def test_overlap_resolution(spark):
     assert all((a, b) == given[g] for a, b, g in got if g in alone) and alone <= {g for _, _, g in got}
 
 
+def _one_list(rows):
+    """The rule on whole lists: passes over all intervals of a group until nothing overlaps."""
+    before, rows = None, sorted(rows)
+    while rows != before:
+        before, done = rows, []
+        for x in sorted(rows, key=lambda x: x[0]):
+            done = I._add_interval(done, x)
+        rows = done
+    return rows
+
+
+@pytest.mark.parametrize("chunk_rows", [3, 40])
+def test_overlap_resolution_in_chunks(spark, chunk_rows):
+    r = random.Random(31)
+    groups = {("c1", "+"): (2000, 150), ("c1", "-"): (400, 60), (None, "+"): (300, 20)}
+    ivs = [(c, s, a, a + r.randrange(1, 120), f"g{i:03d}") for (c, s), (span, n) in groups.items() for i, a in enumerate(r.randrange(span) for _ in range(n))]
+    # a chain that hands an interval on through many chunks, and one interval over all of it
+    ivs += [("c2", "+", 10 * i, 10 * i + 15 + i % 3, f"h{i:03d}") for i in range(40)] + [("c3", "+", 0, 1000, "whole")] + [("c3", "+", 5 * i, 5 * i + 9, f"k{i:03d}") for i in range(30)]
+    d = spark.createDataFrame(ivs, "region string, strand string, gstart int, gend int, gene_id string").repartition(3)
+    got = sorted(((*x,) for x in I.resolve_overlaps(d, ["region", "strand"], chunk_rows=chunk_rows).collect()), key=str)
+    want = [(*g, *x) for g in {v[:2] for v in ivs} for x in _one_list([v[2:] for v in ivs if v[:2] == g])]
+    assert got == sorted(want, key=str)
+
+
+def test_overlap_resolution_of_nothing(spark):
+    d = spark.createDataFrame([], "region string, strand string, gstart int, gend int, gene_id string")
+    assert I.resolve_overlaps(d, ["region", "strand"]).collect() == []
+
+
 def test_touching_intervals_are_separate_islands(spark):
     d = spark.createDataFrame([("c", 1, 10, "a"), ("c", 10, 20, "b"), ("c", 15, 30, "d"), ("c", 16, 18, "e"), ("c", 40, 50, "f")], "region string, gstart int, gend int, gene_id string")
     for w in (8, 1 << 22):
