@@ -236,6 +236,13 @@ def site_windows(sites: DataFrame, chunks: DataFrame, contig_lengths: DataFrame,
     return j.withColumn("window", F.when(F.col("reason") == "ok", oriented(F.upper("window"), F.col("strand")))).drop("lo", "hi", "n_bases")
 
 
+def with_site_statistics(windows: DataFrame, statistics: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Windows with the statistics of their sites; a window whose site has none keeps nulls and gets the reason no_statistics if it was ok."""
+    own = statistics.select(*key, *values, F.lit(True).alias("_has"))
+    j = windows.join(own, list(key), "left")
+    return j.withColumn("reason", F.when((F.col("reason") == "ok") & F.col("_has").isNull(), "no_statistics").otherwise(F.col("reason"))).drop("_has")
+
+
 def reason_counts(windows: DataFrame, column: str = "reason") -> DataFrame:
     return windows.groupBy(column).agg(F.count("*").alias("n"))
 

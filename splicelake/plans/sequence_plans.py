@@ -9,6 +9,7 @@ from splicelake.functions import sequence as Q
 from splicelake.functions import tracks as K
 from splicelake.operators import windows as W
 from splicelake.operators.pieces import edited_rows
+from splicelake.operators.usage import site_statistics
 from splicelake.plans.metric_plans import rounded
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, table, view
@@ -209,6 +210,21 @@ def site_windows(spark, sf):
     return w.select("k", "reason", *_digests(w, "window"))
 
 
+VALUES = ("n", "mean", "min", "max", "iqr", "var", "gini")
+
+
+@query(cte("v_seq", "v_tissue_site") + SQ + SITES + """, us AS (SELECT pos, sample, avg(ssu) AS ssu FROM v_tissue_site GROUP BY ALL), ur AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY ssu, sample) AS rk FROM us WHERE ssu IS NOT NULL),
+ss AS (SELECT pos, count(*) AS n, avg(ssu) AS mean, min(ssu) AS min, max(ssu) AS max, quantile_cont(ssu, 0.75) - quantile_cont(ssu, 0.25) AS iqr, var_pop(ssu) AS var,
+CASE WHEN count(*) < 2 OR sum(ssu) = 0 THEN 0 ELSE (2 * sum(rk * ssu) - (count(*) + 1) * sum(ssu)) / (count(*) * sum(ssu)) END AS gini FROM ur GROUP BY pos)
+SELECT k, CASE WHEN reason = 'ok' AND n IS NULL THEN 'no_statistics' ELSE reason END AS reason, md5(w) AS window_md5, n, """ + ", ".join(f"round({c}, 6) AS {c}" for c in VALUES[1:]) + " FROM so LEFT JOIN ss ON pos = k % 20000")
+def site_windows_with_statistics(spark, sf):
+    """Each window with n, mean, range, IQR, variance and Gini of its site's usage over the samples."""
+    u = view(spark, sf, "v_tissue_site").groupBy("pos", "sample").agg(F.avg("ssu").alias("ssu"))
+    w = _site_windows(spark, sf).withColumn("pos", (F.col("k") % 20000).cast("int"))
+    d = W.with_site_statistics(w, site_statistics(u, ["pos"]), ["pos"], VALUES)
+    return d.select("k", "reason", F.md5("window").alias("window_md5"), "n", *[F.round(c, 6).alias(c) for c in VALUES[1:]])
+
+
 @query(cte("v_seq") + SQ + SITES + " SELECT reason, count(*) AS n FROM so GROUP BY 1")
 def skip_reasons(spark, sf):
     return W.reason_counts(_site_windows(spark, sf))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,15 +56,28 @@ def read_ids(spark: SparkSession, path: str, drop: str | None = None) -> DataFra
     return L.parse_ids(read_lines(spark, path), drop)
 
 
-def write_vcf(variants: DataFrame, path: str, info_columns: dict[str, str]) -> None:
-    """A folder of record parts sorted by position, with the header as a part of its own that sorts first."""
+def write_vcf(variants: DataFrame, path: str, info_columns: dict[str, str], files: int | None = None) -> None:
+    """VCF files in position order, each with the header first, so each is a valid file by itself.
+
+    ``files`` bounds their number; 1 gives one file, written by one task. File names sort as the positions do. Without rows there is
+    one file with the header alone.
+    """
     spark = variants.sparkSession
-    records = L.format_vcf(variants, info_columns)
-    spark.createDataFrame([(h,) for h in L.VCF_HEADER], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/0_header")
-    order = variants.select("region", "pos").columns
-    keyed = variants.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    records = L.format_vcf(keyed, info_columns)
-    records.write.mode("overwrite").text(f"{path}/1_records")
+    header = "\n".join(L.VCF_HEADER)
+    cut = variants.repartitionByRange(files, "region", "pos") if files else variants.repartitionByRange("region", "pos")
+    records = L.format_vcf(cut.sortWithinPartitions("region", "pos"), info_columns)
+
+    def with_header(batches):
+        first = next(batches, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([header], first.schema.field(0).type)], schema=first.schema)
+            yield first
+            yield from batches
+
+    # a row with the header is written as its lines
+    records.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+    if spark.read.text(path).isEmpty():
+        spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None, sep: str = "\t", header: bool = True) -> DataFrame:

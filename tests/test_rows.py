@@ -202,3 +202,20 @@ def test_reporter_table(spark):
     test, truth = spark.createDataFrame([("c", 2)], s), spark.createDataFrame([("c", 2, 0.4), ("c", 2, 0.4)], s + ", y double")
     got = sorted(reporter_table(train, test, truth, ["chrom", "pos"], "y").collect())
     assert [tuple(r) for r in got] == [("c", 1, 0.1, "train"), ("c", 2, 0.4, "test")]
+
+
+def test_each_variant_file_is_whole(spark, tmp_path):
+    from splicelake.sources import files
+    from splicelake.sources import lines as L
+
+    rows = [(f"chr{i % 3}", 1000 - i, "A", "G", None if i % 4 else f"t{i}") for i in range(200)]
+    v = spark.createDataFrame(rows, "region string, pos int, ref string, alt string, tissue string").repartition(4)
+    for n, given in ((3, v), (1, v), (2, v.limit(0))):
+        path = tmp_path / f"vcf{n}"
+        files.write_vcf(given, str(path), {"TISSUE": "tissue"}, n)
+        parts = [p.read_text().splitlines() for p in sorted(path.glob("part-*")) if p.stat().st_size]
+        body = [r.split("\t") for p in parts for r in p[len(L.VCF_HEADER):]]
+        assert 1 <= len(parts) <= n and all(p[: len(L.VCF_HEADER)] == L.VCF_HEADER for p in parts)
+        want = sorted((c, x) for c, x, *_ in rows) if n != 2 else []
+        assert [(r[0], int(r[1])) for r in body] == want and all(len(r) == 8 for r in body)
+        assert files.read_vcf(spark, str(path)).count() == len(want)
