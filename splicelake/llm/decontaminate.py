@@ -8,7 +8,8 @@ proposals from the rarest to the most frequent. ``slop`` makes proximity matches
 at most so many places off its own place. All starts that the rarest word allows are tried, so it doesn't matter which word that is; one
 place may serve equal words. A word that is left out altogether is no proximity match.
 
-A segment is worked on where it lies, so no posting is shuffled; what grows with the benchmark is the number of passes.
+A segment is worked on where it lies, so no posting is shuffled. Each block of the benchmark is a job of its own that adds its matches to
+a stored table: with the benchmark grows the number of passes, not the plan, and one block at a time is held.
 
 Null or empty texts have no words and match nothing. Repeated rows each get a row of their own. Rows of the benchmark with a null
 id mark words as hit and are not listed. Other columns are not looked at.
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from splicelake.llm.blocks import ALNUM, Block, Words, broadcast_bounded, covered, lists, pieces, prepared, ranges, row_keys, runs, stored
+from splicelake.session import scratch_dir
 
 WINDOW = 13
 MAX_SLOP = 8
@@ -142,14 +144,16 @@ def matches(index: DataFrame, bench: DataFrame, item_col: str = "item_id", text_
         T.StructField("segment", T.LongType()), T.StructField("ordinal", T.IntegerType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))),
         T.StructField("items", T.ArrayType(item_type)), T.StructField("near", T.ArrayType(item_type)),
     ])
-    out = spark.createDataFrame([], schema)
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES)
+    path = scratch_dir(spark, "matches")
     for i in range(n_blocks):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == i).collect()  # about BLOCK_BYTES
         shared = broadcast_bounded(spark, windows_of([tuple(r) for r in rows], window))
-        out = out.unionByName(index.select("segment", "n_words", "words", "n_places", "places").mapInArrow(_probe(shared, slop, item_type), schema))
-    return out
+        hits = index.select("segment", "n_words", "words", "n_places", "places").mapInArrow(_probe(shared, slop, item_type), schema)
+        hits.write.mode("append").option("compression", "zstd").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(schema).parquet(path) if n_blocks else spark.createDataFrame([], schema)
 
 
 def _probe(shared, slop: int, item_type: T.DataType):
