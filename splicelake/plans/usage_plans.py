@@ -9,6 +9,7 @@ from splicelake.operators import evidence as E
 from splicelake.operators import usage as U
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, view
+from splicelake.session import written
 
 KEY = ["region", "strand", "site", "site_type"]
 SAMPLES = [f"S{i}" for i in range(10)]
@@ -209,18 +210,18 @@ f2 AS (SELECT *, (l1 = t OR r1 = t) AS a1, (l1 = t OR r1 = t OR l2 = t OR r2 = t
 f3 AS (SELECT *, (c1 OR c2x) AS c2, (p <= t AND b1 > t + 1) OR (s2 <= t AND s2 + (b3 - s2) > t + 1 AND s2 <= t AND (b3 > t + 1) AND NOT (t + 1 >= s2 + (b3 - s2))) AS dummy FROM f2)"""
 
 
-def _all_gaps(reads):
-    r = E.collapse_reads(reads).select("sample", "region", "n_reads", F.explode(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar")))).alias("g"))
+def _all_gaps(collapsed):
+    r = collapsed.select("sample", "region", "n_reads", F.explode(E.gaps(F.col("walk"))).alias("g"))
     return r.select("sample", "region", F.col("g.left").alias("jleft"), F.col("g.right").alias("jright"), F.col("n_reads").alias("n"))
 
 
 def _evidence(spark, sf):
-    reads = view(spark, sf, "v_read")
+    reads = written(E.with_walk(E.collapse_reads(view(spark, sf, "v_read"))), "reads")
     e = U.edges(_all_gaps(reads).withColumn("strand", F.lit(".")))
     pa = e.groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
     co = U.competitors(e).groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("competitor")).alias("competitors"))
     sites = pa.join(co, ["sample", "region", "strand", "site"], "left").withColumn("competitors", F.coalesce("competitors", F.array().cast("array<int>")))
-    return E.classify(E.collapse_reads(reads), sites, None, bin_width=256), e
+    return E.classify(reads, sites, None, bin_width=256), e
 
 
 LADDER = """, bl AS (SELECT *, (p <= t AND b1 > t + 1) OR (s2 <= t AND b2 > t + 1) OR (b2 <= t AND b3 > t + 1) OR (s4 <= t AND stop > t + 1) AS be FROM (SELECT f3.*, s2 + (b3 - s2 - 2) // 2 + 0 AS z, CAST((b3 - s2 - 8) // 2 + 3 + s2 AS INT) AS b2 FROM f3) y),
@@ -261,8 +262,8 @@ SELECT sample, region, site, h.alpha IS NOT NULL AS measured, coalesce(h.alpha,
 round(CASE WHEN coalesce(h.alpha, 0) > 0 THEN 1.0 ELSE 0.0 END, 6) AS sse FROM st CROSS JOIN sm LEFT JOIN h USING (sample, region, site) LEFT JOIN ev USING (sample, region, site)""")
 def filled_samples(spark, sf):
     reads = view(spark, sf, "v_read")
-    r = E.collapse_reads(reads)
-    left = F.get(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar"))), F.lit(0))["left"]
+    r = written(E.with_walk(E.collapse_reads(reads)), "reads")
+    left = F.get(E.gaps(F.col("walk")), F.lit(0))["left"]
     have = r.withColumn("site", left).groupBy("sample", "region", "site").agg(F.sum("n_reads").alias("alpha"))
     have = have.select("sample", "region", F.lit(".").alias("strand"), "site", "alpha", F.lit(0).alias("beta1"), F.lit(0).alias("beta2"))
     catalogue = have.select("region", "strand", "site").distinct()
