@@ -2,7 +2,7 @@
 
 Positives: tissue, var_key, gene_id, ref, alt, splice_dist, pip. Negatives: the same without pip. Both carry ``bin``
 (null when the gene has none). All candidates of a positive share its (tissue, bin), or its gene when there is no
-bin, so groups are independent. Large inputs are first cut, exactly, to the negatives that any positive can reach:
+bin, so groups are independent. Larger groups are first cut, exactly, to the negatives that any positive can reach:
 with P positives in a group no positive ever looks past its P nearest candidates on either side in any tier.
 """
 
@@ -12,15 +12,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.operators.ordered import CHUNK, exact_percentiles, lookup, running, with_chunks
-from splicelake.session import SINGLE_CHUNK_BYTES, estimated_bytes
+from splicelake.session import written
 
 # Tier numbers of the candidate classes, and the number used for optimal matching.
 TIERS = {1: ("gene_id", "ref", "alt"), 2: ("gene_id",), 3: ("grp", "ref", "alt"), 4: ("grp",)}
 OPTIMAL_TIER = 99
+#: Negatives of a group that a task takes whole, with a few hundred bytes each.
+GROUP_ROWS = 1 << 22
 
 
 def match_order(var_key):
@@ -72,8 +76,8 @@ def reachable(pos: DataFrame, neg: DataFrame, by: Sequence[str], group: Sequence
 
 
 def cut_candidates(pos: DataFrame, neg: DataFrame, classes: Sequence[Sequence[str]], force: bool = False) -> DataFrame:
-    """Union of the reachable negatives of all classes; small inputs pass whole (the result is the same)."""
-    if not force and estimated_bytes(neg) < SINGLE_CHUNK_BYTES:
+    """Union of the reachable negatives of all classes; where no group has more than ``GROUP_ROWS``, all pass (the result is the same)."""
+    if not force and (neg.groupBy("tissue", "grp").count().agg(F.max("count")).first()[0] or 0) <= GROUP_ROWS:
         return neg
     parts = [reachable(pos, neg, ["tissue", *c], ["tissue", "grp"]) for c in classes]
     out = parts[0]
@@ -91,34 +95,107 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 
 class _Line:
-    """Candidates of one class on the distance line; taken ones are skipped through path-compressed links."""
-
-    def __init__(self, dist: np.ndarray, key: np.ndarray, rows: np.ndarray):
-        order = np.lexsort((key[rows], dist[rows]))
-        self.right = rows[order]
-        self.left = rows[np.lexsort((key[rows], -dist[rows]))]
-        self.rd, self.ld = dist[self.right], -dist[self.left]
-        self.skip = {True: np.arange(len(rows) + 1), False: np.arange(len(rows) + 1)}
-
-    def _free(self, side: bool, i: int, used: np.ndarray | None) -> int | None:
-        rows = self.right if side else self.left
-        if used is None:
-            return rows[i] if i < len(rows) else None
-        nxt, path = self.skip[side], []
-        while i < len(rows) and used[rows[i]]:
+    """Candidates of all classes of a tier, each class a stretch of the distance line; taken ones are skipped through path-compressed links.
+
+    ``right`` goes up from a distance, ``left`` down from it; classes below 0 take no part.
+    """
+
+    def __init__(self, classes: np.ndarray, dist: np.ndarray, place: np.ndarray, low: int, high: int):
+        self.low, self.high, self.width = low, high, high - low + 1
+        own = np.flatnonzero(classes >= 0)
+        classes, near = classes[own], dist[own] - low
+        self.rows, self.at, self.skip = {}, {}, {}
+        for side, along in ((True, near), (False, high - low - near)):
+            at = classes * self.width + along
+            order = np.lexsort((place[own], at))
+            self.rows[side], self.at[side] = own[order].astype(np.int32), at[order]
+            self.skip[side] = np.arange(len(own) + 1, dtype=np.int32)
+
+    def starts(self, side: bool, classes: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each positive the first candidate of its class on a side (equal distances are on the right), and where the class ends."""
+        along = dist - self.low if side else self.high - dist + 1
+        first = np.searchsorted(self.at[side], classes * self.width + along, "left")
+        end = np.searchsorted(self.at[side], (classes + 1) * self.width, "left")
+        return first, np.where(classes >= 0, end, 0)
+
+
+def _classes(pp: pa.Table, nn: pa.Table, tiers: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Class numbers of positives and negatives for each tier; -1 where a value is missing."""
+    codes = {}
+    for c in ("gene_id", "ref", "alt"):
+        values = pa.chunked_array([*pp.column(c).chunks, *nn.column(c).chunks], pp.schema.field(c).type).combine_chunks()
+        codes[c] = pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = {}
+    for tier in tiers:
+        total, missing = np.zeros(len(pp) + len(nn), np.int64), np.zeros(len(pp) + len(nn), bool)
+        for c in TIERS[tier]:
+            if c in codes:
+                total, missing = total * (codes[c].max(initial=0) + 1) + codes[c], missing | (codes[c] < 0)
+        total[missing] = -1
+        out[tier] = (total[: len(pp)], total[len(pp) :])
+    return out
+
+
+def _greedy(pp: pa.Table, nn: pa.Table, tiers: Sequence[int], cap: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the partner and its tier, and the same without earlier picks, for positives in their order; -1 and 0 where there is none."""
+    d, dist = (t.column("splice_dist").to_numpy().astype(np.int64) for t in (pp, nn))
+    n = len(d)
+    real, tier_of, ideal, ideal_tier = np.full(n, -1), np.zeros(n, np.int32), np.full(n, -1), np.zeros(n, np.int32)
+    if not n or not len(dist):
+        return real, tier_of, ideal, ideal_tier
+    # equal keys have one place
+    order = pc.sort_indices(nn.column("_k")).to_numpy()
+    keys = nn.column("_k").take(pa.array(order)).combine_chunks()
+    place = np.empty(len(nn), np.int64)
+    place[order] = np.concatenate([[0], np.cumsum(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))])
+    low, high = int(min(d.min(), dist.min())), int(max(d.max(), dist.max()))
+    lines, starts = {}, {}
+    for tier, (mine, theirs) in _classes(pp, nn, tiers).items():
+        line = lines[tier] = _Line(theirs, dist, place, low, high)
+        best, far = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+        for side in (True, False):
+            first, end = starts[tier, side] = line.starts(side, mine, d)
+            ok = np.flatnonzero(first < end)
+            i = line.rows[side][first[ok]]
+            gap = np.abs(dist[i] - d[ok])
+            nearer = (gap < far[ok]) | ((gap == far[ok]) & (place[i] < place[best[ok]]))
+            best[ok[nearer]], far[ok[nearer]] = i[nearer], gap[nearer]
+        line.at.clear()
+        found = (best >= 0) & (ideal_tier == 0) & (True if cap is None else far <= cap)
+        ideal[found], ideal_tier[found] = best[found], tier
+
+    used, dist_of, place_of = bytearray(len(nn)), memoryview(dist), memoryview(place)
+    rows = {(t, s): memoryview(lines[t].rows[s]) for t in lines for s in (True, False)}
+    skip = {(t, s): memoryview(lines[t].skip[s]) for t in lines for s in (True, False)}
+    starts = {k: (memoryview(first), memoryview(end)) for k, (first, end) in starts.items()}
+
+    def free(at: tuple[int, bool], q: int) -> int | None:
+        own, nxt = rows[at], skip[at]
+        i, end, path = starts[at][0][q], starts[at][1][q], []
+        while i < end and used[own[i]]:
             path.append(i)
-            i = max(i + 1, int(nxt[i]))
-        nxt[path] = i
-        return rows[i] if i < len(rows) else None
+            i = max(i + 1, nxt[i])
+        for j in path:
+            nxt[j] = i
+        return own[i] if i < end else None
 
-    def nearest(self, d: int, dist: np.ndarray, key: np.ndarray, used: np.ndarray | None, cap: float | None) -> int | None:
-        a = self._free(True, int(np.searchsorted(self.rd, d, "left")), used)
-        b = self._free(False, int(np.searchsorted(self.ld, -d, "right")), used)
-        found = [i for i in (a, b) if i is not None]
-        if not found:
-            return None
-        best = min(found, key=lambda i: (abs(dist[i] - d), key[i]))
-        return None if cap is not None and abs(dist[best] - d) > cap else best
+    for q, (i, first) in enumerate(zip(ideal.tolist(), ideal_tier.tolist())):
+        if not first:
+            continue
+        # below the tier of the ideal nothing is near enough, taken or not
+        for tier in (t for t in lines if t >= first):
+            if used[i]:
+                found = [x for x in (free((tier, True), q), free((tier, False), q)) if x is not None]
+                if not found:
+                    continue
+                best = min(found, key=lambda x: (abs(dist_of[x] - int(d[q])), place_of[x]))
+                if cap is not None and abs(dist_of[best] - int(d[q])) > cap:
+                    continue
+            else:
+                best = i
+            used[best], real[q], tier_of[q] = 1, best, tier
+            break
+    return real, tier_of, ideal, ideal_tier
 
 
 def tiered_matches(pos: DataFrame, neg: DataFrame, max_diff: float | None = None, force_cut: bool = False) -> DataFrame:
@@ -128,38 +205,22 @@ def tiered_matches(pos: DataFrame, neg: DataFrame, max_diff: float | None = None
     """
     p, n = with_group(pos), with_group(exclude_positives(neg, pos))
     n = cut_candidates(p, n, list(TIERS.values()), force_cut)
+    p = p.select("tissue", "grp", "var_key", "gene_id", "ref", "alt", F.col("splice_dist").cast("long").alias("splice_dist"), "pip", "_k", F.col("pip").cast("double").alias("_pip"))
+    n = n.select("tissue", "grp", "var_key", "gene_id", "ref", "alt", F.col("splice_dist").cast("long").alias("splice_dist"), "_k")
 
-    def match(key: tuple, pp: pd.DataFrame, nn: pd.DataFrame) -> pd.DataFrame:
-        nn = nn.reset_index(drop=True)
-        dist, order = nn["splice_dist"].to_numpy(np.int64), nn["_k"].to_numpy(str)
-        has_bin = str(key[1]).startswith("b")
-        lines: dict[tuple, _Line] = {}
-        for tier, cols in TIERS.items():
-            if tier > 2 and not has_bin:
-                continue
-            for k, rows in nn.groupby(list(cols), sort=False).indices.items():
-                lines[(tier, *(k if isinstance(k, tuple) else (k,)))] = _Line(dist, order, rows)
-        used = np.zeros(len(nn), dtype=bool)
-        out = []
-        for r in pp.sort_values(["pip", "_k"], ascending=[False, True]).to_dict("records"):
-            pick = {}
-            for kind, seen in (("ideal", None), ("real", used)):
-                for tier, cols in TIERS.items():
-                    line = lines.get((tier, *(r[c] for c in cols)))
-                    i = None if line is None else line.nearest(r["splice_dist"], dist, order, seen, max_diff)
-                    if i is not None:
-                        pick[kind] = (tier, i)
-                        break
-            real, ideal = pick.get("real"), pick.get("ideal")
-            if real:
-                used[real[1]] = True
-            name = lambda x: nn["var_key"].iat[x[1]] if x else None
-            out.append((key[0], r["var_key"], r["gene_id"], name(real), name(ideal or real), real[0] if real else None, ideal[0] if ideal else None, r["pip"], r["splice_dist"], dist[real[1]] if real else None))
-        cols = ["tissue", "pos_var_key", "gene_id", "neg_var_key", "neg_var_key_ideal", "tier", "ideal_tier", "pos_pip", "pos_dist", "neg_dist"]
-        res = pd.DataFrame(out, columns=cols)
-        return res.astype({"tier": "Int32", "ideal_tier": "Int32", "neg_dist": "Int64"})
+    def match(key: tuple[pa.Scalar, ...], pp: pa.Table, nn: pa.Table) -> pa.Table:
+        pp = pp.take(pc.sort_indices(pp, [("pip", "descending"), ("_k", "ascending")])).combine_chunks()
+        has_bin = str(key[1].as_py()).startswith("b")
+        real, tier, ideal, ideal_tier = _greedy(pp, nn, [t for t in TIERS if t <= 2 or has_bin], max_diff)
+        some = lambda x, missing: pa.array(x, mask=missing)
+        picked, best = some(real, real < 0), some(ideal, ideal < 0)
+        return pa.table({
+            "tissue": pa.array([key[0].as_py()] * len(pp), pa.string()), "pos_var_key": pp.column("var_key"), "gene_id": pp.column("gene_id"), "neg_var_key": nn.column("var_key").take(picked),
+            "neg_var_key_ideal": nn.column("var_key").take(best), "tier": some(tier, tier == 0), "ideal_tier": some(ideal_tier, ideal_tier == 0), "pos_pip": pp.column("_pip"),
+            "pos_dist": pp.column("splice_dist"), "neg_dist": nn.column("splice_dist").take(picked),
+        })
 
-    return _fresh(p).groupBy("tissue", "grp").cogroup(_fresh(n).groupBy("tissue", "grp")).applyInPandas(match, PAIR_SCHEMA)
+    return _fresh(p).groupBy("tissue", "grp").cogroup(_fresh(n).groupBy("tissue", "grp")).applyInArrow(match, PAIR_SCHEMA)
 
 
 def optimal_matches(pos: DataFrame, neg: DataFrame, max_diff: float | None = None, force_cut: bool = False) -> DataFrame:
@@ -257,7 +318,9 @@ def match_report(pairs: DataFrame) -> DataFrame:
 def match_quality(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How often the actual partner is not the ideal one, and the distance differences (mean, exact median, shares)."""
     by = list(by)
-    m = matched_only(pairs).withColumn("_d", F.abs(F.col("pos_dist") - F.col("neg_dist")))
+    m = matched_only(pairs).select(*by, "neg_var_key", "neg_var_key_ideal", F.abs(F.col("pos_dist") - F.col("neg_dist")).alias("_d"))
+    # the median takes several passes, none of which should match again
+    m = written(m, "matched")
     d = F.col("_d")
     q = m.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col("neg_var_key") != F.col("neg_var_key_ideal")).alias("n_not_ideal"),
