@@ -249,6 +249,55 @@ CELLS = 1 << 22
 
 
 def line_assignment(a: np.ndarray, b: np.ndarray, cap: float | None) -> list[tuple[int, int]]:
+    """Assignment of two sorted lists: most pairs first, then the least total log difference.
+
+    Without a cap, equal values are paired up first, and what is left falls into stretches that no pair has to leave. Where all pairs of
+    that keep the cap, no capped assignment is better; else one table of the whole lists decides.
+    """
+    if len(a) > len(b):
+        return sorted((i, j) for j, i in line_assignment(b, a, cap))
+    if len(a) == 0:
+        return []
+    # equal values: by the triangle inequality no total gets worse
+    first = np.searchsorted(b, a, "left")
+    nth = np.arange(len(a)) - np.searchsorted(a, a, "left")
+    equal = nth < np.searchsorted(b, a, "right") - first
+    pairs = list(zip(np.flatnonzero(equal).tolist(), (first + nth)[equal].tolist()))
+    left, right = np.flatnonzero(~equal), np.setdiff1d(np.arange(len(b)), (first + nth)[equal])
+    for i, j in _stretches(a[left], b[right]):
+        own, other = left[i], right[j]
+        pairs += [(int(own[x]), int(other[y])) for x, y in table_assignment(a[own], b[other], None)]
+    if cap is not None and any(abs(a[i] - b[j]) > cap for i, j in pairs):
+        return table_assignment(a, b, cap)
+    return sorted(pairs)
+
+
+def _stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[slice, slice]]:
+    """Stretches of two sorted lists (the first no longer than the second) between which no pair is needed.
+
+    Going up, an item of ``a`` waits for the next free one of ``b``; beyond the place where nobody waits, none has to look. The same holds going
+    down. A gap that nobody waits at in either direction parts two stretches.
+    """
+    if len(a) == 0:
+        return []
+    values = np.concatenate([a, b])
+    order = np.lexsort((np.arange(len(values)) >= len(a), values))
+    mine = order < len(a)
+    step = np.where(mine, 1, -1)
+
+    def waiting(step: np.ndarray) -> np.ndarray:
+        total = np.cumsum(step)
+        return total - np.minimum(np.minimum.accumulate(total), 0)
+
+    joined = (waiting(step)[:-1] > 0) | (waiting(step[::-1])[::-1][1:] > 0)
+    edges = np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(values)]])
+    seen = np.concatenate([[0], np.cumsum(mine)])[edges]
+    rest = edges - seen
+    some = np.flatnonzero(seen[1:] > seen[:-1])
+    return [(slice(seen[k], seen[k + 1]), slice(rest[k], rest[k + 1])) for k in some.tolist()]
+
+
+def table_assignment(a: np.ndarray, b: np.ndarray, cap: float | None) -> list[tuple[int, int]]:
     """Non-crossing assignment of two sorted lists: most pairs first, then the least total log difference.
 
     Dynamic programming with skips, a row of the table for each left item. Only small tables keep their decisions; a large one is solved
