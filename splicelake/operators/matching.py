@@ -254,18 +254,19 @@ def line_assignment(a: np.ndarray, b: np.ndarray, cap: float | None) -> list[tup
     Without a cap, equal values are paired up first, and what is left falls into stretches that no pair has to leave. Where all pairs of
     that keep the cap, no capped assignment is better; else one table of the whole lists decides.
     """
-    if len(a) > len(b):
-        return sorted((i, j) for j, i in line_assignment(b, a, cap))
-    if len(a) == 0:
+    if len(a) == 0 or len(b) == 0:
         return []
-    # equal values: by the triangle inequality no total gets worse
-    first = np.searchsorted(b, a, "left")
-    nth = np.arange(len(a)) - np.searchsorted(a, a, "left")
-    equal = nth < np.searchsorted(b, a, "right") - first
-    pairs = list(zip(np.flatnonzero(equal).tolist(), (first + nth)[equal].tolist()))
-    left, right = np.flatnonzero(~equal), np.setdiff1d(np.arange(len(b)), (first + nth)[equal])
-    for i, j in _stretches(a[left], b[right]):
-        own, other = left[i], right[j]
+    # equal values, by the triangle inequality no total gets worse: the first of the left list with the last of the right one, as the table does
+    first, start = np.searchsorted(b, a, "left"), np.searchsorted(a, a, "left")
+    there = np.searchsorted(b, a, "right") - first
+    many, nth = np.minimum(np.searchsorted(a, a, "right") - start, there), np.arange(len(a)) - start
+    equal = nth < many
+    partner = (first + there - many + nth)[equal]
+    pairs = list(zip(np.flatnonzero(equal).tolist(), partner.tolist()))
+    left, right = np.flatnonzero(~equal), np.setdiff1d(np.arange(len(b)), partner)
+    fewer = len(left) <= len(right)
+    for some, rest in _stretches(a[left], b[right]) if fewer else _stretches(b[right], a[left]):
+        own, other = (left[some], right[rest]) if fewer else (left[rest], right[some])
         pairs += [(int(own[x]), int(other[y])) for x, y in table_assignment(a[own], b[other], None)]
     if cap is not None and any(abs(a[i] - b[j]) > cap for i, j in pairs):
         return table_assignment(a, b, cap)

@@ -14,6 +14,7 @@ from splicelake.plans.join_plans import LABELLED, PAIRED, _pairs_scores
 from splicelake.plans.metric_plans import SQL_COLS, rounded, sql_metrics
 from splicelake.plans.registry import query
 from splicelake.plans.views import cte, view
+from splicelake.session import written
 
 
 def _v(spark, sf):
@@ -364,7 +365,9 @@ def matching_scheme_comparison(spark, sf):
     """Median PR area per head under tiered and under optimal matching."""
     pos, neg = _match_inputs(spark, sf)
     _, scores = _pairs_scores(spark, sf)
-    med = lambda m: T.tissue_medians(T.per_tissue(labelled_pairs(G.matched_only(m).select("tissue", "pos_var_key", "neg_var_key"), scores)))
+    # the metrics take several passes, none of which should match again
+    pairs = lambda m: written(G.matched_only(m).select("tissue", "pos_var_key", "neg_var_key"), "matched")
+    med = lambda m: T.tissue_medians(T.per_tissue(written(labelled_pairs(pairs(m), scores), "labelled")))
     return T.scheme_comparison(med(G.tiered_matches(pos, neg)), med(G.optimal_matches(pos, neg)))
 
 
