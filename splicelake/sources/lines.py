@@ -46,8 +46,12 @@ def parse_bed12(lines: DataFrame) -> DataFrame:
 
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Alignment columns with tags as a map (type letter dropped)."""
-    d = _fields(lines, "@").filter(F.size("_f") >= 11)
-    tags = F.transform(F.filter(F.slice("_f", 12, F.greatest(F.size("_f") - 11, F.lit(0))), lambda t: F.size(F.split(t, ":", 3)) == 3), lambda t: F.struct(F.get(F.split(t, ":", 3), F.lit(0)), F.get(F.split(t, ":", 3), F.lit(2))))
+    # the twelfth field is the rest of the line; the generator keeps the test of the fields from being computed once more on the lines
+    fields = F.filter(F.array(F.split("value", "\t", 12)), lambda f: (F.size(f) >= 11) & ~f[0].startswith("@"))
+    d = lines.select(F.explode(fields).alias("_f"))
+    rest = F.coalesce(F.split(_at(11), "\t"), F.array().cast("array<string>"))
+    parts = F.filter(F.transform(rest, lambda t: F.split(t, ":", 3)), lambda p: F.size(p) == 3)
+    tags = F.transform(parts, lambda p: F.struct(p[0], p[2]))
     return d.select(
         _at(0).alias("qname"), _at(1).cast("int").alias("flag"), _at(2).alias("region"), _at(3).cast("int").alias("pos"), _at(4).cast("int").alias("mapq"), _at(5).alias("cigar"), F.map_from_entries(tags).alias("tags"),
     )
