@@ -190,8 +190,8 @@ sg AS (SELECT *, p + q AS b1, p + q + 10 * l AS s2, p + q + 10 * l + l + 3 AS b2
 
 @query("WITH x AS (SELECT 1)" + SEGMENTS + " SELECT sample, region, b1 - 1 AS left, s2 - 1 AS right, count(*) AS n FROM sg GROUP BY ALL UNION ALL SELECT sample, region, b3 - 1, s4 - 1, count(*) FROM sg GROUP BY ALL")
 def cigar_gaps(spark, sf):
-    r = E.collapse_reads(view(spark, sf, "v_read"))
-    g = r.select("sample", "region", "n_reads", F.posexplode(E.gaps(E.cigar_walk(F.col("pos"), F.col("cigar")))).alias("i", "g"))
+    r = E.with_walk(E.collapse_reads(view(spark, sf, "v_read")))
+    g = r.select("sample", "region", "n_reads", F.posexplode(E.gaps(F.col("walk"))).alias("i", "g"))
     return g.groupBy("sample", "region", "i", "g.left", "g.right").agg(F.sum("n_reads").alias("n")).drop("i")
 
 

@@ -1,7 +1,8 @@
-"""Lines are taken apart once."""
+"""Lines and CIGAR strings are taken apart once."""
 
 from pyspark.sql import functions as F
 
+from splicelake.operators import evidence as E
 from splicelake.sources import lines as L
 
 
@@ -13,3 +14,11 @@ def test_alignment_lines_are_split_once(spark):
     made = spark.range(3).select(F.concat_ws("\t", *[F.col("id").cast("string")] * 11, F.lit("NH:i:1")).alias("value"))
     plan = L.parse_sam(made)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat_ws(") == 1
+
+
+def test_every_cigar_is_walked_once(spark):
+    rows = [(i, "S", "chr1", 10 * i, 0, c) for i, c in enumerate(["3M2N4M", "3M2N4M", "2S5M1I3M", None, "*", "3M2N4M"])]
+    reads = spark.createDataFrame(rows, "n_reads long, sample string, region string, pos int, flag int, cigar string")
+    assert E.cigar_shapes(reads).count() == 4 - 1
+    want = {r.n_reads: r.w for r in reads.select("n_reads", E.cigar_walk(F.col("pos"), F.col("cigar")).alias("w")).collect()}
+    assert {r.n_reads: r.walk for r in E.with_walk(reads).collect()} == want
