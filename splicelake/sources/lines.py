@@ -78,7 +78,8 @@ def parse_genotypes(lines: DataFrame, file: str | None = None) -> DataFrame:
     cells = F.split("value", "\t")
     donors = lines.filter(F.col("value").startswith("#CHROM\t")).select(*key, F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("_donors"))
     d = _fields(lines)
-    d = d.join(donors, key) if key else d.withColumn("_donors", donors.scalar())
+    # one header a file; by a shuffle on the file, each file would be one task
+    d = d.join(F.broadcast(donors), key) if key else d.withColumn("_donors", donors.scalar())
     gt = F.array_position(F.split(_at(8), ":"), "GT").cast("int")
     d = d.select(
         *key, _at(0).alias("region"), _at(1).cast("int").alias("pos"), _at(2).alias("var_id"), _at(3).alias("ref"), F.split(_at(4), ",").alias("alts"), gt.alias("_gt"), "_f", F.posexplode("_donors").alias("_i", "donor"),

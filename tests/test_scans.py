@@ -22,3 +22,16 @@ def test_every_cigar_is_walked_once(spark):
     assert E.cigar_shapes(reads).count() == 4 - 1
     want = {r.n_reads: r.w for r in reads.select("n_reads", E.cigar_walk(F.col("pos"), F.col("cigar")).alias("w")).collect()}
     assert {r.n_reads: r.walk for r in E.with_walk(reads).collect()} == want
+
+
+def test_genotypes_are_not_shuffled_by_file(spark):
+    head = lambda f, *names: (f, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]))
+    record = lambda f, *cells: (f, "\t".join(["chr1", "5", "v", "A", "C", ".", ".", ".", "DP:GT", *cells]))
+    lines = spark.createDataFrame([head("x", "D1", "D2"), record("x", "9:0|1", "9:1|1"), head("y", "D3"), record("y", "9:./.")], "file string, value string")
+    got = L.parse_genotypes(lines, "file")
+    assert sorted((r.file, r.donor, r.gt) for r in got.collect()) == [("x", "D1", "0|1"), ("x", "D2", "1|1"), ("y", "D3", "./.")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in L.parse_genotypes(lines, "file")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
