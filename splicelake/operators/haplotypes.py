@@ -62,13 +62,11 @@ def phased_haplotypes(pairs: DataFrame, genes: DataFrame, donor: Column) -> Data
 def attach_sites(rows: DataFrame, usage: DataFrame, bin_width: int = 16384) -> DataFrame:
     """Add ordered site and usage arrays (by type) of the row's own sample inside [gstart, gend].
 
-    The range join runs once per distinct gene and site coordinate; samples are joined by key after it.
+    The range join is per sample and distinct gene, so sites of samples that a gene has no row of are never paired with it.
     """
-    place = ["region", "strand"]
-    sites = usage.select(*place, "site", "site_type").distinct()
+    place = ["sample", "region", "strand"]
     genes = rows.select("gene_id", *place, "gstart", "gend").distinct()
-    pairs = points_in_intervals(sites, genes, "site", "gstart", "gend", place, bin_width, distinct=False).select("gene_id", *place, "site", "site_type")
-    per = pairs.join(usage.select(*place, "site", "site_type", "sample", "ssu"), [*place, "site", "site_type"])
+    per = points_in_intervals(usage.select(*place, "site", "site_type", "ssu"), genes, "site", "gstart", "gend", place, bin_width, distinct=False)
     item = F.struct("site", F.coalesce("ssu", F.lit(S.SENTINEL)).alias("ssu"))
     side = lambda t: F.array_sort(F.collect_list(F.when(F.col("site_type") == t, item)))
     g = per.groupBy("gene_id", "sample").agg(side("exon_end").alias("_e"), side("exon_start").alias("_s"))
@@ -113,10 +111,13 @@ def annotation_arrays(features: DataFrame, gene: str = "gene_id") -> DataFrame:
 
 def holder_rows(filled: DataFrame, annotation: DataFrame, gene: str = "gene_id") -> DataFrame:
     """Genes that still have unused starts AND unused ends, with those positions and the filler id."""
-    used_s = filled.select(gene, F.explode("exon_starts").alias("p")).distinct()
-    used_e = filled.select(gene, F.explode("exon_ends").alias("p")).distinct()
-    left = lambda side, used: annotation.select(gene, F.explode(side).alias("p")).join(used, [gene, "p"], "left_anti").groupBy(gene).agg(F.array_sort(F.collect_list("p")).alias(side))
-    return left("starts", used_s).join(left("ends", used_e), gene).withColumn("uid", F.lit(HOLDER_ID))
+    none = F.array().cast("array<int>")
+    marked = lambda c, side: F.transform(F.coalesce(c, none), lambda p: F.struct(F.lit(side).alias("side"), p.alias("p")))
+    both = lambda df, starts, ends: df.select(gene, F.inline(F.concat(marked(F.col(starts), "starts"), marked(F.col(ends), "ends"))))
+    left = both(annotation.filter(F.col(gene).isNotNull()), "starts", "ends").join(both(filled, "exon_starts", "exon_ends").distinct(), [gene, "side", "p"], "left_anti")
+    side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("p")))).alias(name)
+    g = left.groupBy(gene).agg(side("starts"), side("ends"))
+    return g.filter(S.has_values(F.col("starts")) & S.has_values(F.col("ends"))).withColumn("uid", F.lit(HOLDER_ID))
 
 
 def paralog_flag(rows: DataFrame, paralogs: DataFrame, gene: str = "gene_id", require_partner: bool = True) -> DataFrame:
