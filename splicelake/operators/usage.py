@@ -36,14 +36,18 @@ def near_gene(junctions: DataFrame, region: str | None = None, gene_start: int |
     return d
 
 
-def edges(junctions: DataFrame, by: Sequence[str] = ("sample", *PLACE)) -> DataFrame:
-    """Both directions of every junction with summed counts: (by, site, partner, n)."""
-    one = junctions.groupBy(*by, "jleft", "jright").agg(F.sum("n").alias("n"))
+def directions(junctions: DataFrame, by: Sequence[str] = ("sample", *PLACE)) -> DataFrame:
+    """Both directions of every junction row, not summed: (by, site, partner, n)."""
     ends = F.array(
         F.struct(F.col("jleft").alias("site"), F.col("jright").alias("partner")),
         F.struct(F.col("jright").alias("site"), F.col("jleft").alias("partner")),
     )
-    return one.select(*by, "n", F.inline(ends)).select(*by, "site", "partner", "n")
+    return junctions.select(*by, "n", F.inline(ends)).select(*by, "site", "partner", "n")
+
+
+def edges(junctions: DataFrame, by: Sequence[str] = ("sample", *PLACE)) -> DataFrame:
+    """Both directions of every junction with summed counts: (by, site, partner, n)."""
+    return directions(junctions.groupBy(*by, "jleft", "jright").agg(F.sum("n").alias("n")), by)
 
 
 def alpha(edge_table: DataFrame, by: Sequence[str] = ("sample", *PLACE)) -> DataFrame:
@@ -99,11 +103,15 @@ def strength(alpha: Column, beta1: Column, beta2: Column, weighted: Column | Non
 
 
 def site_catalogue(sites: DataFrame, edge_table: DataFrame, strict: bool = True) -> DataFrame:
-    """All sites over samples with merged classes in fixed order; ``sites`` has (sample, region, strand, site)."""
+    """All sites over samples with merged classes in fixed order; ``sites`` has (sample, region, strand, site).
+
+    Edges may repeat: only the sides of the partners count, so ``directions`` of unsummed junctions will do. Rows are
+    dealt once, by place, for both steps: samples of a site meet in one task.
+    """
     key = ["sample", *PLACE, "site"]
     e = edge_table.select(*key, (F.col("partner") > F.col("site")).alias("down"), (F.col("partner") < F.col("site")).alias("up"))
     s = sites.select(*key, F.lit(False).alias("down"), F.lit(False).alias("up"))
-    per = s.unionByName(e).groupBy(*key).agg(F.max("down").alias("down"), F.max("up").alias("up"))
+    per = s.unionByName(e).repartition(*PLACE, "site").groupBy(*key).agg(F.max("down").alias("down"), F.max("up").alias("up"))
     d, u = F.col("down"), F.col("up")
     cls = F.when(d & u, "both").when(d, "exon_end").when(u, "exon_start").otherwise("unknown")
     per = per.withColumn("cls", cls)

@@ -68,7 +68,7 @@ ct AS (SELECT region, strand, site, CASE WHEN bool_or(cls <> 'unknown') THEN con
 
 
 def _catalogue(spark, sf):
-    return U.site_catalogue(view(spark, sf, "v_usage").select("sample", "region", "strand", "site"), U.edges(view(spark, sf, "v_junction")))
+    return U.site_catalogue(view(spark, sf, "v_usage").select("sample", "region", "strand", "site"), U.directions(view(spark, sf, "v_junction")))
 
 
 @query(cte("v_usage", "v_junction") + EDGES + CATALOG + " SELECT region, strand, site, site_type FROM ct")
