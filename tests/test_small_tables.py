@@ -40,3 +40,11 @@ def test_thousandths_of_values_near_a_whole_one(spark, tmp_path):
     assert near
     v = (near * 64)[:64]
     _agrees(spark, tmp_path, "indel_realignment", embeddings=("vec_id long, label int, embedding array<float>", [(i, 0, v) for i in range(6)]))
+
+
+def test_sequences_of_documents_without_a_text(spark, tmp_path):
+    texts = ["", None, "A", "ACGT\nACGT", "GATTACA" * 100, "\U0001F600é\x00A"]
+    orders = [(15 * d + i, 11 * i + d) for d in range(len(texts)) for i in range(15)]
+    d = _agrees(spark, tmp_path, "snv_sequences", documents=("doc_id long, text string", list(enumerate(texts))), orders=("o_orderkey long, o_custkey long", orders))
+    seqs = {r.uid: r.seq for r in d.collect()}
+    assert set(seqs) == set(range(len(texts))) and seqs[0] == seqs[1] == "" and len(seqs[4]) == 700
