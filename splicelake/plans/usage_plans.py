@@ -210,18 +210,10 @@ f2 AS (SELECT *, (l1 = t OR r1 = t) AS a1, (l1 = t OR r1 = t OR l2 = t OR r2 = t
 f3 AS (SELECT *, (c1 OR c2x) AS c2, (p <= t AND b1 > t + 1) OR (s2 <= t AND s2 + (b3 - s2) > t + 1 AND s2 <= t AND (b3 > t + 1) AND NOT (t + 1 >= s2 + (b3 - s2))) AS dummy FROM f2)"""
 
 
-def _all_gaps(collapsed):
-    r = collapsed.select("sample", "region", "n_reads", F.explode(E.gaps(F.col("walk"))).alias("g"))
-    return r.select("sample", "region", F.col("g.left").alias("jleft"), F.col("g.right").alias("jright"), F.col("n_reads").alias("n"))
-
-
 def _evidence(spark, sf):
-    reads = written(E.with_walk(E.collapse_reads(view(spark, sf, "v_read"))), "reads")
-    e = U.edges(_all_gaps(reads).withColumn("strand", F.lit(".")))
-    pa = e.groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("partner")).alias("partners"))
-    co = U.competitors(e).groupBy("sample", "region", "strand", "site").agg(F.array_sort(F.collect_set("competitor")).alias("competitors"))
-    sites = pa.join(co, ["sample", "region", "strand", "site"], "left").withColumn("competitors", F.coalesce("competitors", F.array().cast("array<int>")))
-    return E.classify(reads, sites, None, bin_width=256), e
+    """Classified reads, and the alignments with all their gaps; strands are not asked for, so flags don't tell reads apart."""
+    reads, shapes = E.laid_out(E.collapse_reads(view(spark, sf, "v_read").withColumn("flag", F.lit(0))))
+    return E.classify_own(reads, shapes, bin_width=256), reads
 
 
 LADDER = """, bl AS (SELECT *, (p <= t AND b1 > t + 1) OR (s2 <= t AND b2 > t + 1) OR (b2 <= t AND b3 > t + 1) OR (s4 <= t AND stop > t + 1) AS be FROM (SELECT f3.*, s2 + (b3 - s2 - 2) // 2 + 0 AS z, CAST((b3 - s2 - 8) // 2 + 3 + s2 AS INT) AS b2 FROM f3) y),
@@ -245,9 +237,10 @@ def read_double_counts(spark, sf):
 @query()
 def strength_with_cryptic(spark, sf):
     """Strength with weighted cryptic evidence from all reads and all their junctions together."""
-    c, e = _evidence(spark, sf)
+    c, reads = _evidence(spark, sf)
+    c = written(c, "classes")
     ev = E.evidence_counts(c, "junction")
-    pe = U.partner_evidence(e, E.double_counts(c))
+    pe = U.partner_evidence(E.own_junctions(reads).withColumn("strand", F.lit(".")), E.double_counts(c))
     j = pe.join(ev.drop("alpha_comp"), ["sample", "region", "strand", "site"], "left").na.fill(0, ["beta1", "beta2"])
     total = F.col("beta2") + F.col("beta2_flank")
     return j.withColumn("sse", F.round(U.strength(F.col("alpha"), F.col("beta1"), total, F.col("weighted")), 6))
