@@ -211,9 +211,9 @@ f3 AS (SELECT *, (c1 OR c2x) AS c2, (p <= t AND b1 > t + 1) OR (s2 <= t AND s2 +
 
 
 def _evidence(spark, sf):
-    """Classified reads, and the alignments with all their gaps; strands are not asked for, so flags don't tell reads apart."""
+    """Classified reads, and the edges of all their gaps; strands are not asked for, so flags don't tell reads apart."""
     reads, shapes = E.laid_out(E.collapse_reads(view(spark, sf, "v_read").withColumn("flag", F.lit(0))))
-    return E.classify_own(reads, shapes, bin_width=256), reads
+    return E.classify_own(reads, shapes, bin_width=256), E.own_junctions(reads, shapes).withColumn("strand", F.lit("."))
 
 
 LADDER = """, bl AS (SELECT *, (p <= t AND b1 > t + 1) OR (s2 <= t AND b2 > t + 1) OR (b2 <= t AND b3 > t + 1) OR (s4 <= t AND stop > t + 1) AS be FROM (SELECT f3.*, s2 + (b3 - s2 - 2) // 2 + 0 AS z, CAST((b3 - s2 - 8) // 2 + 3 + s2 AS INT) AS b2 FROM f3) y),
@@ -237,10 +237,10 @@ def read_double_counts(spark, sf):
 @query()
 def strength_with_cryptic(spark, sf):
     """Strength with weighted cryptic evidence from all reads and all their junctions together."""
-    c, reads = _evidence(spark, sf)
+    c, e = _evidence(spark, sf)
     c = written(c, "classes")
     ev = E.evidence_counts(c, "junction")
-    pe = U.partner_evidence(E.own_junctions(reads).withColumn("strand", F.lit(".")), E.double_counts(c))
+    pe = U.partner_evidence(e, E.double_counts(c))
     j = pe.join(ev.drop("alpha_comp"), ["sample", "region", "strand", "site"], "left").na.fill(0, ["beta1", "beta2"])
     total = F.col("beta2") + F.col("beta2_flank")
     return j.withColumn("sse", F.round(U.strength(F.col("alpha"), F.col("beta1"), total, F.col("weighted")), 6))
@@ -254,21 +254,12 @@ ev AS (SELECT rc.sample, rc.region, st.site, sum(CASE WHEN (st.site > b1 - 1 AND
 SELECT sample, region, site, h.alpha IS NOT NULL AS measured, coalesce(h.alpha, 0) AS alpha, CAST(CASE WHEN h.alpha IS NULL THEN coalesce(ev.b, 0) ELSE 0 END AS BIGINT) AS beta1, CAST(CASE WHEN h.alpha IS NULL THEN coalesce(ev.m, 0) ELSE 0 END AS BIGINT) AS beta2,
 round(CASE WHEN coalesce(h.alpha, 0) > 0 THEN 1.0 ELSE 0.0 END, 6) AS sse FROM st CROSS JOIN sm LEFT JOIN h USING (sample, region, site) LEFT JOIN ev USING (sample, region, site)""")
 def filled_samples(spark, sf):
-    reads = view(spark, sf, "v_read")
-    r = written(E.with_walk(E.collapse_reads(reads)), "reads")
-    left = F.get(E.gaps(F.col("walk")), F.lit(0))["left"]
-    have = r.withColumn("site", left).groupBy("sample", "region", "site").agg(F.sum("n_reads").alias("alpha"))
-    have = have.select("sample", "region", F.lit(".").alias("strand"), "site", "alpha", F.lit(0).alias("beta1"), F.lit(0).alias("beta2"))
-    catalogue = have.select("region", "strand", "site").distinct()
-    samples = reads.select("sample").distinct()
-    # every catalogue position gets read evidence in each sample that covers it
-    grid = U.sample_grid(have.select("sample", "region", "strand", "site"), samples, ["region", "strand", "site"])
-    none = F.array().cast("array<int>")
-    sites = grid.select("sample", "region", "strand", "site", none.alias("partners"), none.alias("competitors"))
-    missing = sites.join(have, ["sample", "region", "strand", "site"], "left_anti")
-    ev = E.evidence_counts(E.classify(r, missing, None, bin_width=256), "junction")
-    out = U.fill_missing(catalogue, have, ev, samples)
-    return out.drop("strand").withColumn("sse", F.round("sse", 6))
+    v = view(spark, sf, "v_read")
+    reads, shapes = E.laid_out(E.collapse_reads(v.withColumn("flag", F.lit(0))))
+    first = reads.join(shapes.select("shape", F.get("gaps", F.lit(0))["left"].alias("left")), "shape").withColumn("site", F.col("left") + F.col("pos"))
+    have = first.groupBy("sample", "region", "site").agg(F.sum("n_reads").alias("alpha"))
+    # every position measured in any sample gets read evidence in each sample that covers it
+    return E.fill_samples(reads, shapes, have, v.select("sample").distinct(), bin_width=256).withColumn("sse", F.round("sse", 6))
 
 
 @query(cte("v_gene") + SEGMENTS + """, rc AS (SELECT sample, region, p, b1, s2, CAST(s2 + l + 3 AS INT) AS b2, b3, s4, stop, flag, q, l, l_suppkey % 4 AS k, count(*) AS n FROM sg GROUP BY ALL),

@@ -41,11 +41,11 @@ def test_own_junctions_give_the_classes_of_lists(spark, monkeypatch, most, maske
     monkeypatch.setattr(E, "MASKED_GAPS", masked)
     reads = E.collapse_reads(spark.createDataFrame(some_reads(random.Random(most), 60 if most < 9 else 12, most), READS)).localCheckpoint()
     laid, shapes = E.laid_out(reads)
-    want, edges = with_lists(laid.withColumn("flag", F.lit(0)))
+    want, edges = with_lists(E.with_walk(reads))
     got = rows_of(E.classify_own(laid, shapes, bin_width=32))
     assert got == rows_of(want) and {r[4] for r in got} == {"alpha_comp", "flank", "mutex", "beta1_comp", "beta1"}
     cols = ["sample", "region", "site", "partner", "n"]
-    assert sorted(E.own_junctions(laid).select(*cols).collect()) == sorted(edges.select(*cols).collect())
+    assert sorted(E.own_junctions(laid, shapes).select(*cols).collect()) == sorted(edges.select(*cols).collect())
 
 
 @pytest.mark.parametrize("name", ["read_evidence", "read_double_counts", "strength_with_cryptic"])
