@@ -268,7 +268,7 @@ o AS (SELECT sample, region, p, flag, q, l, k, min(gene_id) AS gene_id, max(gene
 def gene_read_counts(spark, sf):
     """All genes at their real lengths; starts of genes and reads stand 20 times as far apart, since the genes of the table lie on top of one another."""
     exons = view(spark, sf, "v_gene").selectExpr("region", "gene_id", "strand", "gstart * 20 AS gstart", "gstart * 19 + gend AS gend")
-    reads = view(spark, sf, "v_read").withColumn("pos", F.col("pos") * 20)
+    reads = view(spark, sf, "v_read").withColumns({"pos": F.col("pos") * 20, "flag": F.lit(0)})  # strands are not asked for
     return E.gene_counts(E.collapse_reads(reads), exons, bin_width=256)
 
 
