@@ -62,3 +62,18 @@ def test_locations_of_all_offsets(spark):
 
     for r in d.select("p", "e", S.locations(F.col("p"), F.lit(0), F.col("e")).alias("l")).collect():
         assert r.l == named(r.p, r.e), r
+
+
+def test_numbers_of_location_sets_give_their_names(spark):
+    """Sets are counted by a number: no names are built or hashed for a row."""
+    d = spark.range(-12, 60).selectExpr("IF(id = 59, NULL, CAST(id AS INT)) AS p").crossJoin(spark.createDataFrame([(e,) for e in (0, 1, 2, 3, 5, 8, 30, None)], "e int"))
+    at = (F.col("p"), F.lit(0), F.col("e"))
+    for r in d.select("p", "e", S.locations(*at).alias("want"), S.locations_of(S.location_code(*at)).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_rows_are_counted_by_a_number(spark, monkeypatch):
+    seen, inner = [], R.head_counts
+    monkeypatch.setattr(R, "head_counts", lambda d, *a: seen.append(dict(d.dtypes)["_set"]) or inner(d, *a))
+    df = spark.createDataFrame([(10, 0, 40, 0.5, 1, 0.1)] * 5, "pos int, estart int, eend int, y double, label int, a double")
+    assert R.region_counts(df, "y", "label", ["a"]).count() == 3 and seen == ["int"]
